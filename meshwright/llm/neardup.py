@@ -277,7 +277,8 @@ def near_duplicates(
     sided = pairs.join(low.select(F.col("id").alias("a"), F.col("low").alias("la")), "a").join(low.select(F.col("id").alias("b"), F.col("low").alias("lb")), "b")
     edges = written(sided.mapInArrow(_plausible(width, threshold - 4 * (threshold * (1 - threshold) / width) ** 0.5), "a long, b long"), "pairs")
     comp = components(edges)
-    members = texts.join(comp, "id").dropDuplicates(["id", "t"])
+    # always a shuffled join: the groups' members grow with the corpus
+    members = texts.join(comp.hint("merge"), "id").dropDuplicates(["id", "t"])
     verified = members.repartition("comp").sortWithinPartitions("comp", "id").mapInArrow(_verify(k, threshold), "id long, root long")
     verified = verified.groupBy("id").agg(F.min("root").alias("root"))
     found = mapping.join(verified.select(F.col("id").alias("rep"), "root"), "rep", "left").select("id", F.coalesce("root", "rep").alias("group_id"))
