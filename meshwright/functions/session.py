@@ -47,11 +47,19 @@ def drop_written(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Rows that an Arrow batch to a Python worker has at most, unless the session has its own setting.
+BATCH_ROWS = 1000
+
+
 def workers_import(spark: SparkSession) -> None:
-    """Let Python workers import this package from where the driver has it.
+    """Let Python workers import this package from where the driver has it, and
+    keep their batches small: whole documents in batches of the default 10,000
+    rows would be held in memory several times over.
 
     On a cluster without a common file system, ship it with ``--py-files``.
     """
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     env = spark.sparkContext.environment
     have = env.get("PYTHONPATH", os.environ.get("PYTHONPATH", ""))
     if ROOT not in have.split(os.pathsep):
