@@ -23,7 +23,7 @@ _WORD[48:58] = _WORD[65:91] = _WORD[97:123] = _WORD[128:] = True
 _powers: list[np.ndarray] = []
 
 #: Bytes of text handled at once; a longer document is handled alone.
-CHUNK = 1 << 21
+CHUNK = 1 << 19
 
 
 def mix(x: np.ndarray) -> np.ndarray:
