@@ -176,17 +176,13 @@ def _pairs(nodes: np.ndarray, passage: int):
     return run
 
 
-def polarity(size: int, pairs: np.ndarray, alone: np.ndarray, total: int, positive: np.ndarray, negative: np.ndarray, shift: float = 5.0, restart: float = 0.15) -> np.ndarray:
+def polarity(size: int, x: np.ndarray, y: np.ndarray, w: np.ndarray, positive: np.ndarray, negative: np.ndarray, restart: float = 0.15) -> np.ndarray:
     """Share of the walk from positive seeds at each node, in 0..1 (0.5: neither).
 
-    ``pairs`` has rows (x, y, passages with both).  Edge weights are positive
-    pointwise mutual informations less log(shift), which drops the company that
-    words keep by language or chance; both walks restart at their seeds.
+    Edge weights ``w`` are positive pointwise mutual informations; both walks
+    restart at their seeds.
     """
-    x, y, n = pairs.T
-    pmi = np.log(np.maximum(n, 1) * total / np.maximum(1, alone[x] * alone[y])) - np.log(shift)
-    use = (pmi > 0) & (n > 1)
-    x, y, w = np.concatenate([x[use], y[use]]), np.concatenate([y[use], x[use]]), np.tile(pmi[use], 2)
+    x, y, w = np.concatenate([x, y]), np.concatenate([y, x]), np.tile(w, 2)
     degree = np.bincount(x, w, size)
     flow = w / np.sqrt(degree[x] * degree[y])
     reached = []
@@ -262,7 +258,8 @@ def induce(
     the graph are counted over all documents.  A node occurs in at least
     ``least_share`` of the passages with toxic seeds, which bounds their number
     by the passage length and not by the corpus, and isn't known from the labels
-    to occur mainly (less than ``purity``) in clean documents.
+    to occur mainly (less than ``purity``) in clean documents.  Of its edges only
+    those with a positive weight, after ``shift``, leave the cluster.
     """
     workers_import(docs.sparkSession)
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")).where("t is not null")
@@ -287,17 +284,21 @@ def induce(
     positive, negative = (np.array([r["h"] for r in rows], np.int64).view(U64) for rows in (best, plain))
     near = written(own.mapInArrow(_company(positive, passage), "h long, n long").groupBy("h").agg(F.sum("n").alias("m")), "company")
     hot = near.where("h = 0").first()
-    least = max(2.0, least_share * (hot["m"] if hot else 0))
+    least = max(5.0, least_share * (hot["m"] if hot else 0))
     rows = near.where((F.col("h") != 0) & (F.col("m") >= least)).join(stats.where(F.col("high") < purity), "h", "left_anti").select("h").collect()
     nodes = np.unique(np.concatenate([positive, negative, np.array([r["h"] for r in rows], np.int64).view(U64)]))
-    pairs = own.mapInArrow(_pairs(nodes, passage), "x long, y long, n long, term string").groupBy("x", "y").agg(F.sum("n").alias("n"), F.min("term").alias("term")).toPandas()
-    count = pairs[["x", "y", "n"]].to_numpy()
-    single = (count[:, 0] == count[:, 1]) & (count[:, 0] >= 0)
+    pairs = written(own.mapInArrow(_pairs(nodes, passage), "x long, y long, n long, term string").groupBy("x", "y").agg(F.sum("n").alias("n"), F.min("term").alias("term")), "graph")
+    single = pairs.where("x = y").toPandas()  # a row for each node, and one of all passages
+    total = int(single["n"][single["x"] < 0].sum())
+    single = single[single["x"] >= 0]
     alone, names = np.zeros(len(nodes)), [""] * len(nodes)
-    alone[count[single, 0]] = count[single, 2]
-    for x, term in zip(count[single, 0], pairs["term"][single]):
+    alone[single["x"]] = single["n"]
+    for x, term in zip(single["x"], single["term"]):
         names[x] = term
-    share = polarity(len(nodes), count[count[:, 0] < count[:, 1]], alone, int(count[count[:, 0] < 0, 2].sum()), np.searchsorted(nodes, positive), np.searchsorted(nodes, negative), shift)
+    own_n = pairs.where("x = y and x >= 0")
+    ends = pairs.where("x < y and n > 2").join(own_n.select("x", F.col("n").alias("nx")), "x").join(own_n.select("y", F.col("n").alias("ny")), "y")
+    edges = ends.withColumn("w", F.log(F.col("n") * float(total) / F.col("nx") / F.col("ny") / shift)).where("w > 0").select("x", "y", "w").toPandas()
+    share = polarity(len(nodes), edges["x"].to_numpy(), edges["y"].to_numpy(), edges["w"].to_numpy(), np.searchsorted(nodes, positive), np.searchsorted(nodes, negative))
     share[np.searchsorted(nodes, negative)] = 0  # labels outweigh the walk
     use = np.flatnonzero((share >= least_polarity) & (alone > 0))
     lex = Lexicon(nodes[use], 2 * share[use] - 1, [names[i] for i in use])
