@@ -3,9 +3,19 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from meshwright.functions.session import written
+from meshwright.llm.mixing import mixture
 from meshwright.llm.neardup import without_near_duplicates
+from meshwright.llm.packing import packs
+from meshwright.llm.secrets import without_secrets
+from meshwright.llm.toxicity import without_toxic
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose toxicity score reaches the threshold go."""
+    return without_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -13,9 +23,31 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return without_near_duplicates(docs)
 
 
-STAGES = [("near-duplicates", near_duplicates)]
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets in texts are masked, and n_chars follows; no document goes."""
+    masked = without_secrets(docs)
+    return masked.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.length("text").cast("long"))).select(docs.columns)
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A balanced sample brings the sources to their target weights."""
+    return mixture(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every token of the documents that stayed is in one packed sequence."""
+    return packs(docs)
+
+
+STAGES = [
+    ("toxicity", toxicity),
+    ("near-duplicates", near_duplicates),
+    ("secrets", secret_scan),
+    ("source mix", source_mix),
+    ("packing", packing),
+]
 
-#: The stages iterate, learn and search; SQL can't express them.
+#: The stages learn, search and draw at random; SQL can't express them.
 ORACLE_SQL = None
 
 
@@ -23,5 +55,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each reads what its predecessor wrote."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
     return STAGES[-1][1](spark, docs, sf_dir)
