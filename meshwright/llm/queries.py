@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .fingerprints import fingerprints
 from .mixing import mixed
 from .neardup import near_duplicates
 from .packing import packs
 from .secrets import secrets
+from .tokenstore import store
 from .toxicity import toxicity
 
 
@@ -33,16 +35,26 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(documents(spark, sf_dir))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packs(documents(spark, sf_dir))
 
 
+def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_near_duplicates": op2_near_duplicates,
     "op3_secrets": op3_secrets,
     "op4_source_mix": op4_source_mix,
     "op5_toxicity": op5_toxicity,
+    "op7_fingerprints": op7_fingerprints,
     "op9_packing": op9_packing,
+    "op10_token_store": op10_token_store,
 }
 
 ORACLE_SQL: dict[str, str] = {}
