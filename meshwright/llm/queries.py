@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .audio import audio_features
 from .fingerprints import fingerprints
 from .mixing import mixed
 from .neardup import near_duplicates
@@ -19,6 +21,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables have no sound; every document's bytes stand for a mu-law clip."""
+    clips = documents(spark, sf_dir).select("doc_id", F.col("text").cast("binary").alias("clip"))
+    return audio_features(clips)
+
+
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
 
@@ -48,6 +56,7 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_audio_features": op1_audio_features,
     "op2_near_duplicates": op2_near_duplicates,
     "op3_secrets": op3_secrets,
     "op4_source_mix": op4_source_mix,
