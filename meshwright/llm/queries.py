@@ -12,7 +12,9 @@ from .fingerprints import fingerprints
 from .mixing import mixed
 from .neardup import near_duplicates
 from .packing import packs
+from .pii import pii
 from .secrets import secrets
+from .substrings import repeated_passages
 from .tokenstore import store
 from .toxicity import toxicity
 
@@ -43,10 +45,18 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii(documents(spark, sf_dir))
+
+
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(documents(spark, sf_dir))
 
 
+def op8_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(documents(spark, sf_dir))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packs(documents(spark, sf_dir))
 
@@ -61,7 +71,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_secrets": op3_secrets,
     "op4_source_mix": op4_source_mix,
     "op5_toxicity": op5_toxicity,
+    "op6_pii": op6_pii,
     "op7_fingerprints": op7_fingerprints,
+    "op8_repeated_passages": op8_repeated_passages,
     "op9_packing": op9_packing,
     "op10_token_store": op10_token_store,
 }
