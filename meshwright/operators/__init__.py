@@ -1 +1 @@
-""""""
+"""Graph operators: views, products, frontiers, engines, primitives."""

@@ -4,7 +4,446 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import semiring as S
+from ..functions import tensor
+from ..functions.session import shared_dir
+from ..gnn.gcn import GraphConvolution, full_gcn, propagation
+from ..graph import Graph
+from ..operators import linalg as L
+from ..operators import primitives as P
+from ..operators.engine import advance, frontier_degree_sum
+from ..sources.loader import deduplicated, encounter_ids, load_edges, load_vector, load_vertices, mirrored, numbers, rejected
+from ..sources.options import LoadOptions
+from ..sources.sinks import text_lines
+from .pagerank import pagerank
+from .sssp import sssp_advance, sssp_blas_dense, sssp_blas_sparse
+from .tables import SUPPLIERS, event_steps, features, supply, table, trade, transition, transition_graph
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+_STEPS = "st AS (SELECT * FROM (SELECT user_id AS src, lead(user_id) OVER (ORDER BY ts, event_id) AS dst, CAST(round(value * 100) AS BIGINT) AS weight, ts, event_id FROM events) WHERE dst IS NOT NULL)"
+_EDGES = f"{_STEPS}, e AS (SELECT src, dst, min(weight) AS weight FROM st WHERE src <> dst GROUP BY src, dst)"
+_VERTICES = f"{_EDGES}, v AS (SELECT unnest(range((SELECT max(greatest(src, dst)) + 1 FROM e))) AS vid)"
+_NUMBERED = f"{_EDGES}, ne AS (SELECT *, row_number() OVER (ORDER BY src, dst) - 1 AS eid FROM e)"
+_X = "x AS (SELECT vec_id AS vid, CAST(unnest(range(len(embedding))) AS BIGINT) AS k, CAST(unnest(embedding) AS DOUBLE) AS val, label FROM embeddings)"
+
+
+def query(sql: str | None = None):
+    """Registers a function under its name, with its SQL if there is any."""
+
+    def put(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return put
+
+
+# --- graph construction
+
+
+@query(f"WITH {_STEPS} SELECT src, dst, arg_min(weight, (ts, event_id)) AS weight FROM st GROUP BY src, dst")
+def edges_dedup(spark, sf_dir):
+    return deduplicated(event_steps(spark, sf_dir)).select("src", "dst", "weight")
+
+
+@query(f"WITH {_EDGES} SELECT src, dst, weight FROM e UNION ALL SELECT dst, src, weight FROM e WHERE src <> dst")
+def edges_mirror(spark, sf_dir):
+    return mirrored(transition(spark, sf_dir)).select("src", "dst", "weight")
+
+
+@query(f"WITH {_STEPS} SELECT src, dst, weight FROM st WHERE src <> dst")
+def drop_self_loops(spark, sf_dir):
+    return event_steps(spark, sf_dir).where("src <> dst").select("src", "dst", "weight")
+
+
+@query(f"""WITH {_STEPS}, ends AS (SELECT src AS id, ts, event_id, 0 AS s FROM st WHERE src <> dst UNION ALL SELECT dst, ts, event_id, 1 FROM st WHERE src <> dst),
+f AS (SELECT id, min((ts, event_id, s)) AS seen FROM ends GROUP BY id) SELECT id AS orig_id, row_number() OVER (ORDER BY seen) - 1 AS vid FROM f""")
+def densify_ids(spark, sf_dir):
+    return encounter_ids(event_steps(spark, sf_dir).where("src <> dst"))
+
+
+@query(f"WITH {_EDGES} SELECT max(greatest(src, dst)) AS max_vid, count(*) AS num_edges FROM e")
+def graph_size(spark, sf_dir):
+    return transition(spark, sf_dir).agg(F.max(F.greatest("src", "dst")).alias("max_vid"), F.count("*").alias("num_edges"))
+
+
+@query(f"WITH {_VERTICES} SELECT v.vid, count(e.src) AS out_degree FROM v LEFT JOIN e ON e.src = v.vid GROUP BY v.vid")
+def out_degree(spark, sf_dir):
+    return transition_graph(spark, sf_dir).out_degree()
+
+
+@query(f"WITH {_VERTICES} SELECT v.vid, count(e.src) AS in_degree FROM v LEFT JOIN e ON e.dst = v.vid GROUP BY v.vid")
+def in_degree(spark, sf_dir):
+    return transition_graph(spark, sf_dir).in_degree()
+
+
+@query(f"WITH {_EDGES} SELECT src AS vid, CAST(sum(weight) AS BIGINT) AS out_weight FROM e GROUP BY src")
+def out_weight(spark, sf_dir):
+    return transition_graph(spark, sf_dir).out_weight()
+
+
+@query(f"WITH {_EDGES} SELECT dst AS src, src AS dst, weight FROM e")
+def transpose(spark, sf_dir):
+    return transition_graph(spark, sf_dir).transpose().edges
+
+
+@query(f"WITH {_EDGES} SELECT src AS vid, count(*) AS n, min(dst) AS first_dst, max(dst) AS last_dst FROM e GROUP BY src")
+def adjacency_len(spark, sf_dir):
+    a = transition_graph(spark, sf_dir).adjacency()
+    return a.select("vid", F.size("neighbours").cast("long").alias("n"), F.col("neighbours")[0]["vid"].alias("first_dst"), F.element_at("neighbours", -1)["vid"].alias("last_dst"))
+
+
+@query(f"WITH {_VERTICES}, r AS (SELECT vid FROM v UNION ALL SELECT max(vid) + 1 FROM v) SELECT r.vid AS row, count(e.src) AS \"offset\" FROM r LEFT JOIN e ON e.src < r.vid GROUP BY r.vid")
+def row_offsets(spark, sf_dir):
+    g = transition_graph(spark, sf_dir)
+    return L.indices_to_offsets(g.edges, g.size()["num_vertices"], "src")
+
+
+@query(f"WITH {_VERTICES}, r AS (SELECT vid FROM v UNION ALL SELECT max(vid) + 1 FROM v) SELECT r.vid AS row, count(e.src) AS \"offset\" FROM r LEFT JOIN e ON e.dst < r.vid GROUP BY r.vid")
+def column_offsets(spark, sf_dir):
+    g = transition_graph(spark, sf_dir)
+    return L.indices_to_offsets_by_search(g.edges, g.size()["num_vertices"], "dst")
+
+
+@query(f"WITH {_NUMBERED} SELECT eid AS position, src AS row FROM ne")
+def offsets_to_indices(spark, sf_dir):
+    g = transition_graph(spark, sf_dir)
+    return L.offsets_to_indices(L.indices_to_offsets(g.edges, g.size()["num_vertices"], "src"))
+
+
+@query(f"WITH {_NUMBERED} SELECT src, dst, weight, eid FROM ne")
+def edge_numbers(spark, sf_dir):
+    return transition_graph(spark, sf_dir).numbered_edges()
+
+
+@query(f"WITH {_EDGES} SELECT dst, src, weight, row_number() OVER (ORDER BY dst, src) - 1 AS position FROM e")
+def compressed_columns(spark, sf_dir):
+    return P.with_index(transition(spark, sf_dir).select("dst", "src", "weight"), "position", "dst", "src")
+
+
+@query("SELECT c_nationkey AS src, s_nationkey AS dst, CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS BIGINT) AS weight FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2".replace("c_nationkey AS src, s_nationkey AS dst", "CAST(c_nationkey AS BIGINT) AS src, CAST(s_nationkey AS BIGINT) AS dst"))
+def trade_edges(spark, sf_dir):
+    return trade(spark, sf_dir)
+
+
+_SUPPLY = f"se AS (SELECT o_custkey AS src, l_suppkey + {SUPPLIERS} AS dst, CAST(min(l_quantity) AS BIGINT) AS weight FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2)"
+
+
+@query(f"WITH {_SUPPLY} SELECT dst AS vid, count(*) AS in_degree, max(weight) AS widest FROM se GROUP BY dst")
+def supply_in_degree(spark, sf_dir):
+    e = supply(spark, sf_dir)
+    return e.groupBy(F.col("dst").alias("vid")).agg(F.count("*").alias("in_degree"), F.max("weight").alias("widest"))
+
+
+# --- loading and writing
+
+
+def _as_text(df: DataFrame, line: str, name: str) -> str:
+    path = f"{shared_dir(df.sparkSession)}/{name}-{abs(hash(name)) % 10**9}"
+    df.selectExpr(f"{line} as value").write.mode("overwrite").text(path)
+    return path
+
+
+@query(f"WITH {_EDGES} SELECT src, dst, CAST(weight AS DOUBLE) AS weight FROM e")
+def load_directed(spark, sf_dir):
+    path = _as_text(transition(spark, sf_dir), "concat(src, ' \t', dst, '  ', weight)", "edges-directed")
+    return load_edges(spark, path, LoadOptions(directed=True))[0]
+
+
+@query(f"WITH {_EDGES} SELECT src, dst, 1.0::DOUBLE AS weight FROM (SELECT src, dst FROM e UNION SELECT dst, src FROM e)")
+def load_default(spark, sf_dir):
+    path = _as_text(transition(spark, sf_dir), "concat(src, ' ', dst)", "edges-default")
+    return load_edges(spark, path)[0]
+
+
+@query(f"WITH {_EDGES} SELECT (SELECT count(*) FROM e) AS rejected")
+def load_rejects(spark, sf_dir):
+    path = _as_text(transition(spark, sf_dir).selectExpr("explode(array(concat(src, ' ', dst), cast(src as string), '% note', ' ')) as l"), "l", "edges-rejects")
+    return spark.createDataFrame([(rejected(spark, path),)], "rejected long")
+
+
+@query(f"WITH {_X} SELECT vid, round(sum(val), 4) AS total, max(k) + 1 AS width FROM (SELECT vid, k, CAST(round(val * 1000) AS BIGINT) / 1000.0::DOUBLE AS val FROM x) GROUP BY vid")
+def load_features(spark, sf_dir):
+    line = "concat(vid, ' ', array_join(transform(features, x -> cast(cast(round(x * 1000) as bigint) / 1000.0 as string)), '\t'))"
+    path = _as_text(features(spark, sf_dir), line, "features")
+    found = load_vertices(spark, path, lambda t: {"features": numbers()(t)})
+    return found.select("vid", F.round(F.aggregate("features", F.lit(0.0), lambda s, v: s + v), 4).alias("total"), F.size("features").cast("long").alias("width"))
+
+
+@query(f"WITH {_VERTICES}, w AS (SELECT src, CAST(sum(weight) AS BIGINT) AS s FROM e WHERE src % 3 = 0 GROUP BY src) SELECT vid, CAST(coalesce(s, 0) AS DOUBLE) AS val FROM v LEFT JOIN w ON w.src = v.vid")
+def load_vertex_vector(spark, sf_dir):
+    g = transition_graph(spark, sf_dir)
+    path = _as_text(g.out_weight().where("vid % 3 = 0"), "concat(vid, ' ', out_weight)", "vector")
+    return load_vector(spark, path, g.size()["num_vertices"])
+
+
+@query(f"WITH {_EDGES} SELECT printf('%d-%.6f', src, CAST(sum(weight) AS DOUBLE)) AS value FROM e GROUP BY src")
+def text_sink(spark, sf_dir):
+    return text_lines(transition_graph(spark, sf_dir).out_weight(), "vid", "out_weight")
+
+
+# --- traversal
+
+
+@query(f"WITH {_EDGES} SELECT src, dst, weight FROM e WHERE src < 10 AND weight > 500")
+def advance_one(spark, sf_dir):
+    g = transition_graph(spark, sf_dir)
+    return advance(g.edges, g.vertices.where("vid < 10"), F.col("weight") > 500).select("src", "dst", "weight")
+
+
+@query(f"WITH {_EDGES} SELECT dst AS vid, min(weight) AS nearest FROM e WHERE src IN (1, 2, 3) GROUP BY dst HAVING dst NOT IN (1, 2, 3)")
+def filter_visited(spark, sf_dir):
+    g = transition_graph(spark, sf_dir)
+    seen = g.vertices.where("vid in (1, 2, 3)")
+    found = advance(g.edges, seen).groupBy(F.col("dst").alias("vid")).agg(F.min("weight").alias("nearest"))
+    return found.join(seen, "vid", "left_anti")
+
+
+@query(f"WITH {_EDGES} SELECT count(*) AS size FROM e WHERE src < 20")
+def frontier_size(spark, sf_dir):
+    g = transition_graph(spark, sf_dir)
+    return frontier_degree_sum(g, g.vertices.where("vid < 20"))
+
+
+@query(f"WITH {_VERTICES} SELECT v.vid, label, CAST(len(embedding) AS BIGINT) AS width FROM v LEFT JOIN embeddings ON vec_id = v.vid")
+def vertex_properties(spark, sf_dir):
+    g = transition_graph(spark, sf_dir).with_properties(features(spark, sf_dir), strict=False)
+    return g.vertices.select("vid", "label", F.when(F.col("features").isNotNull(), F.size("features")).cast("long").alias("width"))
+
+
+# --- products
+
+
+def _values(spark, sf_dir):
+    return transition_graph(spark, sf_dir).vertices.select("vid", (F.col("vid") % 7 + 1).alias("val"))
+
+
+def _spmv(name: str, semiring: S.Semiring, sql: str, every: bool):
+    def f(spark, sf_dir):
+        g = transition_graph(spark, sf_dir)
+        return L.spmv(g.edges, _values(spark, sf_dir), semiring, vertices=g.vertices if every else None)
+
+    f.__name__ = name
+    query(sql)(f)
+
+
+_MET = f"WITH {_VERTICES}, m AS (SELECT dst, weight, src % 7 + 1 AS x FROM e)"
+_spmv("spmv_plus_times", S.PLUS_TIMES, f"{_MET} SELECT vid, CAST(coalesce(sum(weight * x), 0) AS BIGINT) AS val FROM v LEFT JOIN m ON m.dst = v.vid GROUP BY vid", True)
+_spmv("spmv_min_plus", S.MIN_PLUS, f"{_MET} SELECT dst AS vid, min(weight + x) AS val FROM m GROUP BY dst", False)
+_spmv("spmv_min_sum", S.MIN_PLUS_SUM, f"{_MET} SELECT vid, CAST(coalesce(sum(least(weight, x)), 0) AS BIGINT) AS val FROM v LEFT JOIN m ON m.dst = v.vid GROUP BY vid", True)
+_spmv("spmv_max_min", S.MAX_MIN, f"{_MET} SELECT dst AS vid, max(least(weight, x)) AS val FROM m GROUP BY dst", False)
+_spmv("spmv_max_times", S.MAX_TIMES, f"{_MET} SELECT vid, max(weight * x) AS val FROM v LEFT JOIN m ON m.dst = v.vid GROUP BY vid", True)
+_spmv("spmv_folded", S.Semiring("xor", 0, lambda w, x: w + x, S.folded(0, lambda a, b: a.bitwiseXOR(b), "long")), f"{_MET} SELECT dst AS vid, bit_xor(weight + x) AS val FROM m GROUP BY dst", False)
+
+
+@query(f"WITH {_EDGES} SELECT dst AS vid, bool_or(src % 5 = 0) AS val FROM e GROUP BY dst")
+def spmv_or_and(spark, sf_dir):
+    g = transition_graph(spark, sf_dir)
+    return L.spmv(g.edges, g.vertices.select("vid", (F.col("vid") % 5 == 0).alias("val")), S.OR_AND)
+
+
+def _long(spark, sf_dir):
+    return features(spark, sf_dir).select(F.col("vid").alias("row"), F.posexplode("features").alias("col", "val")).withColumn("col", F.col("col").cast("long"))
+
+
+def _rounded(df: DataFrame, places: int = 6) -> DataFrame:
+    """Sums of doubles, rounded so that the order of addition doesn't show; no negative zero."""
+    return df.withColumn("val", F.round("val", places) + F.lit(0.0))
+
+
+@query(f"WITH {_EDGES}, {_X} SELECT dst AS row, k AS col, round(sum(weight * val), 6) + 0.0 AS val FROM e JOIN x ON x.vid = e.src WHERE k < 8 GROUP BY 1, 2")
+def spmm_long(spark, sf_dir):
+    return _rounded(L.spmm(transition(spark, sf_dir), _long(spark, sf_dir).where("col < 8")))
+
+
+@query(f"WITH {_EDGES}, {_X} SELECT dst AS row, k AS col, round(sum(weight * val), 6) + 0.0 AS val FROM e JOIN x ON x.vid = e.src GROUP BY 1, 2")
+def spmm_arrays(spark, sf_dir):
+    out = L.spmm_arrays(transition(spark, sf_dir), features(spark, sf_dir), 64)
+    return _rounded(out.select(F.col("vid").alias("row"), F.posexplode("features").alias("col", "val")).withColumn("col", F.col("col").cast("long")))
+
+
+_GEMM = f"WITH {_X}, a AS (SELECT vid AS i, k, val FROM x WHERE vid < 64), b AS (SELECT vid AS k, k AS j, val FROM x WHERE vid < 64 AND k < 16) SELECT i AS row, j AS col, round(sum(a.val * b.val), 6) + 0.0 AS val FROM a JOIN b USING (k) GROUP BY 1, 2"
+
+
+@query(_GEMM)
+def gemm_long(spark, sf_dir):
+    x = _long(spark, sf_dir).where("row < 64")
+    return _rounded(L.gemm(x, x.where("col < 16")))
+
+
+@query(_GEMM)
+def gemm_col_major(spark, sf_dir):
+    x = _long(spark, sf_dir).where("row < 64")
+    swapped = x.select(F.col("col").alias("row"), F.col("row").alias("col"), "val")
+    return _rounded(L.gemm(swapped, swapped.where("row < 16"), a_col_major=True, b_col_major=True))
+
+
+@query(f"WITH {_EDGES}, {_X} SELECT src, dst, round(any_value(weight) * sum(l.val * r.val), 6) + 0.0 AS val FROM e JOIN x l ON l.vid = e.src JOIN x r ON r.vid = e.dst AND r.k = l.k GROUP BY 1, 2")
+def sddmm(spark, sf_dir):
+    x = features(spark, sf_dir)
+    return _rounded(L.sddmm(transition(spark, sf_dir), x, x))
+
+
+@query(f"WITH {_EDGES} SELECT src, dst, round(weight / greatest(sum(weight) OVER (PARTITION BY src), 1e-10), 9) AS weight FROM e")
+def row_normalise(spark, sf_dir):
+    return L.row_normalised(transition(spark, sf_dir)).withColumn("weight", F.round("weight", 9))
+
+
+@query(f"WITH {_VERTICES} SELECT src, dst, CAST(sum(w) AS DOUBLE) AS weight FROM (SELECT src, dst, weight AS w FROM e UNION ALL SELECT dst, src, weight FROM e UNION ALL SELECT vid, vid, 1 FROM v) GROUP BY 1, 2")
+def symmetrise(spark, sf_dir):
+    g = transition_graph(spark, sf_dir)
+    return L.symmetrised(g.edges, g.vertices)
+
+
+# --- primitives
+
+
+@query("SELECT event_id, CAST(sum(CAST(round(value * 100) AS BIGINT)) OVER (ORDER BY ts, event_id) AS BIGINT) AS total FROM events")
+def scan_sum(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("event_id", "ts", F.round(F.col("value") * 100).cast("long").alias("cents"))
+    return P.inclusive_scan(e, "cents", "total", "ts", "event_id").select("event_id", "total")
+
+
+@query("SELECT event_id, max(user_id) OVER (ORDER BY ts, event_id) AS highest FROM events")
+def scan_max(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("event_id", "ts", "user_id")
+    return P.inclusive_scan(e, "user_id", "highest", "ts", "event_id", reduce=F.max, combine=lambda a, b: F.greatest(a, b)).select("event_id", "highest")
+
+
+@query("SELECT c_custkey, (SELECT count(*) FROM orders WHERE o_custkey < c_custkey) AS position FROM customer")
+def lower_bound(spark, sf_dir):
+    return P.lower_bound(table(spark, sf_dir, "orders").select("o_custkey"), table(spark, sf_dir, "customer").select("c_custkey"), "o_custkey", "c_custkey")
+
+
+@query(f"WITH {_VERTICES}, w AS (SELECT src, count(*) AS n FROM e GROUP BY src) SELECT vid, coalesce(CASE WHEN n > 20 THEN n END, -1) AS n FROM v LEFT JOIN w ON w.src = v.vid")
+def scatter(spark, sf_dir):
+    g = transition_graph(spark, sf_dir)
+    return P.scatter(g.vertices, g.edges.groupBy(F.col("src").alias("vid")).agg(F.count("*").alias("n")), "vid", "n", -1, F.col("n") > 20)
+
+
+@query(f"WITH {_VERTICES} SELECT vid, row_number() OVER (ORDER BY vid) - 1 AS place FROM v WHERE vid % 3 = 1")
+def compact(spark, sf_dir):
+    return P.with_index(P.copy_if(transition_graph(spark, sf_dir).vertices, F.col("vid") % 3 == 1), "place", "vid")
+
+
+@query(f"WITH {_VERTICES}, o AS (SELECT src AS vid, count(*) AS n FROM e GROUP BY 1), i AS (SELECT dst AS vid, count(*) AS n FROM e GROUP BY 1) SELECT max(abs(coalesce(o.n, 0) - coalesce(i.n, 0))) AS max_diff FROM v LEFT JOIN o USING (vid) LEFT JOIN i USING (vid)")
+def max_diff(spark, sf_dir):
+    g = transition_graph(spark, sf_dir)
+    return P.max_difference(g.out_degree().withColumnRenamed("out_degree", "n"), g.in_degree().withColumnRenamed("in_degree", "n"), "vid", "n")
+
+
+@query(f"WITH {_EDGES} SELECT CAST(sum(weight * weight) AS BIGINT) AS result FROM e")
+def transform_reduce(spark, sf_dir):
+    return P.transform_reduce(transition(spark, sf_dir), F.col("weight") * F.col("weight"), F.sum)
+
+
+# --- algorithms
+
+_ROUNDS = 60
+_SSSP = f"""WITH RECURSIVE {_VERTICES}, l AS (SELECT src, dst, weight FROM e UNION ALL SELECT vid, vid, 0 FROM v),
+d(vid, dist, it) AS (SELECT CAST(0 AS BIGINT), CAST(0 AS BIGINT), 0 UNION ALL SELECT l.dst, CAST(min(d.dist + l.weight) AS BIGINT), d.it + 1 FROM d JOIN l ON l.src = d.vid WHERE d.it < {_ROUNDS} GROUP BY l.dst, d.it)
+SELECT v.vid, d.dist FROM v LEFT JOIN d ON d.vid = v.vid AND d.it = {_ROUNDS}"""
+for _f in (sssp_advance, sssp_blas_sparse, sssp_blas_dense):
+
+    def _paths(spark, sf_dir, f=_f):
+        return f(transition_graph(spark, sf_dir), 0)
+
+    _paths.__name__ = _f.__name__
+    query(_SSSP)(_paths)
+
+_PASSES = 10
+
+
+def _pagerank_sql(passes: int) -> str:
+    return f"""WITH RECURSIVE {_VERTICES}, s AS (SELECT src, sum(weight) AS total FROM e GROUP BY src), n AS (SELECT count(*) AS n FROM v),
+l AS (SELECT e.src, e.dst, 0.85::DOUBLE * weight / total AS p FROM e JOIN s ON s.src = e.src UNION ALL SELECT vid, vid, 0.0::DOUBLE FROM v),
+r(vid, rank, it) AS (SELECT vid, 1.0::DOUBLE / n, 0 FROM v, n UNION ALL SELECT l.dst, 0.15::DOUBLE / any_value(n.n) + sum(r.rank * l.p), r.it + 1 FROM r JOIN l ON l.src = r.vid, n WHERE r.it < {passes} GROUP BY l.dst, r.it)
+SELECT vid, round(rank, 9) AS rank FROM r WHERE it = {passes}"""
+
+
+@query(_pagerank_sql(_PASSES))
+def pagerank_fixed(spark, sf_dir):
+    return pagerank(transition_graph(spark, sf_dir), iterations=_PASSES).withColumn("rank", F.round("rank", 9))
+
+
+@query(_pagerank_sql(_PASSES - 1))
+def pagerank_previous(spark, sf_dir):
+    return pagerank(transition_graph(spark, sf_dir), iterations=_PASSES, result="previous").withColumn("rank", F.round("rank", 9))
+
+
+@query(_pagerank_sql(60).replace("round(rank, 9)", "round(rank, 4)"))
+def pagerank_converged(spark, sf_dir):
+    """To four places, at which the converged ranks and those of sixty passes agree."""
+    return pagerank(transition_graph(spark, sf_dir), eps=1e-9).withColumn("rank", F.round("rank", 4))
+
+
+# --- graph convolution
+
+
+def _weights(rows: int, cols: int, salt: int) -> list[list[float]]:
+    return [[((i * 7 + j * 3 + salt) % 11 - 5) / 10 for j in range(cols)] for i in range(rows)]
+
+
+def _w(name: str, rows: int, cols: int, salt: int) -> str:
+    return f"{name} AS (SELECT i AS k, j, ((i * 7 + j * 3 + {salt}) % 11 - 5) / 10.0::DOUBLE AS w FROM range({rows}) a(i), range({cols}) b(j))"
+
+
+def _unpacked(df: DataFrame) -> DataFrame:
+    return _rounded(df.select("vid", F.posexplode("features").alias("col", "val")).withColumn("col", F.col("col").cast("long")))
+
+
+@query(f"""WITH {_EDGES}, {_X}, {_w('w', 64, 8, 0)}, xw AS (SELECT vid, j, sum(val * w) AS val FROM x JOIN w USING (k) GROUP BY 1, 2),
+g AS (SELECT dst AS vid, j, sum(weight * val) AS val FROM e JOIN xw ON xw.vid = e.src GROUP BY 1, 2),
+a AS (SELECT vec_id AS vid, j FROM embeddings, range(8) t(j)) SELECT a.vid, a.j AS col, round(coalesce(g.val, 0), 6) + 0.0 AS val FROM a LEFT JOIN g USING (vid, j)""")
+def gcn_layer(spark, sf_dir):
+    layer = GraphConvolution(64, 8)
+    layer.load_state_dict({"weight": np.array(_weights(64, 8, 0))})
+    return _unpacked(layer.forward(transition(spark, sf_dir), features(spark, sf_dir)))
+
+
+@query(f"""WITH {_EDGES}, {_X}, {_w('w1', 64, 16, 1)}, {_w('w2', 16, 4, 2)},
+s AS (SELECT src, dst, sum(w) AS w FROM (SELECT src, dst, 1.0::DOUBLE AS w FROM e UNION ALL SELECT dst, src, 1.0::DOUBLE FROM e UNION ALL SELECT vec_id, vec_id, 1.0::DOUBLE FROM embeddings) GROUP BY 1, 2),
+a AS (SELECT src AS r, dst AS c, w / greatest(sum(w) OVER (PARTITION BY src), 1e-10) AS w FROM s),
+xw AS (SELECT vid, j, sum(val * w) AS val FROM x JOIN w1 USING (k) GROUP BY 1, 2),
+h AS (SELECT r AS vid, j AS k, greatest(sum(a.w * val), 0) AS val FROM a JOIN xw ON xw.vid = a.c GROUP BY 1, 2),
+hw AS (SELECT vid, j, sum(val * w) AS val FROM h JOIN w2 USING (k) GROUP BY 1, 2),
+o AS (SELECT r AS vid, j, sum(a.w * val) + (j - 1) / 10.0::DOUBLE AS val FROM a JOIN hw ON hw.vid = a.c GROUP BY 1, 2),
+m AS (SELECT vid, max(val) AS m FROM o GROUP BY vid), z AS (SELECT vid, ln(sum(exp(val - m))) AS z FROM o JOIN m USING (vid) GROUP BY vid)
+SELECT vid, j AS col, round(val - m - z, 6) + 0.0 AS val FROM o JOIN m USING (vid) JOIN z USING (vid)""")
+def gcn_forward(spark, sf_dir):
+    model = full_gcn(64, 16, 4)
+    model.load_state_dict({"gc1.weight": np.array(_weights(64, 16, 1)), "gc2.weight": np.array(_weights(16, 4, 2)), "gc2.bias": np.array([[-0.1, 0.0, 0.1, 0.2]])})
+    x = features(spark, sf_dir)
+    edges = transition(spark, sf_dir).withColumn("weight", F.lit(1.0))
+    return _unpacked(model.forward(propagation(edges, x), x))
+
+
+def _columns(f):
+    return lambda spark, sf_dir: _unpacked(features(spark, sf_dir).select("vid", f(F.col("features")).alias("features")))
+
+
+for _name, _g, _sql in (
+    ("relu", tensor.relu, f"WITH {_X} SELECT vid, k AS col, round(greatest(val, 0.0), 6) + 0.0 AS val FROM x"),
+    ("log_softmax", tensor.log_softmax, f"WITH {_X} SELECT vid, k AS col, round(val - max(val) OVER w - ln(sum(exp(val)) OVER w / exp(max(val) OVER w)), 6) + 0.0 AS val FROM x WINDOW w AS (PARTITION BY vid)"),
+    ("l2_normalise", tensor.l2_normalised, f"WITH {_X} SELECT vid, k AS col, round(val / greatest(sqrt(sum(val * val) OVER (PARTITION BY vid)), 1e-12), 6) + 0.0 AS val FROM x"),
+):
+    _fn = _columns(_g)
+    _fn.__name__ = _name
+    query(_sql)(_fn)
+
+
+@query(f"WITH {_X}, b AS (SELECT vid, min(k) AS k FROM (SELECT *, max(val) OVER (PARTITION BY vid) AS m FROM x) WHERE val = m GROUP BY vid) SELECT round(avg(CASE WHEN b.k = label THEN 1.0 ELSE 0.0 END), 9) AS accuracy FROM b JOIN embeddings ON vec_id = vid")
+def accuracy(spark, sf_dir):
+    return tensor.accuracy(features(spark, sf_dir), "features").select(F.round("accuracy", 9).alias("accuracy"))
+
+
+@query("SELECT split, count(*) AS n FROM (SELECT CASE WHEN vec_id < 140 THEN 'train' WHEN vec_id BETWEEN 200 AND 499 THEN 'val' WHEN vec_id BETWEEN 500 AND 1499 THEN 'test' END AS split FROM embeddings) GROUP BY split")
+def splits(spark, sf_dir):
+    return tensor.splits(features(spark, sf_dir)).groupBy("split").agg(F.count("*").alias("n"))

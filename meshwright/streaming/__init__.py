@@ -1 +1 @@
-""""""
+"""Reserved: every operator of this engine is a batch operator."""
