@@ -37,7 +37,7 @@ from ..functions.session import workers_import, written
 from .textvec import U64, chunks, id_column, mix, string_buffers, words
 
 #: Words in an index.
-BLOCK = 1 << 19
+BLOCK = 1 << 20
 
 
 def grams(h: np.ndarray, k: int) -> np.ndarray:
@@ -70,6 +70,9 @@ def anchors(g: np.ndarray, first: np.ndarray, k: int, least: int) -> np.ndarray:
     return np.unique(np.where(g[right] < g[left], right, left))
 
 
+_BELOW = (U64(1) << np.arange(64, dtype=U64)) - U64(1)
+
+
 class WaveletMatrix:
     """Symbols in ``levels`` bit vectors with rank counts."""
 
@@ -82,7 +85,7 @@ class WaveletMatrix:
             bits = np.zeros(len(x) // 64 + 1, U64)
             bits.view(np.uint8)[: len(packed)] = packed
             self.bits.append(bits)
-            self.counts.append(np.concatenate([[0], np.cumsum(np.bitwise_count(bits), dtype=np.int64)[:-1]]).astype(np.int32))
+            self.counts.append(np.concatenate([[0], np.cumsum(np.bitwise_count(bits), dtype=np.int64)[:-1]]))
             self.zeros.append(int(len(x) - bit.sum()))
             x = np.concatenate([x[~bit], x[bit]])
         self.begin = np.zeros(symbols, np.int64)
@@ -93,8 +96,8 @@ class WaveletMatrix:
         """How many symbols ``c`` stand before place ``i``."""
         for level, bits, counts, zeros in zip(reversed(range(self.levels)), self.bits, self.counts, self.zeros):
             w = i >> 6
-            ones = counts[w] + np.bitwise_count(bits[w] & ((U64(1) << (i & 63).astype(U64)) - U64(1)))
-            i = np.where(c >> level & 1, zeros + ones, i - ones)
+            ones = counts[w] + np.bitwise_count(bits[w] & _BELOW[i & 63])
+            i = np.where(c & (1 << level), zeros + ones, i - ones)
         return i - self.begin[c]
 
 
@@ -110,7 +113,7 @@ class Index:
             behind = np.zeros(n, np.int64)
             behind[: n - size] = rank[size:] + 1
             key = rank.astype(np.int64) * (n + symbols + 1) + behind
-            order = np.argsort(key, kind="stable")
+            order = np.argsort(key)
             sorted_key = key[order]
             rank = np.empty(n, np.int64)
             rank[order] = np.cumsum(np.concatenate([[0], (sorted_key[1:] != sorted_key[:-1]).astype(np.int64)])) if n else 0
@@ -118,7 +121,7 @@ class Index:
             ranks.append((size, rank.astype(np.int32)))
             if n and int(rank.max()) == n - 1:
                 break
-        order = np.argsort(rank, kind="stable")
+        order = np.argsort(rank)
         self.before = np.concatenate([[0], np.cumsum(np.bincount(x, minlength=symbols))])
         self.wavelets = WaveletMatrix(x[order - 1], symbols)
         # common prefixes of neighbours in the order, from the ranks by doubled lengths
@@ -139,35 +142,53 @@ class Index:
 
     def extend(self, c: np.ndarray, sp: np.ndarray, ep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The interval of a longer pattern: backward search."""
-        return self.before[c] + self.wavelets.rank(c, sp), self.before[c] + self.wavelets.rank(c, ep)
+        both = np.tile(self.before[c], 2) + self.wavelets.rank(np.tile(c, 2), np.concatenate([sp, ep]))
+        return both[: len(c)], both[len(c) :]
 
     def parent(self, sp: np.ndarray, ep: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The interval of the longest proper prefix that more suffixes share, and its length."""
+        """The interval of the longest proper prefix that more suffixes share, and its length.
+
+        Both ends go outwards while common prefixes are long enough, by doubled
+        steps first and then by halved ones.
+        """
         size = np.maximum(self.least[0][sp], self.least[0][ep])
-        sp, ep = sp.copy(), ep.copy()
-        for j, least in reversed(list(enumerate(self.least))):
-            at = sp - (1 << j) + 1
-            go = (at >= 0) & (least[np.clip(at, 0, len(least) - 1)] >= size) & (size > 0)
-            sp[go] -= 1 << j
-            go = (ep < len(least)) & (least[np.minimum(ep, len(least) - 1)] >= size) & (size > 0)
-            ep[go] += 1 << j
-        sp[size == 0], ep[size == 0] = 0, self.n
-        return sp, ep, size.astype(np.int64)
-
-    def matching(self, rows: np.ndarray, need: int) -> np.ndarray:
+        some = np.flatnonzero(size)
+        a, b, need = sp[some], ep[some], size[some]
+        for step in (-1, 1):
+            at, j = a if step < 0 else b, 0
+            while j < len(self.least) and len(at) and self._wide(at, step, j, need).any():
+                j += 1
+            for k in reversed(range(j)):
+                at = at + np.where(self._wide(at, step, k, need), step << k, 0)
+            a, b = (at, b) if step < 0 else (a, at)
+        left, right = np.zeros(len(sp), np.int64), np.full(len(sp), self.n)
+        left[some], right[some] = a, b
+        return left, right, size.astype(np.int64)
+
+    def _wide(self, at: np.ndarray, step: int, j: int, need: np.ndarray) -> np.ndarray:
+        """Whether 2**j more suffixes that way share a prefix of the needed length."""
+        least = self.least[j]
+        first = at - (1 << j) + 1 if step < 0 else at
+        inside = first >= 0 if step < 0 else first < len(least)
+        return inside & (least[np.where(inside, first, 0)] >= need)
+
+    def matching(self, rows: np.ndarray, need: int, least: int = 0) -> np.ndarray:
         """Matching statistics of texts: how far from each word ``need`` occurrences go.
 
         ``rows`` has a text a row, filled up with 0 on the right; a negative
-        symbol isn't in the index.
+        symbol isn't in the index.  A text's statistics stay 0 to the left of
+        where its matches end before word ``least``: ends only move left, so none
+        of that length can follow.
         """
         count, width = rows.shape
         out = np.zeros((count, width), np.int64)
         sp, ep, size = np.zeros(count, np.int64), np.full(count, self.n), np.zeros(count, np.int64)
+        live = np.arange(count)
         for j in reversed(range(width)):
-            left = np.flatnonzero(rows[:, j] != 0)
-            unknown = left[rows[left, j] < 0]
+            here = rows[live, j]
+            unknown = live[here < 0]
             sp[unknown], ep[unknown], size[unknown] = 0, self.n, 0
-            left = left[rows[left, j] > 0]
+            left = live[here > 0]
             while len(left):
                 a, b = self.extend(rows[left, j], sp[left], ep[left])
                 ok = b - a >= need
@@ -180,12 +201,15 @@ class Index:
                 left = left[~none]
                 if len(left):
                     sp[left], ep[left], size[left] = self.parent(sp[left], ep[left])
-            out[:, j] = size
+            out[live, j] = size[live]
+            if j < least:
+                live = live[j + size[live] >= least]
         return out
 
 
-def covered(texts: list[np.ndarray], group: np.ndarray, anchor: np.ndarray, least: int, block: int = BLOCK) -> np.ndarray:
-    """(start, end) of what each text shares with another of its group; 0, 0 for nothing.
+def covered(texts: list[np.ndarray], group: np.ndarray, anchor: np.ndarray, least: int, block: int = BLOCK, ask: np.ndarray | None = None) -> np.ndarray:
+    """(start, end) of what each text, or each of those marked in ``ask``, shares
+    with another of its group; 0, 0 for nothing.
 
     Texts are distinct within their group, and come sorted by group.  More words
     than a block are indexed in parts, and every text is streamed through all.
@@ -210,19 +234,22 @@ def covered(texts: list[np.ndarray], group: np.ndarray, anchor: np.ndarray, leas
         index = Index(text, len(names) + 1, width + 1)
         near = np.isin(group, group[part == p])
         for q in np.unique(part[near]):
-            ask = np.flatnonzero(near & (part == q))
-            rows = np.zeros((len(ask), width), np.int64)
-            use = np.isin(flat, ask)
+            wanted = near & (part == q)
+            if ask is not None:
+                wanted &= ask
+            these = np.flatnonzero(wanted)
+            rows = np.zeros((len(these), width), np.int64)
+            use = wanted[flat]
             known = np.minimum(np.searchsorted(names, coded[use]), len(names) - 1)
-            rows[np.searchsorted(ask, flat[use]), inside[use]] = np.where(names[known] == coded[use], known + 1, -1)
-            ms = index.matching(rows, 2 if p == q else 1)
+            rows[np.searchsorted(these, flat[use]), inside[use]] = np.where(names[known] == coded[use], known + 1, -1)
+            ms = index.matching(rows, 2 if p == q else 1, least)
             good = ms >= least
             some = good.any(axis=1)
             start, end = good.argmax(axis=1), np.where(good, ms + np.arange(width), 0).max(axis=1)
-            had = found[ask, 1] > 0
-            found[ask[some & had], 0] = np.minimum(found[ask, 0], start)[some & had]
-            found[ask[some & ~had], 0] = start[some & ~had]
-            found[ask[some], 1] = np.maximum(found[ask, 1], end)[some]
+            had = found[these, 1] > 0
+            found[these[some & had], 0] = np.minimum(found[these, 0], start)[some & had]
+            found[these[some & ~had], 0] = start[some & ~had]
+            found[these[some], 1] = np.maximum(found[these, 1], end)[some]
     return found
 
 
@@ -295,10 +322,10 @@ def _match(least: int, block: int):
                 texts[which[r]] = np.frombuffer(t, np.uint32)
         _, at, many = np.unique(fp[lead], return_inverse=True, return_counts=True)
         found = np.zeros((len(lead), 2), np.int64)
-        ask = np.flatnonzero(many[at] > 1)  # others have nothing to be held against
-        found[ask] = covered([texts[u] for u in ask], fp[lead[ask]], anchor[lead[ask]], least, block)
         whole = np.array([len(t) for t in texts])
-        full = (times > 1) & (whole >= least)
+        full = (times > 1) & (whole >= least)  # surroundings that recur are covered as they are
+        company = np.flatnonzero(many[at] > 1)  # others have nothing to be held against
+        found[company] = covered([texts[u] for u in company], fp[lead[company]], anchor[lead[company]], least, block, ~full[company])
         found[full] = np.stack([np.zeros(int(full.sum()), np.int64), whole[full]], axis=1)
         use = found[which, 1] > 0
         return _batch("id s e", [ids[use], (start + found[which, 0])[use].astype(np.int64), (start + found[which, 1])[use].astype(np.int64)])
