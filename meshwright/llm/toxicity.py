@@ -5,7 +5,8 @@ than among clean ones, and common terms that lean to neither.  Over all
 documents, terms that keep company with toxic seeds become nodes of a graph
 whose edges are positive pointwise mutual informations of two terms' sharing a
 passage.  Random walks with restart from either kind of seed give every node a
-polarity; a document's score is its words' weights per word.
+polarity; a document's score is the sum of its words' weights over the square
+root of their number, the scale on which chance hits vary.
 
 A term is a whole word or a stem (the first 4, 5 or 6 characters of a longer
 word), so inflected and compounded forms share evidence.
@@ -223,7 +224,7 @@ def _scores(lex: Lexicon):
             np.maximum.at(best, owner[at], weights[place])
             sums = np.concatenate([[0], np.cumsum(best[:-1])]) if first[-1] else np.zeros(1)
             hits = np.concatenate([[0], np.cumsum(best[:-1] > 0)]) if first[-1] else np.zeros(1)
-            score = (sums[first[1:]] - sums[first[:-1]]) / np.maximum(np.diff(first), 1)
+            score = (sums[first[1:]] - sums[first[:-1]]) / np.sqrt(np.maximum(np.diff(first), 1))
             out = {"doc_id": id_column(batch, "id").slice(i, j - i), "score": pa.array(np.round(score, 9)), "hits": pa.array((hits[first[1:]] - hits[first[:-1]]).astype(np.int64)), "toxic": pa.array((score > 0) & (score >= lex.threshold))}
             yield _table(out)
 
@@ -249,7 +250,7 @@ def best_threshold(score: np.ndarray, toxic: np.ndarray) -> float:
 
 def induce(
     docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", labelled: int = 8000, passage: int = 128,
-    least_share: float = 0.005, purity: float = 0.5, shift: float = 5.0, positives: int = 300, negatives: int = 400, least_polarity: float = 0.75,
+    least_share: float = 0.01, purity: float = 0.5, z: float = 2.5, shift: float = 5.0, positives: int = 300, negatives: int = 400, least_polarity: float = 0.9,
 ) -> Lexicon:
     """Learn the lexicon.
 
@@ -272,10 +273,10 @@ def induce(
         return Lexicon()
     rate = bad_total / total
     stats = sample.mapInArrow(_labelled_counts, "h long, bad long, n long").groupBy("h").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n"))
-    # between which shares of toxic documents the counts leave plausible (Wilson's bounds, z = 3)
+    # between which shares of toxic documents the counts leave plausible (Wilson's bounds)
     share, n = F.col("bad") / F.col("n"), F.col("n")
-    spread = 3 * F.sqrt(share * (1 - share) / n + 2.25 / (n * n))
-    stats = stats.where("n > 1").select("h", "bad", "n", ((share + 4.5 / n - spread) / (1 + 9 / n)).alias("low"), ((share + 4.5 / n + spread) / (1 + 9 / n)).alias("high"))
+    middle, spread = share + z * z / 2 / n, z * F.sqrt(share * (1 - share) / n + z * z / 4 / (n * n))
+    stats = stats.where("n > 1").select("h", "bad", "n", ((middle - spread) / (1 + z * z / n)).alias("low"), ((middle + spread) / (1 + z * z / n)).alias("high"))
     stats = written(stats, "terms")
     best = stats.where(F.col("low") >= purity).orderBy(F.desc("bad"), "h").limit(positives).collect()
     plain = stats.where(F.col("high") < purity).orderBy(F.desc("n"), "h").limit(negatives).collect()
