@@ -19,6 +19,8 @@ Defined results
 * repeated rows are scanned each; a null doc_id is reported as null;
 * a run of small letters only, or of digits only, is no candidate: it is a word or
   a number;
+* a string that passes for random counts as a secret whatever it means; where a
+  stratum has too few strings to tell, all with p of at least ``least_p`` do;
 * spans are in characters; other columns are passed through or not read.
 """
 
