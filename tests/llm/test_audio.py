@@ -1,0 +1,73 @@
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from meshwright.llm.audio import audio_features, decode, filterbank, hysteresis, log_mel, resample, to_tensors
+
+
+def tone(f, rate, seconds, amplitude=0.3):
+    return (amplitude * np.sin(2 * np.pi * f * np.arange(int(rate * seconds)) / rate)).astype(np.float32)
+
+
+@pytest.mark.parametrize(("rate", "to"), [(22_050, 16_000), (8_000, 16_000), (44_100, 16_000), (16_000, 8_000), (16_000, 16_000)])
+def test_resampling_keeps_a_tone(rate, to):
+    y = resample(tone(440, rate, 1), rate, to)
+    assert len(y) == to
+    assert np.abs(y - tone(440, to, 1))[to // 10 : -to // 10].max() < 0.006
+
+
+def test_resampling_is_the_sum_over_the_filter():
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=997).astype(np.float32)
+    y = resample(x, 22_050, 16_000)
+    cut = 16_000 / 22_050
+    for n in (0, 1, 57, 320, 500, len(y) - 1):
+        at = (np.arange(len(x)) - n * 22_050 / 16_000) * cut
+        w = np.where(np.abs(at) < 12, np.i0(8 * np.sqrt(np.clip(1 - (at / 12) ** 2, 0, 1))) / np.i0(8.0), 0)
+        assert abs(y[n] - (x * cut * np.sinc(at) * w).sum()) < 1e-4
+
+
+def test_downsampling_removes_what_it_cannot_hold():
+    assert np.abs(resample(tone(7000, 16_000, 1), 16_000, 8_000)[400:-400]).max() < 0.01
+
+
+def test_log_mel_is_brute_force():
+    x = np.random.default_rng(1).normal(size=2000).astype(np.float32)
+    mel, level = log_mel(x, 16_000, frame=400, hop=160, size=512, mels=40, block=3)
+    assert mel.shape == (11, 40)
+    window, bank = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(400) / 400), filterbank(16_000, 512, 40, 20.0, 8000)
+    for i in range(11):
+        f = x[i * 160 : i * 160 + 400] * window
+        assert np.allclose(mel[i], np.log(np.abs(np.fft.rfft(f, 512)) ** 2 @ bank), atol=1e-3)
+        assert abs(level[i] - 10 * np.log10((f**2).mean())) < 1e-3
+
+
+def test_hysteresis():
+    level = np.array([-60.0] * 30 + [-56, -50, -56, -56] + [-60] * 5 + [-56] * 6 + [-60] * 5 + [-50] + [-60] * 9)
+    assert [s[:2] for s in hysteresis(level, high_db=6, low_db=3, least=2)] == [(30, 34)]
+    assert [s[:2] for s in hysteresis(level, high_db=6, low_db=3, least=1)] == [(30, 34), (50, 51)]
+    assert hysteresis(level[:0], high_db=6, low_db=3, least=1) == []
+
+
+def test_encodings():
+    assert np.allclose(decode(np.array([0, 128, 255], np.uint8).tobytes(), "u8"), [-1, 0, 127 / 128])
+    assert np.allclose(decode(np.array([-32768, 16384], "<i2").tobytes() + b"x", "s16"), [-1, 0.5])
+    m = decode(bytes(range(256)), "mulaw")
+    assert m[0x00] == -32124 / 32768 and m[0x80] == 32124 / 32768 and m[0xFF] == 0 == m[0x7F]
+
+
+def test_windows_and_tensors(spark):
+    quiet = 0.001 * np.random.default_rng(0).normal(size=22_050 * 2)
+    quiet[11_025:22_050] += tone(440, 22_050, 0.5)
+    clip = (quiet * 32767).astype("<i2").tobytes()
+    rows = audio_features(spark.createDataFrame([(1, bytearray(clip)), (2, None), (3, bytearray(b"")), (4, bytearray(b"abc"))], "doc_id long, clip binary"), encoding="s16").orderBy("doc_id", "window").collect()
+    one = [r for r in rows if r["doc_id"] == 1]
+    assert [r["window"] for r in one] == list(range(len(one))) and sum(r["n_frames"] for r in one) == 198
+    assert all(len(r["tensor"]) == 32 * 40 for r in one)
+    segments = [s for r in one for s in r["segments"]]
+    assert len(segments) == 1 and abs(segments[0]["start_s"] - 0.5) < 0.03 and abs(segments[0]["end_s"] - 1.0) < 0.03
+    assert [(r["doc_id"], r["tensor"], r["n_frames"]) for r in rows if r["doc_id"] > 1] == [(2, None, 0), (3, None, 0), (4, None, 0)]
+    column = to_tensors(pa.array([r["tensor"] for r in rows], pa.list_(pa.float32())))
+    assert column.type.shape == [32, 40] and column.null_count == 3
