@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 from pathlib import Path
@@ -22,6 +24,7 @@ def shared_dir(spark: SparkSession) -> str:
     if current.isDefined():
         return current.get().rstrip("/")
     made = tempfile.mkdtemp(prefix="meshwright-")
+    atexit.register(shutil.rmtree, made, ignore_errors=True)
     spark.sparkContext.setCheckpointDir(f"file://{made}")
     return f"file://{made}"
 
@@ -47,6 +50,15 @@ def drop_written(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def drop_checkpoint(df: DataFrame) -> None:
+    """Delete the files of a checkpointed frame that nothing reads any more."""
+    file = df._jdf.queryExecution().logical().rdd().getCheckpointFile()
+    if file.isDefined():
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(file.get())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 #: Rows that an Arrow batch to a Python worker has at most, unless the session has its own setting.
 BATCH_ROWS = 1000
 

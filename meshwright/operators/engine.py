@@ -17,11 +17,14 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.semiring import Semiring
-from ..functions.session import shared_dir
+from ..functions.session import drop_checkpoint, shared_dir
 from ..graph import BLAS_VIEWS, Graph, Views
 from .frontier import Frontier, Kind, SparseFrontier
 
 
+SALT = "__salt"
+
+
 class Component:
     """An algorithm's lifecycle; ``status`` holds the driver's scalars."""
 
@@ -86,13 +89,21 @@ class BlasProgram:
     default_result: object = None
 
 
+def _sent(edges: DataFrame, values: DataFrame) -> DataFrame:
+    """Edges with their source's columns; salted edges meet a copy of them for each salt."""
+    if SALT not in edges.columns:
+        return edges.join(values, "src")
+    salts = edges.schema[SALT].metadata["salts"]
+    return edges.join(values.withColumn(SALT, F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), ["src", SALT]).drop(SALT)
+
+
 def _rest(state: DataFrame, *without: str) -> list[str]:
     return [c for c in state.columns if c not in ("vid", *without)]
 
 
 def advance(edges: DataFrame, frontier: DataFrame, predicate: Column | None = None) -> DataFrame:
     """One expansion: the out-edges of the frontier's vertices, with their columns."""
-    met = edges.join(frontier.withColumnRenamed("vid", "src"), "src")
+    met = _sent(edges, frontier.withColumnRenamed("vid", "src"))
     return met if predicate is None else met.where(predicate)
 
 
@@ -118,7 +129,7 @@ def blas_step(edges: DataFrame, state: DataFrame, program: BlasProgram, kind: Ki
         x = state.select(F.col("vid").alias("src"), F.when(F.col("active"), program.construct()).otherwise(F.lit(program.default_info)).alias("__x"))
     else:
         x = state.select(F.col("vid").alias("src"), program.construct().alias("__x"))
-    got = edges.join(x, "src").groupBy(F.col("dst").alias("vid")).agg(g.reduce(g.combine(F.col("weight"), F.col("__x"))).alias("result"))
+    got = _sent(edges, x).groupBy(F.col("dst").alias("vid")).agg(g.reduce(g.combine(F.col("weight"), F.col("__x"))).alias("result"))
     if kind is Kind.ALL:
         zero = F.lit(g.zero)
         met = state.drop("active").join(got, "vid", "left").withColumn("result", F.coalesce("result", zero) if g.zero is not None else F.col("result"))
@@ -135,9 +146,13 @@ class DivergedError(RuntimeError):
     """The loop didn't end within its greatest number of iterations."""
 
 
-def run(component: Component, frontier: Frontier, program: AdvanceProgram | BlasProgram, *, max_iterations: int | None = None, fixed_iterations: int | None = None, partitions: int | None = None) -> DataFrame:
+def run(component: Component, frontier: Frontier, program: AdvanceProgram | BlasProgram, *, max_iterations: int | None = None, fixed_iterations: int | None = None, partitions: int | None = None, salts: int = 1) -> DataFrame:
     """Iterate until frontier or component converge; at least once.
 
+    With ``salts`` the out-edges of a vertex lie in so many partitions, for graphs
+    with vertices of more out-edges than a partition should hold; active vertices
+    are copied to each.
+
     ``max_iterations`` defaults to the number of vertices and a final round that
     changes nothing; beyond it the loop diverges, as it does on a negative cycle.
     """
@@ -149,7 +164,10 @@ def run(component: Component, frontier: Frontier, program: AdvanceProgram | Blas
     if not advancing and not graph.views.has_some(BLAS_VIEWS & ~Views.CSR | Views.NORMAL):
         raise ValueError("the graph has neither view of its edges")
     # by source: that's the side on which state joins, so edges never move again
-    edges = graph.edges.repartition(n, "src").persist(StorageLevel.MEMORY_AND_DISK)
+    edges = graph.edges.repartition(n, "src")
+    if salts > 1:
+        edges = graph.edges.withColumn(SALT, F.pmod(F.xxhash64("dst"), F.lit(salts)).cast("int")).withMetadata(SALT, {"salts": salts}).repartition(n, "src", SALT)
+    edges = edges.persist(StorageLevel.MEMORY_AND_DISK)
     shared_dir(spark)  # where checkpoints go
     state = frontier.initial(component.init()).repartition(n, "vid").checkpoint()
     most = max_iterations
@@ -159,9 +177,10 @@ def run(component: Component, frontier: Frontier, program: AdvanceProgram | Blas
         frontier.before_engine()
         stepped = advance_step(edges, state, program) if advancing else blas_step(edges, state, program, frontier.kind)
         rounds += 1
-        seen = Observation()
+        seen, before = Observation(), state
         state = stepped.observe(seen, F.count_if("active").alias("active"), F.count("*").alias("n"), *[c.alias(m) for m, c in component.measures().items()]).checkpoint()
         row = seen.get
+        drop_checkpoint(before)
         frontier.after_engine(row["active"])
         component.status |= row | {"rounds": rounds}
         component.after_engine(state)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -146,8 +147,8 @@ def supply_in_degree(spark, sf_dir):
 
 
 def _as_text(df: DataFrame, line: str, name: str) -> str:
-    path = f"{shared_dir(df.sparkSession)}/{name}-{abs(hash(name)) % 10**9}"
-    df.selectExpr(f"{line} as value").write.mode("overwrite").text(path)
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.selectExpr(f"{line} as value").write.text(path)
     return path
 
 

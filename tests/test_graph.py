@@ -75,6 +75,23 @@ def test_formulations_agree(spark):
         assert all(b not in want or a not in want or want[b] <= want[a] + w for (a, b), w in edges.items())
 
 
+def test_salts_dont_matter(spark):
+    g, edges = random_graph(spark, 6)
+    for f in ALL:
+        assert rows(f(g, 3, salts=3), "vid") == rows(f(g, 3), "vid")
+    assert [r[1] for r in rows(pagerank(g, iterations=3, salts=4), "vid")] == pytest.approx([r[1] for r in rows(pagerank(g, iterations=3), "vid")])
+
+
+def test_superseded_states_go(spark):
+    import pathlib
+
+    root = pathlib.Path(spark.sparkContext.getConf().get("spark.checkpoint.dir").removeprefix("file://"))
+    count = lambda: len(list(root.glob("*/rdd-*")))
+    before = count()
+    sssp_advance(random_graph(spark, 7)[0], 3).collect()
+    assert count() == before + 1
+
+
 def test_rank_sum(spark):
     ring = Graph(spark.createDataFrame([(i, (i + 1) % 9, 1 + i) for i in range(9)] + [(i, (i + 4) % 9, 2) for i in range(9)], "src long, dst long, weight long"))
     assert pagerank(ring).agg(F.sum("rank")).first()[0] == pytest.approx(1)
