@@ -164,18 +164,30 @@ def run(component: Component, frontier: Frontier, program: AdvanceProgram | Blas
     if not advancing and not graph.views.has_some(BLAS_VIEWS & ~Views.CSR | Views.NORMAL):
         raise ValueError("the graph has neither view of its edges")
     # by source: that's the side on which state joins, so edges never move again
-    edges = graph.edges.repartition(n, "src")
+    edges = graph.edges.repartition(n, "src").sortWithinPartitions("src")
     if salts > 1:
-        edges = graph.edges.withColumn(SALT, F.pmod(F.xxhash64("dst"), F.lit(salts)).cast("int")).withMetadata(SALT, {"salts": salts}).repartition(n, "src", SALT)
+        edges = graph.edges.withColumn(SALT, F.pmod(F.xxhash64("dst"), F.lit(salts)).cast("int")).withMetadata(SALT, {"salts": salts}).repartition(n, "src", SALT).sortWithinPartitions("src", SALT)
     edges = edges.persist(StorageLevel.MEMORY_AND_DISK)
+    edges.count()
     shared_dir(spark)  # where checkpoints go
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    # an adaptive plan's partitioning isn't known to the next one; without, the state stays where it is
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        state = _loop(component, frontier, program, edges, n, max_iterations, fixed_iterations)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+        edges.unpersist()
+    return component.final(state)
+
+
+def _loop(component: Component, frontier: Frontier, program: AdvanceProgram | BlasProgram, edges: DataFrame, n: int, most: int | None, fixed: int | None) -> DataFrame:
     state = frontier.initial(component.init()).repartition(n, "vid").checkpoint()
-    most = max_iterations
     rounds = 0
     while True:
         component.before_engine()
         frontier.before_engine()
-        stepped = advance_step(edges, state, program) if advancing else blas_step(edges, state, program, frontier.kind)
+        stepped = advance_step(edges, state, program) if isinstance(program, AdvanceProgram) else blas_step(edges, state, program, frontier.kind)
         rounds += 1
         seen, before = Observation(), state
         state = stepped.observe(seen, F.count_if("active").alias("active"), F.count("*").alias("n"), *[c.alias(m) for m, c in component.measures().items()]).checkpoint()
@@ -184,17 +196,13 @@ def run(component: Component, frontier: Frontier, program: AdvanceProgram | Blas
         frontier.after_engine(row["active"])
         component.status |= row | {"rounds": rounds}
         component.after_engine(state)
-        if fixed_iterations is not None:
-            if rounds >= fixed_iterations:
-                break
-            continue
-        if frontier.converged() or component.converged(state):
-            break
-        if rounds >= (most if most is not None else row["n"] + 1):
-            edges.unpersist()
+        if fixed is not None:
+            if rounds >= fixed:
+                return state
+        elif frontier.converged() or component.converged(state):
+            return state
+        elif rounds >= (most if most is not None else row["n"] + 1):
             raise DivergedError(f"not converged after {rounds} iterations")
-    edges.unpersist()
-    return component.final(state)
 
 
 def activated(state: DataFrame) -> DataFrame:
