@@ -36,9 +36,14 @@ _ROWS = "doc_id long, source string, n_tokens long, probability double, state do
 
 
 def token_count(text: Column) -> Column:
-    """Words between white space; 0 for null and blank texts."""
-    trimmed = F.regexp_replace(text, r"^\s+|\s+$", "")
-    return F.when(F.coalesce(F.length(trimmed), F.lit(0)) == 0, F.lit(0)).otherwise(F.size(F.split(trimmed, r"\s+"))).cast("long")
+    """Words between ASCII white space; 0 for null and blank texts.
+
+    One split; the empty piece before leading white space and the one after
+    trailing white space don't count.
+    """
+    blank = lambda c: F.coalesce(c.rlike(r"^\s"), F.lit(False)).cast("int")
+    pieces = F.size(F.split(text, r"\s+")) - blank(F.left(text, F.lit(1))) - blank(F.right(text, F.lit(1)))
+    return F.when(F.coalesce(F.length(text), F.lit(0)) == 0, F.lit(0)).otherwise(pieces).cast("long")
 
 
 def probabilities(tokens: dict[str | None, int], weights: dict[str | None, float], share: float) -> dict[str | None, float]:

@@ -5,7 +5,9 @@ import random
 import numpy as np
 import pytest
 
-from meshwright.llm.mixing import Flight, mixed, probabilities
+from pyspark.sql import functions as F
+
+from meshwright.llm.mixing import Flight, mixed, probabilities, token_count
 
 from .conftest import prose
 
@@ -26,6 +28,12 @@ def test_totals_are_balanced(documents):
     assert abs(sum(r["n_tokens"] * r["selected"] for r in got) - 0.75 * total) <= 3 * longest
 
 
+def test_token_count(spark):
+    texts = [None, "", " ", " \n\t ", "a", " a", "a ", "  a\nb\t\tc  ", "é 東", "x" * 1000 + " y"]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", token_count(F.col("t")).alias("n")).orderBy("i").collect()
+    assert [r["n"] for r in got] == [len((t or "").split()) for t in texts]
+
+
 def test_probabilities_meet_targets_and_cap():
     p = probabilities({"a": 1000, "b": 100, "c": 100, "none": 0}, {"a": 1, "b": 1, "c": 1, "none": 1}, 0.5)
     assert p == {"a": pytest.approx(0.4), "b": 1.0, "c": 1.0, "none": 1.0}
