@@ -205,7 +205,7 @@ def _verify(k: int, least: float):
             return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64())], names=["id", "root"])
 
         for batch in batches:
-            ids, comps = id_column(batch, "id").to_pylist(), id_column(batch, "comp").to_pylist()
+            ids, comps = id_column(batch, "id").to_pylist(), list(zip(id_column(batch, "comp").to_pylist(), id_column(batch, "part").to_pylist()))
             raw, offsets = string_buffers(id_column(batch, "t"))
             for i, j in chunks(offsets):
                 sets = shingle_sets(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], k)
@@ -222,6 +222,14 @@ def _verify(k: int, least: float):
     return run
 
 
+def _verified(texts: DataFrame, placed: DataFrame, k: int, threshold: float) -> DataFrame:
+    """(id, root) of documents placed by (id, comp, part): groups within each part."""
+    # always a shuffled join: the groups' members grow with the corpus
+    members = texts.join(placed.hint("merge"), "id").dropDuplicates(["id", "t", "part"])
+    rows = members.repartition("comp", "part").sortWithinPartitions("comp", "part", "id").mapInArrow(_verify(k, threshold), "id long, root long")
+    return rows.groupBy("id").agg(F.min("root").alias("root"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, comp) of the ids in ``edges`` (a, b with a < b), comp the least id.
 
@@ -247,7 +255,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 3, width: int = 128, rows: int = 3, threshold: float = 0.5, seed: int = 42
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 3, width: int = 128, rows: int = 3, threshold: float = 0.5, seed: int = 42, members: int = 20_000
 ) -> DataFrame:
     """(doc_id, group_id, kept): near-duplicate groups of all documents.
 
@@ -277,10 +285,17 @@ def near_duplicates(
     sided = pairs.join(low.select(F.col("id").alias("a"), F.col("low").alias("la")), "a").join(low.select(F.col("id").alias("b"), F.col("low").alias("lb")), "b")
     edges = written(sided.mapInArrow(_plausible(width, threshold - 4 * (threshold * (1 - threshold) / width) ** 0.5), "a long, b long"), "pairs")
     comp = components(edges)
-    # always a shuffled join: the groups' members grow with the corpus
-    members = texts.join(comp.hint("merge"), "id").dropDuplicates(["id", "t"])
-    verified = members.repartition("comp").sortWithinPartitions("comp", "id").mapInArrow(_verify(k, threshold), "id long, root long")
-    verified = verified.groupBy("id").agg(F.min("root").alias("root"))
+    sizes = comp.groupBy("comp").agg(F.ceil(F.count("*") / F.lit(members)).alias("parts"))
+    part = F.pmod(F.xxhash64("id"), F.col("parts"))
+    placed = comp.join(sizes, "comp").select("id", "comp", F.explode(F.when(F.col("id") == F.col("comp"), F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).otherwise(F.array(part))).alias("part"))
+    verified = _verified(texts, placed, k, threshold)
+    large = sizes.where("parts > 1")
+    if not large.isEmpty():
+        # groups that formed apart from their component's first document meet through their own first ones
+        verified = written(verified, "verified")
+        apart = verified.join(comp.join(large, "comp", "left_semi"), "id").where("root <> comp").select(F.col("root").alias("id"), "comp", F.lit(0).cast("long").alias("part")).distinct()
+        again = _verified(texts, apart, k, threshold).select(F.col("id").alias("root"), F.col("root").alias("first"))
+        verified = verified.join(again, "root", "left").select("id", F.coalesce("first", "root").alias("root"))
     found = mapping.join(verified.select(F.col("id").alias("rep"), "root"), "rep", "left").select("id", F.coalesce("root", "rep").alias("group_id"))
     alone = own.where("t is null").select("id").distinct().join(mapping, "id", "left_anti").select("id", F.col("id").alias("group_id"))
     return found.union(alone).select(F.col("id").alias("doc_id"), "group_id", (F.col("id") == F.col("group_id")).alias("kept"))

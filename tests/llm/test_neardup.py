@@ -63,6 +63,17 @@ def test_large_group_and_exact_copies(documents):
     assert sum(r["kept"] for r in got) == 21
 
 
+def test_components_in_parts(documents):
+    rng = random.Random(7)
+    rows = []
+    for g in range(6):
+        base = prose(rng, 150)
+        rows += [(1000 * g + i, edited(rng, base, 0.03)) for i in range(40)]
+    whole = {r["doc_id"]: r["group_id"] for r in near_duplicates(documents(rows)).collect()}
+    parts = {r["doc_id"]: r["group_id"] for r in near_duplicates(documents(rows), members=7).collect()}
+    assert whole == parts == {d: d // 1000 * 1000 for d, _ in rows}
+
+
 def test_chain_joins_through_the_middle():
     a, b, c = np.arange(0, 60), np.arange(20, 80), np.arange(40, 100)
     g = Groups(0.5)
