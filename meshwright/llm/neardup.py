@@ -142,9 +142,9 @@ def _binary(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 class Groups:
     """Verified groups among documents that arrive one at a time.
 
-    A newcomer is first held against the first document of every group, which
-    settles nearly all; :meth:`close` then compares whatever is still apart, so
-    that the groups are those of all pairs at or above the threshold.
+    A newcomer is first held against the first documents of the earliest groups,
+    which settles nearly all; :meth:`close` then compares whatever is still apart,
+    so that the groups are those of all pairs at or above the threshold.
     """
 
     def __init__(self, least: float):
@@ -165,7 +165,7 @@ class Groups:
         self.ids.append(doc)
         self.sets.append(own)
         self.parent.append(x)
-        for f in self.first:
+        for f in self.first[:32]:
             if self.root(f) != self.root(x) and self.similar(self.sets[f], own):
                 self.parent[self.root(x)] = self.root(f)
         if self.root(x) == x:
@@ -184,6 +184,10 @@ class Groups:
             sizes = np.array([len(s) for s in self.sets])
             for x in np.flatnonzero(roots != largest):
                 lo, hi = np.searchsorted(every, self.sets[x], "left"), np.searchsorted(every, self.sets[x], "right")
+                # a partner shares least * sizes[x] of x at least, so one of its rarest that are more than the rest
+                rare = np.argsort(hi - lo, kind="stable")[: len(lo) - int(np.ceil(self.least * len(lo) - 1e-9)) + 1]
+                if not ((hi - lo)[rare] > 1).any():
+                    continue
                 at = np.repeat(lo - np.concatenate([[0], np.cumsum(hi - lo)[:-1]]), hi - lo) + np.arange((hi - lo).sum())
                 common = np.bincount(owner[at], minlength=n)
                 for y in np.flatnonzero(common >= self.least * (sizes + sizes[x] - common)):
@@ -223,11 +227,11 @@ def _verify(k: int, least: float):
 
 
 def _verified(texts: DataFrame, placed: DataFrame, k: int, threshold: float) -> DataFrame:
-    """(id, root) of documents placed by (id, comp, part): groups within each part."""
+    """(id, root) of documents placed by (id, comp, part), an id once for each part with another root."""
     # always a shuffled join: the groups' members grow with the corpus
     members = texts.join(placed.hint("merge"), "id").dropDuplicates(["id", "t", "part"])
     rows = members.repartition("comp", "part").sortWithinPartitions("comp", "part", "id").mapInArrow(_verify(k, threshold), "id long, root long")
-    return rows.groupBy("id").agg(F.min("root").alias("root"))
+    return rows.distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -285,17 +289,22 @@ def near_duplicates(
     sided = pairs.join(low.select(F.col("id").alias("a"), F.col("low").alias("la")), "a").join(low.select(F.col("id").alias("b"), F.col("low").alias("lb")), "b")
     edges = written(sided.mapInArrow(_plausible(width, threshold - 4 * (threshold * (1 - threshold) / width) ** 0.5), "a long, b long"), "pairs")
     comp = components(edges)
-    sizes = comp.groupBy("comp").agg(F.ceil(F.count("*") / F.lit(members)).alias("parts"))
+    sizes = comp.groupBy("comp").agg(F.count("*").alias("n"))
+    # a part is half of what a task holds, as every two parts of a component meet in a task
+    sizes = sizes.select("comp", F.when(F.col("n") > members, F.ceil(2 * F.col("n") / F.lit(members))).otherwise(1).cast("long").alias("parts"))
     part = F.pmod(F.xxhash64("id"), F.col("parts"))
-    placed = comp.join(sizes, "comp").select("id", "comp", F.explode(F.when(F.col("id") == F.col("comp"), F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).otherwise(F.array(part))).alias("part"))
+    others = F.filter(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda q: q != F.col("part"))
+    meetings = F.transform(others, lambda q: F.least(q, F.col("part")) * F.col("parts") + F.greatest(q, F.col("part")))
+    placed = comp.join(sizes, "comp").withColumn("part", part).select("id", "comp", F.explode(F.when(F.col("parts") == 1, F.array("part")).otherwise(meetings)).alias("part"))
     verified = _verified(texts, placed, k, threshold)
     large = sizes.where("parts > 1")
     if not large.isEmpty():
-        # groups that formed apart from their component's first document meet through their own first ones
+        # what two parts found to be a group joins what other two found
         verified = written(verified, "verified")
-        apart = verified.join(comp.join(large, "comp", "left_semi"), "id").where("root <> comp").select(F.col("root").alias("id"), "comp", F.lit(0).cast("long").alias("part")).distinct()
-        again = _verified(texts, apart, k, threshold).select(F.col("id").alias("root"), F.col("root").alias("first"))
-        verified = verified.join(again, "root", "left").select("id", F.coalesce("first", "root").alias("root"))
+        met = verified.where("root < id").join(comp.join(large, "comp", "left_semi"), "id").select(F.col("root").alias("a"), F.col("id").alias("b")).distinct()
+        joined = components(written(met, "met")).select("id", F.col("comp").alias("first"))
+        verified = verified.join(joined, "id", "left").select("id", F.coalesce("first", "root").alias("root"))
+    verified = verified.groupBy("id").agg(F.min("root").alias("root"))
     found = mapping.join(verified.select(F.col("id").alias("rep"), "root"), "rep", "left").select("id", F.coalesce("root", "rep").alias("group_id"))
     alone = own.where("t is null").select("id").distinct().join(mapping, "id", "left_anti").select("id", F.col("id").alias("group_id"))
     return found.union(alone).select(F.col("id").alias("doc_id"), "group_id", (F.col("id") == F.col("group_id")).alias("kept"))

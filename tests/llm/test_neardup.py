@@ -74,6 +74,17 @@ def test_components_in_parts(documents):
     assert whole == parts == {d: d // 1000 * 1000 for d, _ in rows}
 
 
+def test_chain_across_parts_is_one_group(documents):
+    # each document is near the next one alone, so most links have no end at the first document
+    words = [f"c{i}" for i in range(400)]
+    rows = [(i, " ".join(words[6 * i : 6 * i + 40])) for i in range(50)]
+    want, _ = brute_force(rows)
+    assert set(want.values()) == {0}
+    for members in (5, 20, 20_000):
+        got = {r["doc_id"]: r["group_id"] for r in near_duplicates(documents(rows), members=members).collect()}
+        assert got == want
+
+
 def test_chain_joins_through_the_middle():
     a, b, c = np.arange(0, 60), np.arange(20, 80), np.arange(40, 100)
     g = Groups(0.5)
