@@ -132,6 +132,45 @@ def _plausible(width: int, least: float):
     return run
 
 
+def links(comps: np.ndarray, low: np.ndarray, least: float) -> list[tuple[int, int]]:
+    """Pairs of components that plausible pairs among a bucket's members join, rows of ``low`` being their signatures."""
+    now, found = comps.copy(), []
+    for x in range(1, len(now)):
+        apart = np.flatnonzero(now[:x] != now[x])
+        if not len(apart):
+            continue
+        share = (low[apart] == low[x]).mean(axis=1)
+        for y in apart[(share - 1 / 256) / (1 - 1 / 256) >= least]:
+            if now[y] != now[x]:
+                found.append((min(now[x], now[y]), max(now[x], now[y])))
+                now[now == found[-1][1]] = found[-1][0]
+    return found
+
+
+def _links(width: int, least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        band, held = None, []
+
+        def out():
+            found = links(*(np.concatenate(c) for c in zip(*held)), least) if held else []
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in found], pa.int64()), pa.array([r[1] for r in found], pa.int64())], names=["a", "b"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            bands, comps = (id_column(batch, c).to_numpy(zero_copy_only=False) for c in ("band", "comp"))
+            low = _binary(id_column(batch, "low"))[0].reshape(-1, width)
+            cuts = np.concatenate([[0], np.flatnonzero(bands[1:] != bands[:-1]) + 1, [len(bands)]])
+            for i, j in zip(cuts[:-1], cuts[1:]):
+                if bands[i] != band:
+                    yield out()
+                    band, held = bands[i], []
+                held.append((comps[i:j], low[i:j]))
+        yield out()
+
+    return run
+
+
 def _binary(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     column = column.cast(pa.large_binary())
     _, offsets, data = column.buffers()
@@ -269,9 +308,10 @@ def near_duplicates(
     at 0.5 is missed with probability 0.004), and signatures that agree far
     too rarely (4 standard deviations) drop out before the verification.
 
-    Equal shingle sets are collapsed beforehand by a 128-bit hash, and a
-    bucket proposes each member with its first and its previous one, so hot
-    groups cost no quadratic work.
+    Equal shingle sets are collapsed beforehand by a 128-bit hash.  A bucket
+    proposes each member with its first and its previous one; where that leaves
+    a bucket in several components, all pairs across them are proposed too, so
+    only buckets of unlike documents cost quadratic work.
     """
     spark = docs.sparkSession
     workers_import(spark)
@@ -282,13 +322,25 @@ def near_duplicates(
     mapping = sig.select("id", "k1", "k2").join(keys, ["k1", "k2"]).groupBy("id").agg(F.min("rep").alias("rep"))
     reps = keys.select(F.col("rep").alias("id"))
     band = sig.select("id", "bands").join(reps, "id", "left_semi").select("id", F.explode("bands").alias("band"))
-    inside = Window.partitionBy("band").orderBy("id")
-    pairs = band.select("id", F.first("id").over(inside).alias("hub"), F.lag("id").over(inside).alias("prev")).where("hub < id")
-    pairs = pairs.select(F.explode(F.array_distinct(F.array("hub", "prev"))).alias("a"), F.col("id").alias("b")).where("a < b").distinct()
+    whole = Window.partitionBy("band")
+    inside = whole.orderBy("id")
+    buckets = band.select("id", "band", F.first("id").over(inside).alias("hub"), F.lag("id").over(inside).alias("prev"), F.count("*").over(whole).alias("n"))
+    buckets = written(buckets.where("n > 1"), "buckets")
+    pairs = buckets.where("hub < id").select(F.explode(F.array_distinct(F.array("hub", "prev"))).alias("a"), F.col("id").alias("b")).where("a < b").distinct()
     low = sig.select("id", "low").dropDuplicates(["id"])
     sided = pairs.join(low.select(F.col("id").alias("a"), F.col("low").alias("la")), "a").join(low.select(F.col("id").alias("b"), F.col("low").alias("lb")), "b")
-    edges = written(sided.mapInArrow(_plausible(width, threshold - 4 * (threshold * (1 - threshold) / width) ** 0.5), "a long, b long"), "pairs")
+    least = threshold - 4 * (threshold * (1 - threshold) / width) ** 0.5
+    edges = written(sided.mapInArrow(_plausible(width, least), "a long, b long"), "pairs")
     comp = components(edges)
+    # a bucket of four has pairs that were not looked at; they matter where they would join two components
+    seats = buckets.where("n > 3").select("id", "band").join(comp, "id", "left").select("id", "band", F.coalesce("comp", "id").alias("comp"))
+    seats = seats.withColumn("from", F.min("comp").over(whole)).withColumn("to", F.max("comp").over(whole)).where("from < to").select("id", "band", "comp")
+    mixed = seats.join(low, "id").repartition("band").sortWithinPartitions("band", "id").select("band", "comp", "low")
+    more = written(mixed.mapInArrow(_links(width, least), "a long, b long"), "links")
+    if not more.isEmpty():
+        wider = written(components(more.distinct()).select(F.col("id").alias("comp"), F.col("comp").alias("first")), "wider")
+        lone = wider.join(comp, wider["comp"] == comp["id"], "left_anti").select(F.col("comp").alias("id"), "first")
+        comp = comp.join(wider, "comp", "left").select("id", F.coalesce("first", "comp").alias("comp")).union(lone)
     sizes = comp.groupBy("comp").agg(F.count("*").alias("n"))
     # a part is half of what a task holds, as every two parts of a component meet in a task
     sizes = sizes.select("comp", F.when(F.col("n") > members, F.ceil(2 * F.col("n") / F.lit(members))).otherwise(1).cast("long").alias("parts"))
