@@ -40,9 +40,13 @@ _SHAPES = re.compile(
     |(?P<ip>(?<![A-Za-z0-9.])\d{1,3}(?:\.\d{1,3}){3}(?![A-Za-z0-9]|\.\d))
     |(?P<ssn>(?<![A-Za-z0-9-])\d{3}-\d{2}-\d{4}(?![A-Za-z0-9-]))
     |(?P<card>(?<![A-Za-z0-9.+-])\d(?:[ -]?\d){12,18}(?![A-Za-z0-9]|-\d))
-    |(?P<phone>(?<![A-Za-z0-9.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]\d{2,4}){1,4}(?![A-Za-z0-9]))""",
+    |(?P<phone>(?<![A-Za-z0-9.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]\d{2,4}){1,4}(?![A-Za-z0-9])
+        |(?<![A-Za-z0-9.])\+\d{7,15}(?![A-Za-z0-9])|(?<![A-Za-z0-9.+-])[2-9]\d{9}(?![A-Za-z0-9]))""",
     re.X,
 )
+_SHAPE = {k: re.compile(_SHAPES.pattern[_SHAPES.pattern.index(b"(?P<" + k.encode()) :].split(b"\n    |(?P<")[0], re.X) for k in ("ip", "ssn", "phone")}
+_AMERICAN = re.compile(rb"(?:\+1[ .-]?)?\(?[2-9]\d\d\)?[ .-]\d{3}[ .-]\d{4}(?![A-Za-z0-9])")
+_GROUP = re.compile(rb"[ .-]\d{2,4}$")
 _TOP = frozenset("com org net edu gov int info biz io co de fr es it nl uk eu us ca au ch at be pt br mx jp cn in ru pl se no fi dk ie".split())
 _ISSUERS = re.compile(r"4|5[1-5]|2(22[1-9]|2[3-9]|[3-6]|7[01]|720)|3[47]|35(2[89]|[3-8])|6011|64[4-9]|65")
 _CALLING = re.compile(r"\+(1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])")
@@ -80,7 +84,7 @@ def _format(kind: str, s: str) -> int:
         return -1 if s[:3] in ("000", "666") or s[0] == "9" or s[4:6] == "00" or s[7:] == "0000" else 1
     if kind == "card":
         return 1 if len(d) in (13, 14, 15, 16, 19) else -1
-    return 1 if re.fullmatch(r"(\+1[ .-]?)?\(?[2-9]\d\d\)?[ .-]\d{3}[ .-]\d{4}|\+\d{1,3}([ .-]?\(?\d{1,4}\)?){2,5}", s) and 7 <= len(d) <= 15 else -1
+    return 1 if re.fullmatch(r"(\+1[ .-]?)?\(?[2-9]\d\d\)?[ .-]\d{3}[ .-]\d{4}|\+\d{7,15}|[2-9]\d{2}[2-9]\d{6}|\+\d{1,3}([ .-]?\(?\d{1,4}\)?){2,5}", s) and 7 <= len(d) <= 15 else -1
 
 
 def _check(kind: str, s: str) -> int:
@@ -136,13 +140,57 @@ def traits(s: str, before: bytes, after: bytes) -> str:
     return f"{min(len(_digits(s)) // 3, 7)}{min(len(s) // 6, 7)}{int(s[0] == '+')}{int('(' in s)}{near(before[-1:])}{near(after[:1])}"
 
 
+def _other(raw: bytes, a: int, b: int) -> int:
+    """Where an address or a social security number begins inside a..b that ends there or later; ``b`` if none does."""
+    for kind in ("ip", "ssn"):
+        for at in range(a + 1, b):
+            m = _SHAPE[kind].match(raw, at)
+            if m and m.end() >= b and _format(kind, m.group().decode()) > 0:
+                b = at
+                break
+    return b
+
+
+def _phone(raw: bytes, a: int, b: int) -> int:
+    """Where the phone number at ``a`` ends, of a match up to ``b``; ``a`` if none is there.
+
+    Groups go from the end while another number of fixed shape begins in them or
+    the digits are too many; a whole number of the North American shape or with a
+    calling code goes before a longer run that has no known shape.
+    """
+    b = a + len(raw[a : _other(raw, a, b)].rstrip(b" .-"))
+    if (m := _AMERICAN.match(raw, a)) and m.end() <= b:
+        return m.end()
+    ends = [b]
+    while (m := _GROUP.search(raw, a, ends[-1])) and m.start() > a:
+        ends.append(m.start())
+    fit = [e for e in ends if 7 <= len(_digits(raw[a:e].decode())) <= 15]
+    return next((e for e in fit if _format("phone", raw[a:e].decode()) > 0), fit[0]) if fit else a
+
+
+def _matches(raw: bytes) -> Iterator[tuple[int, int, str]]:
+    """(start, end, kind) of shapes; the search goes on where a number ends, or inside what is refused."""
+    at = 0
+    while m := _SHAPES.search(raw, at):
+        kind, (a, b) = m.lastgroup, m.span()
+        at = b
+        if kind == "card" and _other(raw, a, b) < b and (m := _SHAPE["phone"].match(raw, a)):
+            kind, at, b = "phone", m.end(), m.end()
+        if kind == "phone":
+            b = _phone(raw, a, b)
+            if a == b:
+                # the next group may begin another number
+                inner = re.compile(rb"[ .-]").search(raw, a + 1, at)
+                at = inner.end() if inner else at
+                continue
+            at = b
+        yield a, b, kind
+
+
 def spans(raw: bytes) -> Iterator[tuple[int, int, str, str, list[int], str]]:
     """(start, end, kind, span, votes, traits) of the candidates of a text."""
-    for m in _SHAPES.finditer(raw):
-        kind, (a, b) = m.lastgroup, m.span()
-        s = m.group().decode()
-        if kind == "phone" and not 7 <= len(_digits(s)) <= 15:
-            continue
+    for a, b, kind in _matches(raw):
+        s = raw[a:b].decode()
         before, after = raw[max(0, a - 40) : a], raw[b : b + 40]
         votes = [f(kind, s) for f in SPAN_LABELERS] + [f(kind, before, after) for f in CONTEXT_LABELERS]
         yield a, b, kind, s, votes, traits(s, before, after)

@@ -69,6 +69,22 @@ def test_shapes(text, kinds):
     assert [s[2] for s in spans(text.encode())] == kinds
 
 
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("call +1 (826) 555-4081 190.137.223.204 now", [("phone", "+1 (826) 555-4081"), ("ip", "190.137.223.204")]),
+        ("call (826) 555-4081 10.1.22.33 now", [("phone", "(826) 555-4081"), ("ip", "10.1.22.33")]),
+        ("call (826) 555-4081 078-05-1120", [("phone", "(826) 555-4081"), ("ssn", "078-05-1120")]),
+        ("(212) 555-0100 (212) 555-0101", [("phone", "(212) 555-0100"), ("phone", "(212) 555-0101")]),
+        ("call +1 (826) 555-4081 42 50 people", [("phone", "+1 (826) 555-4081")]),
+        ("415-555-2671 190.137.223.204", [("phone", "415-555-2671"), ("ip", "190.137.223.204")]),
+        ("call +14155552671 or 4155552671.", [("phone", "+14155552671"), ("phone", "4155552671")]),
+    ],
+)
+def test_adjacent_and_unseparated_numbers(text, want):
+    assert [s[2:4] for s in spans(text.encode())] == want
+
+
 def test_long_runs_take_linear_time():
     import time
 
