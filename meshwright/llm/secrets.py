@@ -27,6 +27,7 @@ Defined results
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -158,12 +159,29 @@ def band(length: int) -> int:
     return max(b for b in BANDS if b <= length)
 
 
+def parts(token: bytes) -> list[tuple[int, int, str]]:
+    """(start, end, encoding) of what is to be tested in a run.
+
+    A run that mixes + or / with - or _ is in no alphabet and is split at all four;
+    where that leaves no part of LEAST symbols, at either pair alone.
+    """
+    if not (set(token) & set(b"+/") and set(token) & set(b"-_")):
+        encoding = infer(token)
+        return [(0, len(token), encoding)] if encoding else []
+    found: list[tuple[int, int, str]] = []
+    for inside in (rb"[^-_+/]+", rb"[^+/]+", rb"[^-_]+"):
+        for m in re.finditer(inside, token):
+            a, b = m.span()
+            if b - a >= LEAST and all(b <= x or y <= a for x, y, _ in found) and (encoding := infer(m.group())):
+                found.append((a, b, encoding))
+    return sorted(found)
+
+
 def _tested(raw: np.ndarray, offsets: np.ndarray):
     for d, a, b in candidates(raw, offsets):
         token = raw[a:b].tobytes()
-        encoding = infer(token)
-        if encoding:
-            yield d, a, b, encoding, battery(token, encoding)
+        for x, y, encoding in parts(token):
+            yield d, a + x, a + y, encoding, battery(token[x:y], encoding)
 
 
 _SPANS = "doc_id long, start long, end long, encoding string, length long, band long, p_symbols double, p_classes double, p_runs double, p_serial double, p double, h long"

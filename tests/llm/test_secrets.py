@@ -53,6 +53,14 @@ def test_candidates_never_cross_documents():
     assert list(candidates(raw, offsets)) == [(2, 23, 39)]
 
 
+def test_tokens_in_mixed_runs_are_found(documents):
+    rng = random.Random(8)
+    base62 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    rows = [(i, f"see my-service/{drawn(rng, base62, 40)} there") for i in range(120)]
+    found = {(r["doc_id"], r["start"], r["end"]) for r in secrets(documents(rows)).collect()}
+    assert sum((i, 15, 55) in found for i, _ in rows) >= 0.95 * len(rows)
+
+
 def test_cut_controls_the_share_of_other_strings():
     rng = np.random.default_rng(0)
     random_, other = rng.random(4000), np.minimum(rng.exponential(0.03, 6000), 0.999)
