@@ -3,9 +3,10 @@
 Documents longer than the capacity first give full sequences of their own; what
 remains of them and all shorter ones are items.  A branch and bound completes one
 bin at a time: the largest unpacked item opens it, and the fillings tried around
-it are the undominated ones, largest items first.  The incumbent is best-fit
-decreasing; a branch ends when its waste leaves no room for a better solution,
-the search when the incumbent meets the lower bound or after ``nodes`` sets.
+it are the undominated ones, least waste first and then the largest items.  The
+incumbent is best-fit decreasing; a branch ends when its waste leaves no room for
+a better solution, the search when the incumbent meets the lower bound, when
+nothing is left or after ``nodes`` sets.
 
 Items are packed in blocks of about ``block`` documents, chosen by a hash of the
 doc_id, so that blocks are packed independently whatever the corpus size.
@@ -15,6 +16,7 @@ Defined results
 * null, empty and blank texts have no tokens and are in no pack;
 * repeated rows are items each; rows whose doc_id is null are packed under null;
 * equal lengths are told apart by doc_id only to make results repeatable;
+* a very long text gives full sequences and one item, whatever its length;
 * an empty table gives no packs; only the named columns are read.
 """
 
@@ -68,60 +70,110 @@ def lower_bound(sizes: list[int], capacity: int) -> int:
     return best
 
 
-def fillings(room: int, asc: list[int], counts: dict[int, int], left: list[int]) -> Iterator[list[int]]:
-    """Undominated sets of available sizes that fit ``room``, largest first.
+def reaches(asc: list[int], counts: dict[int, int], room: int) -> list[int]:
+    """For every size up to ``room``, as bits, the sums that it and the lesser ones reach."""
+    mask, bits, out = (2 << room) - 1, 1, []
+    for s in asc:
+        if s > room:
+            break
+        left, several = counts[s], 1
+        while left > 0 and s * several <= room:
+            several = min(several, left)
+            bits |= bits << s * several & mask
+            left -= several
+            several *= 2
+        out.append(bits)
+    return out
+
+
+def fillings(room: int, asc: list[int], counts: dict[int, int], left: list[int], slack: int | None = None) -> Iterator[list[int]]:
+    """Undominated sets of available sizes that fit ``room`` and waste at most ``slack``
+    (any waste if None): least waste first, then the largest sizes.
 
     ``asc`` has the distinct available sizes.  A set is dominated if another
-    available size still fits, or could take the place of one or of two of its
-    members without exceeding the room.  Each set looked at costs one of ``left``.
+    available size could take the place of some of its members, or of none, that
+    sum up to as much or to less by no more than the waste.  Each set looked at
+    costs one of ``left``.  Sets are built along sums known to be reachable, so
+    no step is wasted, and by sizes with their numbers, so that many equal sizes
+    cost no more than one.
     """
-
-    def unused(low: int, high: int, chosen: list[int]) -> bool:
-        at = bisect_left(asc, low)
-        while at < len(asc) and asc[at] <= high:
-            if counts[asc[at]] > chosen.count(asc[at]):
+    reach = reaches(asc, counts, room)
+    own = asc[: len(reach)]
+    have = [counts[s] for s in own]
+    every = sum(1 << s for s in own)
+
+    def step(i: int, m: int, rest: int) -> tuple[int, int] | None:
+        """The next size at or below place i, with its number (m at most at i), from which lesser ones reach the rest."""
+        while i >= 0 and reach[i] >> rest & 1:
+            below, s = reach[i - 1] if i else 1, own[i]
+            for m in range(min(m, rest // s), 0, -1):
+                if below >> rest - m * s & 1:
+                    return i, m
+            i -= 1
+            m = have[i]
+        return None
+
+    def exact(total: int) -> Iterator[list[tuple[int, int]]]:
+        """Sets of exactly this sum as places with numbers, largest first."""
+        path: list[tuple[int, int, int]] = []
+        i, rest = len(own) - 1, total
+        m = have[i] if own else 0
+        while True:
+            if rest and (found := step(i, m, rest)):
+                i, m = found
+                path.append((i, m, rest))
+                rest -= m * own[i]
+                i -= 1
+                m = have[i]
+                continue
+            if not rest:
+                yield [(i, m) for i, m, _ in path]
+            if not path:
+                return
+            i, m, rest = path.pop()
+            m -= 1
+
+    def dominated(chosen: list[tuple[int, int]], waste: int) -> bool:
+        unused = every
+        for i, m in chosen:
+            if m == have[i]:
+                unused ^= 1 << own[i]
+        sums, low = 1, 0  # of members up to ``low``
+        for s, m in [*((own[i], m) for i, m in reversed(chosen)), (room, 0)]:
+            wide, done = sums, 0
+            while done < waste:
+                more = min(done + 1, waste - done)
+                wide |= wide << more
+                done += more
+            if (wide & unused & (2 << s) - 1) >> low + 1:
                 return True
-            at += 1
+            several = 1
+            while m > 0:
+                several = min(several, m)
+                sums |= sums << s * several
+                m -= several
+                several *= 2
+            low = s
         return False
 
-    def dominated(chosen: list[int], slack: int) -> bool:
-        if unused(1, slack, chosen):
-            return True
-        if any(unused(s + 1, s + slack, chosen) for s in set(chosen)):
-            return True
-        return any(unused(a + b, a + b + slack, chosen) for i, a in enumerate(chosen) for b in chosen[i + 1 :])
-
-    def extend(chosen: list[int], free: int, top: int) -> Iterator[list[int]]:
-        left[0] -= 1
-        at = bisect_left(asc, min(free, top) + 1) - 1
-        while at >= 0 and left[0] > 0:
-            s = asc[at]
-            if counts[s] > chosen.count(s):
-                yield from extend([*chosen, s], free - s, s)
-            at = bisect_left(asc, s) - 1
-        if not dominated(chosen, free):
-            yield chosen
+    top = reach[-1] if reach else 1
+    for total in range(top.bit_length() - 1, -1 if slack is None else max(-1, room - slack - 1), -1):
+        if top >> total & 1:
+            for chosen in exact(total):
+                if left[0] <= 0:
+                    return
+                left[0] -= 1
+                if not dominated(chosen, room - total):
+                    yield [own[i] for i, m in chosen for _ in range(m)]
 
-    yield from extend([], room, room)
 
-
-def pack(sizes: list[int], capacity: int, nodes: int = 20000) -> list[list[int]]:
-    """Bins of sizes: optimal if the search ends within ``nodes`` sets, else the best found."""
-    best = best_fit(sizes, capacity)
-    bound = lower_bound(sizes, capacity)
-    if len(best) <= bound:
-        return best
+def _search(sizes: list[int], capacity: int, best: list[list[int]], bound: int, width: int, left: list[int]) -> tuple[list[list[int]], bool]:
+    """(the best of ``best`` and what is found, whether nothing was left out), trying ``width`` fillings a bin."""
     counts: dict[int, int] = {}
     for s in sizes:
         counts[s] = counts.get(s, 0) + 1
-    asc, total = sorted(counts), sum(sizes)
-    left, n_left, wasted = [nodes], len(sizes), 0
-    path: list[tuple[int, list[int], Iterator[list[int]]]] = []
-
-    def open_bin() -> None:
-        s = asc[-1]
-        take(s)
-        path.append((s, [], fillings(capacity - s, asc, counts, left)))
+    asc, total, n_left, wasted, whole = sorted(counts), sum(sizes), len(sizes), 0, True
+    path: list[tuple[int, list[int] | None, Iterator[list[int]], int]] = []  # largest size, filling, the others, how many were tried
 
     def take(s: int) -> None:
         nonlocal n_left
@@ -137,34 +189,51 @@ def pack(sizes: list[int], capacity: int, nodes: int = 20000) -> list[list[int]]
         counts[s] += 1
         n_left += 1
 
+    def open_bin() -> None:
+        s = asc[-1]
+        take(s)
+        path.append((s, None, fillings(capacity - s, asc, counts, left, (len(best) - 1) * capacity - total - wasted), 0))
+
     open_bin()
     while path and left[0] > 0:
-        s, chosen, more = path[-1]
-        if chosen is not None and chosen:
+        s, chosen, more, tried = path[-1]
+        if chosen is not None:
             for x in chosen:
                 give(x)
             wasted -= capacity - s - sum(chosen)
-            path[-1] = (s, [], more)
-        elif chosen is None:
-            wasted -= capacity - s
         following = next(more, None)
-        if following is None:
+        if following is None or tried == width:
+            whole = whole and following is None
             path.pop()
             give(s)
             continue
         for x in following:
             take(x)
         wasted += capacity - s - sum(following)
-        path[-1] = (s, following or None, more)
+        path[-1] = (s, following, more, tried + 1)
         if wasted > (len(best) - 1) * capacity - total:
             continue
         if not n_left:
-            best = [[a, *(b or [])] for a, b, _ in path]
+            best = [[a, *(b or [])] for a, b, _, _ in path]
             if len(best) <= bound:
                 break
-            continue
-        if len(path) < len(best) - 1:
+        elif len(path) < len(best) - 1:
             open_bin()
+    return best, whole and left[0] > 0
+
+
+def pack(sizes: list[int], capacity: int, nodes: int = 20000) -> list[list[int]]:
+    """Bins of sizes: optimal if the search ends within ``nodes`` sets, else the best found.
+
+    The search tries one filling a bin, then two, four and so on, until it has
+    left nothing out: its first dives repair best fit at small cost, however many
+    bins there are.
+    """
+    best, left, width, whole = best_fit(sizes, capacity), [nodes], 1, False
+    bound = lower_bound(sizes, capacity)
+    while len(best) > bound and left[0] > 0 and not whole:
+        best, whole = _search(sizes, capacity, best, bound, width, left)
+        width *= 2
     return best
 
 

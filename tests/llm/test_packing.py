@@ -1,6 +1,8 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
+from itertools import combinations
 
 import pytest
 from hypothesis import given, settings
@@ -57,6 +59,66 @@ def test_search_beats_best_fit():
     assert better > 3
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 60), max_size=11))
+def test_search_is_optimal_by_default(sizes):
+    assert len(pack(sizes, 60)) == optimum(sizes, 60)
+
+
+def plain_fillings(room, sizes):
+    """All undominated sets, by trying all replacements of all subsets."""
+    sets = {tuple(sorted(c)) for n in range(len(sizes) + 1) for c in combinations(sizes, n) if sum(c) <= room}
+
+    def dominated(chosen):
+        rest = Counter(sizes) - Counter(chosen)
+        for n in range(len(chosen) + 1):
+            for out in set(combinations(chosen, n)):
+                if any(sum(out) <= c <= sum(out) + room - sum(chosen) and out != (c,) for c in rest):
+                    return True
+        return False
+
+    return sorted(c for c in sets if not dominated(c))
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.integers(1, 12), max_size=7), st.integers(0, 25), st.integers(0, 25))
+def test_fillings_are_those_of_brute_force(sizes, room, slack):
+    counts = Counter(sizes)
+    got = [tuple(sorted(f)) for f in fillings(room, sorted(counts), counts, [10**6])]
+    assert [sum(f) for f in got] == sorted(map(sum, got), reverse=True)
+    assert sorted(got) == plain_fillings(room, sizes)
+    assert sorted(tuple(sorted(f)) for f in fillings(room, sorted(counts), counts, [10**6], slack)) == [f for f in plain_fillings(room, sizes) if sum(f) >= room - slack]
+
+
+def exact_triples(rng, n, capacity):
+    sizes = []
+    for _ in range(n):
+        a = rng.randint(capacity * 26 // 100, capacity * 40 // 100)
+        b = rng.randint(capacity * 26 // 100, capacity * 74 // 100 - a)
+        sizes += [a, b, capacity - a - b]
+    return sizes
+
+
+def test_default_search_on_exact_triples():
+    rng = random.Random(1)
+    sizes = exact_triples(rng, 60, 100)
+    assert len(best_fit(sizes, 100)) > 60 == len(pack(sizes, 100))
+    # at 2048 tokens exact sums are rarer: one sequence more than the least
+    sizes = exact_triples(rng, 60, 2048)
+    assert len(best_fit(sizes, 2048)) > 64 and len(pack(sizes, 2048)) <= 61
+    sizes = exact_triples(rng, 200, 2048) + [1] * 800
+    assert len(best_fit(sizes, 2048)) > 215 and len(pack(sizes, 2048)) <= 203
+
+
+def test_many_small_documents(documents):
+    sizes = [843] * 27 + [799] * 22 + [1] * 1392
+    bins = pack(sizes, 2048)
+    assert sorted(s for b in bins for s in b) == sorted(sizes) and all(sum(b) <= 2048 for b in bins) and len(bins) == 25
+    got = packs(documents([(i, " ".join(["w"] * n)) for i, n in enumerate(sizes)])).collect()
+    assert len(got) == 25 and sum(r["n_tokens"] for r in got) == sum(sizes)
+    assert len(pack([1] * 30_000 + [2] * 9_000, 8192)) == 6
+
+
 def test_fillings_are_undominated():
     asc, counts = [2, 3, 5, 8], {2: 1, 3: 1, 5: 1, 8: 1}
     got = sorted(sorted(f) for f in fillings(8, asc, counts, [10**6]))
