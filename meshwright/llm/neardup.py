@@ -10,7 +10,11 @@ Defined results
 ---------------
 * a null text is in no group but its own; so is a text without any word, but for
   byte-equal texts, which are one group;
-* repeated rows of a doc_id count once; rows whose doc_id is null aren't reported;
+* repeated rows of a doc_id count once, and one with several texts is near whatever
+  any of them is near; rows whose doc_id is null aren't reported;
+* a very long text is compared whole; beyond some 100,000 distinct shingles it fills
+  the universe and becomes a candidate of others of its kind, which costs exact
+  comparisons but changes no result;
 * a group's id is the least doc_id in it, and that document is the kept one;
 * an empty table gives an empty result; other columns, whatever their names, are
   never read.
@@ -127,46 +131,50 @@ def _plausible(width: int, least: float):
                 sides.append(raw.reshape(-1, width))
             share = (sides[0] == sides[1]).mean(axis=1)
             keep = pa.array((share - 1 / 256) / (1 - 1 / 256) >= least)
-            yield pa.RecordBatch.from_arrays([id_column(batch, "a").filter(keep), id_column(batch, "b").filter(keep)], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([id_column(batch, c).filter(keep) for c in ("a", "b", "n")], names=["a", "b", "n"])
 
     return run
 
 
-def links(comps: np.ndarray, low: np.ndarray, least: float) -> list[tuple[int, int]]:
-    """Pairs of components that plausible pairs among a bucket's members join, rows of ``low`` being their signatures."""
-    now, found = comps.copy(), []
-    for x in range(1, len(now)):
-        apart = np.flatnonzero(now[:x] != now[x])
-        if not len(apart):
-            continue
+def links(comps: np.ndarray, low: np.ndarray, least: float, rows: np.ndarray, others: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Plausible pairs of a row and another that stand in different components, ``low`` being their signatures."""
+    found: list[tuple[int, np.ndarray]] = []
+    for x in rows:
+        apart = others[comps[others] != comps[x]]
         share = (low[apart] == low[x]).mean(axis=1)
-        for y in apart[(share - 1 / 256) / (1 - 1 / 256) >= least]:
-            if now[y] != now[x]:
-                found.append((min(now[x], now[y]), max(now[x], now[y])))
-                now[now == found[-1][1]] = found[-1][0]
-    return found
+        found.append((x, apart[(share - 1 / 256) / (1 - 1 / 256) >= least]))
+    left = np.repeat(np.array([x for x, _ in found], np.int64), [len(y) for _, y in found])
+    return left, np.concatenate([y for _, y in found]) if found else left
 
 
 def _links(width: int, least: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        band, held = None, []
+    """Rows arrive sorted by cell: the members of one part of a bucket, or of two."""
 
-        def out():
-            found = links(*(np.concatenate(c) for c in zip(*held)), least) if held else []
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in found], pa.int64()), pa.array([r[1] for r in found], pa.int64())], names=["a", "b"])
+    def pairs(cell: int, ids: np.ndarray, comps: np.ndarray, part: np.ndarray, low: np.ndarray) -> pa.RecordBatch:
+        one, two = (np.flatnonzero(part == p) for p in (part[0], part[-1]))
+        if part[0] == part[-1]:  # of both orders of a pair, one
+            found = [links(comps, low, least, one[n : n + 1], one[:n]) for n in range(1, len(one))]
+            x, y = (np.concatenate([f[side] for f in found] or [np.zeros(0, np.int64)]) for side in (0, 1))
+        else:
+            x, y = links(comps, low, least, *sorted((one, two), key=len))
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(x), cell)), pa.array(np.minimum(ids[x], ids[y])), pa.array(np.maximum(ids[x], ids[y]))], names=["cell", "a", "b"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, held = None, []
         for batch in batches:
             if not batch.num_rows:
                 continue
-            bands, comps = (id_column(batch, c).to_numpy(zero_copy_only=False) for c in ("band", "comp"))
+            cells, ids, comps, part = (id_column(batch, c).to_numpy(zero_copy_only=False) for c in ("cell", "id", "comp", "part"))
             low = _binary(id_column(batch, "low"))[0].reshape(-1, width)
-            cuts = np.concatenate([[0], np.flatnonzero(bands[1:] != bands[:-1]) + 1, [len(bands)]])
+            cuts = np.concatenate([[0], np.flatnonzero(cells[1:] != cells[:-1]) + 1, [len(cells)]])
             for i, j in zip(cuts[:-1], cuts[1:]):
-                if bands[i] != band:
-                    yield out()
-                    band, held = bands[i], []
-                held.append((comps[i:j], low[i:j]))
-        yield out()
+                if cells[i] != cell:
+                    if held:
+                        yield pairs(cell, *(np.concatenate(c) for c in zip(*held)))
+                    cell, held = cells[i], []
+                held.append((ids[i:j], comps[i:j], part[i:j], low[i:j]))
+        if held:
+            yield pairs(cell, *(np.concatenate(c) for c in zip(*held)))
 
     return run
 
@@ -178,99 +186,69 @@ def _binary(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[offs[0] : offs[-1]], offs - offs[0]
 
 
-class Groups:
-    """Verified groups among documents that arrive one at a time.
-
-    A newcomer is first held against the first documents of the earliest groups,
-    which settles nearly all; :meth:`close` then compares whatever is still apart,
-    so that the groups are those of all pairs at or above the threshold.
-    """
+class Cell:
+    """Exact comparison of the pairs of one cell; those that others have joined already need none."""
 
     def __init__(self, least: float):
-        self.least, self.ids, self.sets, self.parent, self.first = least, [], [], [], []
+        self.least, self.sets, self.parent = least, {}, {}
 
     def root(self, x: int) -> int:
-        while self.parent[x] != x:
-            self.parent[x] = self.parent[self.parent[x]]
-            x = self.parent[x]
+        while (up := self.parent.setdefault(x, x)) != x:
+            self.parent[x] = self.parent[up]
+            x = up
         return x
 
+    def add(self, doc: int, own: np.ndarray) -> None:
+        several = self.sets.setdefault(doc, [])
+        if not any(np.array_equal(own, x) for x in several):
+            several.append(own)
+
     def similar(self, a: np.ndarray, b: np.ndarray) -> bool:
         small, large = sorted((len(a), len(b)))
         return small >= self.least * large and jaccard(a, b) >= self.least
 
-    def add(self, doc: int, own: np.ndarray) -> None:
-        x = len(self.ids)
-        self.ids.append(doc)
-        self.sets.append(own)
-        self.parent.append(x)
-        for f in self.first[:32]:
-            if self.root(f) != self.root(x) and self.similar(self.sets[f], own):
-                self.parent[self.root(x)] = self.root(f)
-        if self.root(x) == x:
-            self.first.append(x)
-
-    def close(self) -> list[tuple[int, int]]:
-        n = len(self.ids)
-        roots = np.array([self.root(x) for x in range(n)])
-        names, counts = np.unique(roots, return_counts=True)
-        if len(names) > 1:
-            largest = names[counts.argmax()]
-            every = np.concatenate(self.sets)
-            owner = np.repeat(np.arange(n), [len(s) for s in self.sets])
-            order = np.argsort(every, kind="stable")
-            every, owner = every[order], owner[order]
-            sizes = np.array([len(s) for s in self.sets])
-            for x in np.flatnonzero(roots != largest):
-                lo, hi = np.searchsorted(every, self.sets[x], "left"), np.searchsorted(every, self.sets[x], "right")
-                # a partner shares least * sizes[x] of x at least, so one of its rarest that are more than the rest
-                rare = np.argsort(hi - lo, kind="stable")[: len(lo) - int(np.ceil(self.least * len(lo) - 1e-9)) + 1]
-                if not ((hi - lo)[rare] > 1).any():
-                    continue
-                at = np.repeat(lo - np.concatenate([[0], np.cumsum(hi - lo)[:-1]]), hi - lo) + np.arange((hi - lo).sum())
-                common = np.bincount(owner[at], minlength=n)
-                for y in np.flatnonzero(common >= self.least * (sizes + sizes[x] - common)):
-                    a, b = self.root(x), self.root(int(y))
-                    if a != b:
-                        self.parent[max(a, b)] = min(a, b)
-        least: dict[int, int] = {}
-        for x in range(n):
-            r = self.root(x)
-            least[r] = min(least.get(r, self.ids[x]), self.ids[x])
-        return [(self.ids[x], least[self.root(x)]) for x in range(n)]
-
-
-def _verify(k: int, least: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        comp, groups, done = None, Groups(least), []
+    def joins(self, a: int, b: int) -> bool:
+        """Whether the two are near and weren't known to be in one group."""
+        x, y = self.root(a), self.root(b)
+        if x == y or not any(self.similar(p, q) for p in self.sets[a] for q in self.sets[b]):
+            return False
+        self.parent[x] = y
+        return True
+
 
-        def out(rows):
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64())], names=["id", "root"])
+def _compare(k: int, least: float):
+    """Rows arrive sorted by cell: the texts of its documents first, then its pairs."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, cell = None, Cell(least)
         for batch in batches:
-            ids, comps = id_column(batch, "id").to_pylist(), list(zip(id_column(batch, "comp").to_pylist(), id_column(batch, "part").to_pylist()))
+            cells, a, b = (id_column(batch, c).to_pylist() for c in ("cell", "a", "b"))
             raw, offsets = string_buffers(id_column(batch, "t"))
+            found: list[tuple[int, int]] = []
             for i, j in chunks(offsets):
                 sets = shingle_sets(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], k)
                 for d in range(i, j):
-                    if comps[d] != comp:
-                        done += groups.close()
-                        comp, groups = comps[d], Groups(least)
-                    groups.add(ids[d], sets[d - i])
-            if done:
-                yield out(done)
-                done = []
-        yield out(done + groups.close())
+                    if cells[d] != now:
+                        now, cell = cells[d], Cell(least)
+                    if b[d] is None:
+                        cell.add(a[d], sets[d - i])
+                    elif cell.joins(a[d], b[d]):
+                        found.append((a[d], b[d]))
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
 
     return run
 
 
-def _verified(texts: DataFrame, placed: DataFrame, k: int, threshold: float) -> DataFrame:
-    """(id, root) of documents placed by (id, comp, part), an id once for each part with another root."""
-    # always a shuffled join: the groups' members grow with the corpus
-    members = texts.join(placed.hint("merge"), "id").dropDuplicates(["id", "t", "part"])
-    rows = members.repartition("comp", "part").sortWithinPartitions("comp", "part", "id").mapInArrow(_verify(k, threshold), "id long, root long")
-    return rows.distinct()
+def _verified(texts: DataFrame, pairs: DataFrame, k: int, threshold: float) -> DataFrame:
+    """(a, b) of the near ones among pairs (cell, a, b), but for those that others of their cell imply.
+
+    A text goes once to each cell that has a pair of it.
+    """
+    seats = pairs.select("cell", F.explode(F.array("a", "b")).alias("id")).distinct()
+    # always a shuffled join: the texts of candidates grow with the corpus
+    members = texts.join(seats.hint("merge"), "id").select("cell", F.col("id").alias("a"), F.lit(None).cast("long").alias("b"), "t")
+    rows = members.union(pairs.select("cell", "a", "b", F.lit(None).cast("string").alias("t")))
+    return rows.repartition("cell").sortWithinPartitions("cell", F.col("b").isNotNull(), "a", "b").mapInArrow(_compare(k, threshold), "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -298,20 +276,22 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 3, width: int = 128, rows: int = 3, threshold: float = 0.5, seed: int = 42, members: int = 20_000
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 3, width: int = 128, rows: int = 3, threshold: float = 0.5, seed: int = 42, cell: int = 2048
 ) -> DataFrame:
     """(doc_id, group_id, kept): near-duplicate groups of all documents.
 
     Two documents are near duplicates if the Jaccard similarity of their sets of
     ``k``-word shingles is at least ``threshold``; groups are the connected
-    components of verified pairs.  ``width // rows`` bands propose pairs (a pair
-    at 0.5 is missed with probability 0.004), and signatures that agree far
-    too rarely (4 standard deviations) drop out before the verification.
-
-    Equal shingle sets are collapsed beforehand by a 128-bit hash.  A bucket
-    proposes each member with its first and its previous one; where that leaves
-    a bucket in several components, all pairs across them are proposed too, so
-    only buckets of unlike documents cost quadratic work.
+    components of verified pairs.  ``width // rows`` bands propose pairs, and
+    those whose signatures agree far too rarely (4 standard deviations) drop out
+    before the exact comparison.
+
+    Equal shingle sets are collapsed beforehand by a 128-bit hash.  Each member
+    of a bucket is compared with its first and its previous one; where that
+    leaves a bucket in several groups, so are all its plausible pairs across
+    them.  Pairs are compared in cells of at most two times ``cell`` documents
+    of a bucket, so a crowded bucket is spread over many tasks; ``cell`` has no
+    influence on the result.
     """
     spark = docs.sparkSession
     workers_import(spark)
@@ -319,55 +299,63 @@ def near_duplicates(
     texts = own.where("t is not null")
     sig = written(texts.mapInArrow(_sign(k, width, rows, seed), "id long, k1 long, k2 long, low binary, bands array<long>"), "signatures")
     keys = sig.groupBy("k1", "k2").agg(F.min("id").alias("rep"))
-    mapping = sig.select("id", "k1", "k2").join(keys, ["k1", "k2"]).groupBy("id").agg(F.min("rep").alias("rep"))
+    mapping = written(sig.select("id", "k1", "k2").join(keys, ["k1", "k2"]).groupBy("id").agg(F.min("rep").alias("rep"), F.collect_set("rep").alias("reps")), "representatives")
     reps = keys.select(F.col("rep").alias("id"))
-    band = sig.select("id", "bands").join(reps, "id", "left_semi").select("id", F.explode("bands").alias("band"))
+    band = sig.select("id", "bands").join(reps, "id", "left_semi").select("id", F.explode("bands").alias("band")).distinct()
     whole = Window.partitionBy("band")
     inside = whole.orderBy("id")
     buckets = band.select("id", "band", F.first("id").over(inside).alias("hub"), F.lag("id").over(inside).alias("prev"), F.count("*").over(whole).alias("n"))
     buckets = written(buckets.where("n > 1"), "buckets")
-    pairs = buckets.where("hub < id").select(F.explode(F.array_distinct(F.array("hub", "prev"))).alias("a"), F.col("id").alias("b")).where("a < b").distinct()
-    low = sig.select("id", "low").dropDuplicates(["id"])
-    sided = pairs.join(low.select(F.col("id").alias("a"), F.col("low").alias("la")), "a").join(low.select(F.col("id").alias("b"), F.col("low").alias("lb")), "b")
+    proposed = buckets.where("hub < id").select(F.explode(F.array_distinct(F.array("hub", "prev"))).alias("a"), F.col("id").alias("b"), "n").where("a < b")
+    proposed = proposed.groupBy("a", "b").agg(F.max("n").alias("n"))
+    low = sig.select("id", "low")
+    sided = proposed.join(low.select(F.col("id").alias("a"), F.col("low").alias("la")), "a").join(low.select(F.col("id").alias("b"), F.col("low").alias("lb")), "b")
     least = threshold - 4 * (threshold * (1 - threshold) / width) ** 0.5
-    edges = written(sided.mapInArrow(_plausible(width, least), "a long, b long"), "pairs")
+    # the partners of one document meet in as many cells as its largest bucket needs
+    spread = F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / F.lit(cell)))
+    first = written(sided.mapInArrow(_plausible(width, least), "a long, b long, n long").distinct().select(F.xxhash64("a", spread).alias("cell"), "a", "b"), "pairs")
+    # a doc_id with several texts joins what each of them equals
+    implied = mapping.where(F.size("reps") > 1).select(F.col("rep").alias("a"), F.explode("reps").alias("b")).where("a < b")
+    edges = written(_verified(texts, first, k, threshold).union(implied).distinct(), "edges")
     comp = components(edges)
-    # a bucket of four has pairs that were not looked at; they matter where they would join two components
-    seats = buckets.where("n > 3").select("id", "band").join(comp, "id", "left").select("id", "band", F.coalesce("comp", "id").alias("comp"))
-    seats = seats.withColumn("from", F.min("comp").over(whole)).withColumn("to", F.max("comp").over(whole)).where("from < to").select("id", "band", "comp")
-    mixed = seats.join(low, "id").repartition("band").sortWithinPartitions("band", "id").select("band", "comp", "low")
-    more = written(mixed.mapInArrow(_links(width, least), "a long, b long"), "links")
-    if not more.isEmpty():
-        wider = written(components(more.distinct()).select(F.col("id").alias("comp"), F.col("comp").alias("first")), "wider")
-        lone = wider.join(comp, wider["comp"] == comp["id"], "left_anti").select(F.col("comp").alias("id"), "first")
-        comp = comp.join(wider, "comp", "left").select("id", F.coalesce("first", "comp").alias("comp")).union(lone)
-    sizes = comp.groupBy("comp").agg(F.count("*").alias("n"))
-    # a part is half of what a task holds, as every two parts of a component meet in a task
-    sizes = sizes.select("comp", F.when(F.col("n") > members, F.ceil(2 * F.col("n") / F.lit(members))).otherwise(1).cast("long").alias("parts"))
-    part = F.pmod(F.xxhash64("id"), F.col("parts"))
-    others = F.filter(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda q: q != F.col("part"))
-    meetings = F.transform(others, lambda q: F.least(q, F.col("part")) * F.col("parts") + F.greatest(q, F.col("part")))
-    placed = comp.join(sizes, "comp").withColumn("part", part).select("id", "comp", F.explode(F.when(F.col("parts") == 1, F.array("part")).otherwise(meetings)).alias("part"))
-    verified = _verified(texts, placed, k, threshold)
-    large = sizes.where("parts > 1")
-    if not large.isEmpty():
-        # what two parts found to be a group joins what other two found
-        verified = written(verified, "verified")
-        met = verified.where("root < id").join(comp.join(large, "comp", "left_semi"), "id").select(F.col("root").alias("a"), F.col("id").alias("b")).distinct()
-        joined = components(written(met, "met")).select("id", F.col("comp").alias("first"))
-        verified = verified.join(joined, "id", "left").select("id", F.coalesce("first", "root").alias("root"))
-    verified = verified.groupBy("id").agg(F.min("root").alias("root"))
-    found = mapping.join(verified.select(F.col("id").alias("rep"), "root"), "rep", "left").select("id", F.coalesce("root", "rep").alias("group_id"))
+    # a bucket of four has pairs that were not looked at; they matter where they would join two groups
+    seats = buckets.where("n > 3").select("id", "band", "n").join(comp, "id", "left").select("id", "band", "n", F.coalesce("comp", "id").alias("comp"))
+    seats = seats.withColumn("from", F.min("comp").over(whole)).withColumn("to", F.max("comp").over(whole)).where("from < to")
+    parts = F.ceil(F.col("n") / F.lit(cell))
+    seats = seats.select("id", "band", "comp", parts.alias("parts"), F.pmod(F.xxhash64("id"), parts).alias("part"))
+    # every two parts of a bucket meet in a cell
+    meetings = F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda q: F.xxhash64("band", F.least(q, F.col("part")), F.greatest(q, F.col("part"))))
+    mixed = seats.select("id", "comp", "part", F.explode(meetings).alias("cell")).join(low, "id").repartition("cell").sortWithinPartitions("cell", "part", "id")
+    plausible = mixed.select("cell", "id", "comp", "part", "low").mapInArrow(_links(width, least), "cell long, a long, b long")
+    second = plausible.groupBy("a", "b").agg(F.min("cell").alias("cell")).join(first.select("a", "b"), ["a", "b"], "left_anti").select("cell", "a", "b")
+    second = written(second, "links")
+    done = [buckets, first, second]
+    if not second.isEmpty():
+        near = _verified(texts, second, k, threshold)
+        side = lambda name: comp.select(F.col("id").alias(name), F.col("comp").alias(f"{name}_comp"))
+        ends = near.join(side("a"), "a", "left").join(side("b"), "b", "left").select(F.coalesce("a_comp", "a").alias("a"), F.coalesce("b_comp", "b").alias("b"))
+        joined = written(ends.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), "joined")
+        wider = written(components(joined).select(F.col("id").alias("comp"), F.col("comp").alias("first")), "wider")
+        lone = wider.join(comp.where("id = comp"), "comp", "left_anti").select(F.col("comp").alias("id"), "first")
+        comp = written(comp.join(wider, "comp", "left").select("id", F.coalesce("first", "comp").alias("comp")).union(lone.select("id", F.col("first").alias("comp"))), "groups")
+        done += [joined, wider]
+    found = mapping.join(comp.select(F.col("id").alias("rep"), "comp"), "rep", "left").select("id", F.coalesce("comp", "rep").alias("group_id"))
     alone = own.where("t is null").select("id").distinct().join(mapping, "id", "left_anti").select("id", F.col("id").alias("group_id"))
+    for table in (sig, edges, *done):
+        drop_written(table)
     return found.union(alone).select(F.col("id").alias("doc_id"), "group_id", (F.col("id") == F.col("group_id")).alias("kept"))
 
 
 def without_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with one document of each near-duplicate group, all columns kept.
 
-    Rows whose doc_id is null stay; equal rows of a doc_id become one.
+    Rows whose doc_id is null stay; rows of a doc_id that are equal in all columns become one.
     """
-    id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
+    id_col = options.get("id_col", "doc_id")
     gone = near_duplicates(docs, **options).where("not kept").select(F.col("doc_id").alias("__gone"))
-    kept = docs.join(gone, docs[id_col].cast("long") == gone["__gone"], "left_anti")
-    return kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col, text_col]).union(kept.where(F.col(id_col).isNull()))
+    # maps can't be hashed
+    parts = [F.to_json(F.struct(c)) if "map<" in kind or kind == "variant" else F.col(f"`{c}`") for c, kind in docs.dtypes]
+    row = "__row" + "_" * max(map(len, docs.columns))
+    known = docs.where(F.col(id_col).isNotNull()).withColumn(row, F.xxhash64(*parts))
+    kept = known.join(gone, known[id_col].cast("long") == gone["__gone"], "left_anti").dropDuplicates([id_col, row]).drop(row)
+    return kept.union(docs.where(F.col(id_col).isNull()))

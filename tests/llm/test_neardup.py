@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 
-from meshwright.llm.neardup import Groups, circulant_minhash, jaccard, near_duplicates, shingle_sets
+from meshwright.llm.neardup import Cell, circulant_minhash, jaccard, near_duplicates, shingle_sets, without_near_duplicates
 from meshwright.llm.textvec import mix, string_buffers
 
 from .conftest import prose
@@ -70,7 +70,7 @@ def test_components_in_parts(documents):
         base = prose(rng, 150)
         rows += [(1000 * g + i, edited(rng, base, 0.03)) for i in range(40)]
     whole = {r["doc_id"]: r["group_id"] for r in near_duplicates(documents(rows)).collect()}
-    parts = {r["doc_id"]: r["group_id"] for r in near_duplicates(documents(rows), members=7).collect()}
+    parts = {r["doc_id"]: r["group_id"] for r in near_duplicates(documents(rows), cell=7).collect()}
     assert whole == parts == {d: d // 1000 * 1000 for d, _ in rows}
 
 
@@ -80,8 +80,8 @@ def test_chain_across_parts_is_one_group(documents):
     rows = [(i, " ".join(words[6 * i : 6 * i + 40])) for i in range(50)]
     want, _ = brute_force(rows)
     assert set(want.values()) == {0}
-    for members in (20, 20_000):
-        got = {r["doc_id"]: r["group_id"] for r in near_duplicates(documents(rows), members=members).collect()}
+    for cell in (3, 20, 2048):
+        got = {r["doc_id"]: r["group_id"] for r in near_duplicates(documents(rows), cell=cell).collect()}
         assert got == want
 
 
@@ -97,16 +97,65 @@ def test_partners_apart_in_crowded_buckets(documents):
     assert pairs == 1 and got == want
 
 
+def test_crowded_bucket_is_brute_force_at_every_setting(documents):
+    # one band of three rows, so that nearly all of what is near has to be found in one crowded bucket
+    rng = random.Random(5)
+    own = lambda n: " ".join(f"u{rng.randrange(10**9)}" for _ in range(n))
+    hot = " ".join(f"hot{i}" for i in range(60))
+    rows = [(i, f"{hot} {own(rng.choice([10, 20, 40, 70]))}") for i in range(150)]
+    rows += [(200 + i, edited(rng, rows[i][1], 0.05)) for i in range(0, 150, 5)]
+    want, pairs = brute_force(rows)
+    assert pairs > 50 and 10 < len(set(want.values())) < 150
+    got = [{r["doc_id"]: r["group_id"] for r in near_duplicates(documents(rows), cell=cell).collect()} for cell in (5, 64, 2048)]
+    assert got[0] == got[1] == got[2] == want
+
+
+def test_recall_at_the_threshold():
+    """Share of pairs just above the threshold that a band proposes, for the default bands."""
+    rng, found, total = np.random.default_rng(3), 0, 0
+    for seed in range(5):
+        base = rng.integers(0, 2**63, (400, 200)).astype(np.uint64)
+        other = base.copy()
+        other[:, :66] = rng.integers(0, 2**63, (400, 66))  # 134 of 266 in common
+        begin = np.arange(0, 400 * 200 + 1, 200)
+        a, b = (circulant_minhash(x.ravel(), begin, 128, seed)[:, :126].reshape(400, 3, 42) for x in (base, other))
+        found += int((a == b).all(axis=1).any(axis=1).sum())
+        total += 400
+    assert found / total > 0.98
+
+
+def test_very_long_texts_fill_the_universe(documents):
+    # a million words; unlike ones are candidates of one another and stay apart, near ones are one group
+    long = lambda seed: " ".join(map(str, np.random.default_rng(seed).integers(0, 10**6, 10**6)))
+    one, two = long(1), long(2)
+    rows = [(1, one), (2, two), (3, one[: len(one) * 3 // 4]), (4, "short text of a few words")]
+    got = {r["doc_id"]: r["group_id"] for r in near_duplicates(documents(rows)).collect()}
+    assert got == {1: 1, 2: 2, 3: 1, 4: 4}
+
+
+def test_doc_of_several_texts(documents):
+    rng = random.Random(9)
+    a, b = prose(rng, 80), prose(rng, 80)
+    rows = [(1, a), (5, a), (5, b), (7, b), (8, edited(rng, b, 0.03)), (9, prose(rng, 80))]
+    got = {r["doc_id"]: r["group_id"] for r in near_duplicates(documents(rows)).collect()}
+    assert got == {1: 1, 5: 1, 7: 1, 8: 1, 9: 9}
+
+
+def test_rows_that_differ_in_one_column_stay(documents):
+    rows = [(1, "some text", "a"), (1, "some text", "a"), (1, "some text", "b"), (None, "x y"), (None, "x y"), (2, "some text", "c")]
+    got = sorted(((r["doc_id"], r["source"]) for r in without_near_duplicates(documents(rows)).collect()), key=str)
+    assert got == [(1, "a"), (1, "b"), (None, "a"), (None, "a")]
+
+
 def test_chain_joins_through_the_middle():
     a, b, c = np.arange(0, 60), np.arange(20, 80), np.arange(40, 100)
-    g = Groups(0.5)
-    for doc, s in ((3, a), (1, c), (2, b)):
-        g.add(doc, s)
-    assert dict(g.close()) == {1: 1, 2: 1, 3: 1}
+    g = Cell(0.5)
+    for doc, own in ((1, c), (2, b), (3, a)):
+        g.add(doc, own)
+    assert [g.joins(1, 3), g.joins(1, 2), g.joins(2, 3), g.joins(1, 3)] == [False, True, True, False]
 
 
 def test_collision_rate_is_jaccard():
-    rng = np.random.default_rng(0)
     for share in (0.2, 0.5, 0.8):
         n = 1000
         both = int(n * share)
@@ -118,7 +167,6 @@ def test_collision_rate_is_jaccard():
             sig = circulant_minhash(np.concatenate([a, b]), np.array([0, n, 2 * n]), 128, seed)
             rates.append((sig[0] == sig[1]).mean())
         assert abs(np.mean(rates) - want) < 0.04
-    assert rng is not None
 
 
 def test_blocks_dont_matter():
