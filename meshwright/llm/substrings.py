@@ -15,11 +15,19 @@ are reported as maximal intervals.
 Symbols of the index are words at their distance from their anchor, so a match
 is between two different places, never between two surroundings of one.
 
+The runs of ``least`` words around an anchor begin at neighbouring places; a few
+ranges of these are looked at one after another.  All runs of a range have a core
+of words in common, so surroundings meet in the index only if their cores are
+equal, and whatever recurs in a range as a whole is covered without a search.
+An anchor of more than ``hot`` occurrences, as in a licence, would make one shard
+of them all; its runs are counted one by one instead, spread by their hashes.
+
 Defined results
 ---------------
 * words are those of :mod:`textvec`; intervals count words, the end exclusive;
 * a repetition within one document counts like one between two;
-* null and empty texts and those below ``least`` words have no intervals;
+* null and empty texts and those below ``least`` words have no intervals; very
+  long ones are searched whole;
 * repeated rows of a doc_id count once; rows whose doc_id is null aren't reported;
 * an empty table gives no rows; only the named columns are read.
 """
@@ -33,11 +41,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.session import workers_import, written
-from .textvec import U64, chunks, id_column, mix, string_buffers, words
+from ..functions.session import drop_written, workers_import, written
+from .textvec import U64, chunks, id_column, mix, powers, string_buffers, words
 
 #: Words in an index.
 BLOCK = 1 << 20
+#: Ranges of the places where runs around an anchor begin.
+RANGES = 4
 
 
 def grams(h: np.ndarray, k: int) -> np.ndarray:
@@ -133,8 +143,10 @@ class Index:
             common += np.where(same, size, 0)
             a += np.where(same, size, 0)
             b += np.where(same, size, 0)
-        lcp = np.zeros(n + 1, np.uint8)
-        lcp[1:n] = np.minimum(common, 255)
+        # longer than any pattern is as good as any length
+        kind = np.uint8 if depth < 1 << 8 else np.uint16 if depth < 1 << 16 else np.uint32
+        lcp = np.zeros(n + 1, kind)
+        lcp[1:n] = np.minimum(common, np.iinfo(kind).max)
         self.least = [lcp]
         while 2 ** len(self.least) <= n:
             last, half = self.least[-1], 2 ** (len(self.least) - 1)
@@ -272,43 +284,130 @@ def _anchored(k: int, least: int):
     return run
 
 
+def _placed(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """(ids, word hashes, first words, gram at, document of, place of) each place, for a chunk of documents at a time."""
+    for batch in batches:
+        ids = id_column(batch, "id").to_numpy(zero_copy_only=False)
+        raw, offsets = string_buffers(id_column(batch, "t"))
+        lists = id_column(batch, "places")
+        many = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        ends, flat = np.concatenate([[0], np.cumsum(many)]), lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        for i, j in chunks(offsets):
+            h, first = words(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+            g = grams(h, k)
+            doc = np.repeat(np.arange(j - i), many[i:j])
+            at = first[doc] + flat[ends[i] : ends[j]]
+            fits = at + k <= first[doc + 1]
+            doc, at = doc[fits], at[fits]
+            if len(at):
+                yield ids[i + doc], h, first, g[at], doc, at
+
+
 def _surroundings(k: int, least: int):
     before, behind = least - k, least
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = id_column(batch, "id").to_numpy(zero_copy_only=False)
-            raw, offsets = string_buffers(id_column(batch, "t"))
-            places = id_column(batch, "places").to_pylist()
-            for i, j in chunks(offsets):
-                h, first = words(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                g = grams(h, k)
-                doc = np.repeat(np.arange(j - i), [len(places[d]) for d in range(i, j)])
-                at = first[doc] + np.array([p for d in range(i, j) for p in places[d]], np.int64)
-                fits = at + k <= first[doc + 1]
-                doc, at = doc[fits], at[fits]
-                if not len(at):
-                    continue
-                start, end = np.maximum(at - before, first[doc]), np.minimum(at + behind, first[doc + 1])
-                word = (h >> U64(32)).astype(np.uint32)
-                bytes_ = word.tobytes()
-                fp = g[at]
-                name = np.zeros(len(at), U64)  # a hash of the surroundings, by the anchor
+        for ids, h, first, fp, doc, at in _placed(batches, k):
+            start, end = np.maximum(at - before, first[doc]), np.minimum(at + behind, first[doc + 1])
+            bytes_ = (h >> U64(32)).astype(np.uint32).tobytes()
+            name = np.zeros(len(at), U64)  # a hash of the surroundings, by the anchor
+            with np.errstate(over="ignore"):
+                for step in range(before + behind):
+                    use = start + step < end
+                    name = np.where(use, (name ^ (name >> U64(29))) * U64(0x9FB21C651E98DF25) + h[np.minimum(start + step, len(h) - 1)] + U64(1), name)
+                name = mix(name + mix(fp) + (at - start).astype(U64) * U64(0xD1B54A32D192ED03))
+            _, once = np.unique(name, return_index=True)
+            text: list[bytes | None] = [None] * len(at)
+            for r in once:
+                text[r] = bytes_[4 * start[r] : 4 * end[r]]
+            yield _batch("fp name id start anchor words", [fp.view(np.int64), name.view(np.int64), ids, (start - first[doc]).astype(np.int32), (at - start).astype(np.int32), pa.array(text, pa.binary())])
+
+    return run
+
+
+def _runs(k: int, least: int):
+    """A row for each run of ``least`` words around a place: the hash of its words, place and anchor."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, h, first, fp, doc, at in _placed(batches, k):
+            sums = _sums(h)
+            for p in range(k - least, 1):
+                begin = at + p
+                use = (begin >= first[doc]) & (begin + least <= first[doc + 1])
                 with np.errstate(over="ignore"):
-                    for step in range(before + behind):
-                        use = start + step < end
-                        name = np.where(use, (name ^ (name >> U64(29))) * U64(0x9FB21C651E98DF25) + h[np.minimum(start + step, len(h) - 1)] + U64(1), name)
-                    name = mix(name + mix(fp) + (at - start).astype(U64) * U64(0xD1B54A32D192ED03))
-                _, once = np.unique(name, return_index=True)
-                text: list[bytes | None] = [None] * len(at)
-                for r in once:
-                    text[r] = bytes_[4 * start[r] : 4 * end[r]]
-                yield _batch("fp name id start anchor words", [fp.view(np.int64), name.view(np.int64), ids[i + doc], (start - first[doc]).astype(np.int32), (at - start).astype(np.int32), pa.array(text, pa.binary())])
+                    own = mix(_between(sums, begin[use], begin[use] + least) + mix(fp[use]) + U64(p - k + least))
+                yield _batch("run id s", [own.view(np.int64), ids[use], (begin - first[doc])[use].astype(np.int64)])
 
     return run
 
 
-def _match(least: int, block: int):
+def _sums(h: np.ndarray) -> np.ndarray:
+    sums = np.zeros(len(h) + 1, U64)
+    with np.errstate(over="ignore"):
+        np.cumsum(mix(h) * powers(len(h) + 1)[0][:-1], out=sums[1:])
+    return sums
+
+
+def _between(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of runs of words, independent of where they lie."""
+    with np.errstate(over="ignore"):
+        return mix((sums[end] - sums[start]) * powers(len(sums))[1][start])
+
+
+def shared(texts: list[np.ndarray], fp: np.ndarray, anchor: np.ndarray, times: np.ndarray, k: int, least: int, block: int = BLOCK) -> np.ndarray:
+    """(start, end) of what each text has in common with another of its anchor, as
+    runs of ``least`` words that cover the anchor; a text that occurs several
+    ``times`` has all of them.  0, 0 for nothing."""
+    out = np.zeros((len(texts), 2), np.int64)
+    size = np.array([len(t) for t in texts], np.int64)
+    base = np.cumsum(size) - size + anchor  # where the anchors stand in the texts end to end
+    sums = _sums(np.concatenate(texts).astype(U64)) if len(texts) else np.zeros(1, U64)
+    step = max(1, (least - k + 1) // RANGES)
+    segments: list[np.ndarray] = []
+    parts: list[tuple[np.ndarray, ...]] = []
+    for p in range(k - least, 1, step):
+        q = min(p + step - 1, 0)
+        lo, hi = np.maximum(p, -anchor), np.minimum(q, size - anchor - least)
+        own = np.flatnonzero(lo <= hi)
+        if not len(own):
+            continue
+        lo, hi, at = lo[own], hi[own], base[own]
+        with np.errstate(over="ignore"):
+            core = mix(_between(sums, at + q, at + p + least) + mix(fp[own].view(U64)) + U64(p - k + least))
+            name = mix(_between(sums, at + lo, at + hi + least) + mix(core) + (lo - p).astype(U64) * U64(0xD1B54A32D192ED03))
+        _, first, which = np.unique(name, return_index=True, return_inverse=True)
+        full = np.bincount(which, times[own]) > 1
+        _, group, many = np.unique(core[first], return_inverse=True, return_counts=True)
+        # a group is searched if some of it isn't covered as a whole and has company
+        ask = ~full & (many[group] > 1)
+        busy = np.zeros(len(many), bool)
+        busy[group[ask]] = True
+        some = np.full(len(first), -1)
+        for n, u in enumerate(np.flatnonzero(busy[group]), len(segments)):
+            r = first[u]
+            t, a = own[r], anchor[own[r]]
+            segments.append(texts[t][a + lo[r] : a + hi[r] + least])
+            some[u] = n
+        use = np.flatnonzero(busy[group])
+        parts.append((own, which, lo, hi, full, some, core[first][use].view(np.int64), -lo[first][use], ask[use]))
+    groups, anchors_, asks = (np.concatenate([p[n] for p in parts]) if parts else np.zeros(0, np.int64) for n in (6, 7, 8))
+    order = np.argsort(groups, kind="stable")
+    found = np.zeros((len(segments), 2), np.int64)
+    found[order] = covered([segments[n] for n in order], groups[order], anchors_[order], least, block, asks[order].astype(bool))
+    for own, which, lo, hi, full, some, *_ in parts:
+        n = some[which]
+        got = np.where((n >= 0)[:, None], found[n] if len(found) else 0, 0)
+        whole = full[which]
+        start = anchor[own] + lo + np.where(whole, 0, got[:, 0])
+        end = np.where(whole, anchor[own] + hi + least, np.where(got[:, 1] > 0, anchor[own] + lo + got[:, 1], 0))
+        use = end > 0
+        t, had = own[use], out[own[use], 1] > 0
+        out[t, 0] = np.where(had, np.minimum(out[t, 0], start[use]), start[use])
+        out[t, 1] = np.maximum(out[t, 1], end[use])
+    return out
+
+
+def _match(k: int, least: int, block: int):
     def solve(fp: np.ndarray, name: np.ndarray, ids: np.ndarray, start: np.ndarray, anchor: np.ndarray, text: list[bytes | None]) -> pa.RecordBatch:
         order = np.lexsort((name, fp))
         new = np.concatenate([[True], (name[order][1:] != name[order][:-1]) | (fp[order][1:] != fp[order][:-1])])
@@ -320,13 +419,7 @@ def _match(least: int, block: int):
         for r, t in enumerate(text):
             if t is not None and texts[which[r]] is None:
                 texts[which[r]] = np.frombuffer(t, np.uint32)
-        _, at, many = np.unique(fp[lead], return_inverse=True, return_counts=True)
-        found = np.zeros((len(lead), 2), np.int64)
-        whole = np.array([len(t) for t in texts])
-        full = (times > 1) & (whole >= least)  # surroundings that recur are covered as they are
-        company = np.flatnonzero(many[at] > 1)  # others have nothing to be held against
-        found[company] = covered([texts[u] for u in company], fp[lead[company]], anchor[lead[company]], least, block, ~full[company])
-        found[full] = np.stack([np.zeros(int(full.sum()), np.int64), whole[full]], axis=1)
+        found = shared(texts, fp[lead], anchor[lead].astype(np.int64), times, k, least, block)
         use = found[which, 1] > 0
         return _batch("id s e", [ids[use], (start + found[which, 0])[use].astype(np.int64), (start + found[which, 1])[use].astype(np.int64)])
 
@@ -356,18 +449,28 @@ def _match(least: int, block: int):
     return run
 
 
-def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least: int = 50, k: int = 8, block: int = BLOCK) -> DataFrame:
+def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least: int = 50, k: int = 8, block: int = BLOCK, hot: int = 1 << 14) -> DataFrame:
     """(doc_id, start_word, end_word): maximal intervals of words covered by
-    passages of at least ``least`` words that occur elsewhere in the corpus too."""
+    passages of at least ``least`` words that occur elsewhere in the corpus too.
+
+    ``block`` and ``hot`` say how the work is divided; the result doesn't depend on them.
+    """
     spark = docs.sparkSession
     workers_import(spark)
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")).where("id is not null and t is not null")
-    marks = own.mapInArrow(_anchored(k, least), "fp long, id long, pos int")
-    again = marks.withColumn("n", F.count("*").over(Window.partitionBy("fp"))).where("n > 1")
-    places = written(again.groupBy("id").agg(F.array_sort(F.collect_set("pos")).alias("places")), "places")
-    texts = own.join(places.hint("merge"), "id").dropDuplicates(["id", "t"])
-    around = texts.mapInArrow(_surroundings(k, least), "fp long, name long, id long, start int, anchor int, words binary")
-    hits = around.repartition("fp").sortWithinPartitions("fp").mapInArrow(_match(least, block), "id long, s long, e long")
+    marks = written(own.mapInArrow(_anchored(k, least), "fp long, id long, pos int"), "anchors")
+    again = marks.join(marks.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1"), "fp")
+    pick = lambda found: F.array_sort(F.collect_set(F.when(found, F.col("pos"))))
+    places = written(again.groupBy("id").agg(pick(F.col("n") <= hot).alias("places"), pick(F.col("n") > hot).alias("hot")), "places")
+    # always shuffled joins: what repeats grows with the corpus
+    texts = lambda chosen: own.join(places.where(F.size(chosen) > 0).select("id", F.col(chosen).alias("places")).hint("merge"), "id").dropDuplicates(["id", "t"])
+    around = texts("places").mapInArrow(_surroundings(k, least), "fp long, name long, id long, start int, anchor int, words binary")
+    hits = around.repartition("fp").sortWithinPartitions("fp").mapInArrow(_match(k, least, block), "id long, s long, e long")
+    if not places.where(F.size("hot") > 0).isEmpty():
+        runs = written(texts("hot").mapInArrow(_runs(k, least), "run long, id long, s long"), "runs")
+        repeated = runs.groupBy("run").agg(F.count("*").alias("n")).where("n > 1")
+        hits = hits.union(runs.join(repeated, "run").select("id", "s", (F.col("s") + least).alias("e")))
+    drop_written(marks)
     by = Window.partitionBy("id").orderBy("s", "e")
     begins = hits.withColumn("far", F.max("e").over(by.rowsBetween(Window.unboundedPreceding, -1)))
     runs = begins.withColumn("run", F.sum(F.when(F.col("far") >= F.col("s"), 0).otherwise(1)).over(by))

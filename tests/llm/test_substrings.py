@@ -51,6 +51,36 @@ def test_intervals_are_those_of_brute_force(documents, block):
     assert got == brute_force(rows, 50)
 
 
+@pytest.mark.parametrize("hot", [1, 3])
+def test_hot_anchors_give_the_same(documents, hot):
+    rows = corpus(4)
+    got = {tuple(r) for r in repeated_passages(documents(rows), hot=hot).collect()}
+    assert got == brute_force(rows, 50)
+
+
+def test_licence_in_many_documents(documents):
+    # the text before and behind differs everywhere, so no surroundings at its ends are equal
+    rng = random.Random(8)
+    licence = " ".join(f"term{i}" for i in range(120))
+    rows = [(i, f"{prose(rng, 30, 5)} {licence} {prose(rng, 30, 5)}") for i in range(3000)]
+    want = brute_force(rows, 50)
+    assert {tuple(r) for r in repeated_passages(documents(rows), hot=1000).collect()} == want
+    assert {tuple(r) for r in repeated_passages(documents(rows)).collect()} == want
+
+
+def test_long_passages(documents):
+    rng = random.Random(6)
+    passage = prose(rng, 700)
+    rows = [(i, f"{prose(rng, 40 + i)} {passage} {prose(rng, 40)}") for i in range(4)] + [(9, passage[: len(passage) // 2]), (10, prose(rng, 600))]
+    want = brute_force(rows, 300)
+    assert len(want) == 5
+    assert {tuple(r) for r in repeated_passages(documents(rows), least=300).collect()} == want
+    base = rng.choices(range(50), k=592)
+    texts = [np.array(base, np.uint32), np.array([*base[:-1], 77], np.uint32)]
+    got = covered(texts, np.zeros(2, np.int64), np.full(2, 292), 300)
+    assert got.tolist() == [[0, 591], [0, 591]]
+
+
 def test_one_hot_anchor_is_indexed_in_parts():
     rng = np.random.default_rng(2)
     core = rng.integers(0, 1000, 30).astype(np.uint32)
