@@ -3,19 +3,23 @@
 Every document has an inclusion probability, that of its source.  The flight
 phase moves the probabilities of three documents of one source at a time along
 the null space of its two balancing equations (token total, document total)
-until one of them is 0 or 1; expectations stay as they are.  Each partition flies
-on its own, keeping at most two undecided documents a source; these fly again by
-source, and the few that remain land together: first with the equations over all
-sources, then without the token equation, the last by its probability alone.
+until one of them is 0 or 1; expectations stay as they are.  Buckets of documents,
+chosen by a hash of the doc_id, fly on their own and keep at most two undecided
+documents a source; these fly again by source, and those that remain land together:
+first with the equations over all sources (in buckets again while they are many),
+then without the token equation, the last by its probability alone.  The draw
+depends on the documents and the seed, not on partitions.
 
 Defined results
 ---------------
 * a document is a distinct doc_id (repeated rows count once, by their least
   source and most tokens); rows whose doc_id is null take no part;
 * a null source is a source of its own; null, empty and blank texts have no
-  tokens and are balanced by number alone;
-* an empty table, or one without tokens, selects no or all documents alike: with
-  no tokens at all every probability is the budget share;
+  tokens and are balanced by number alone; a very long text is one document, and
+  its source's token total is met to within the longest undecided one;
+* documents of equal length are told apart by doc_id, which only orders the flight;
+* an empty table gives no rows; with no tokens at all every probability is the
+  budget share;
 * other columns are kept or not read, whatever their names.
 """
 
@@ -33,6 +37,8 @@ from .textvec import id_column
 
 _EPS = 1e-9
 _ROWS = "doc_id long, source string, n_tokens long, probability double, state double"
+#: Documents that fly together.
+BUCKET = 1 << 15
 
 
 def token_count(text: Column) -> Column:
@@ -46,26 +52,26 @@ def token_count(text: Column) -> Column:
     return F.when(F.coalesce(F.length(text), F.lit(0)) == 0, F.lit(0)).otherwise(pieces).cast("long")
 
 
-def probabilities(tokens: dict[str | None, int], weights: dict[str | None, float], share: float) -> dict[str | None, float]:
-    """Inclusion probability of each source.
+def probabilities(sources: DataFrame, share: float) -> DataFrame:
+    """(source, probability), of sources (source, tokens, weight), of which there may be many.
 
     The budget is ``share`` of all tokens, divided by weight; a source that has
-    less than its part gives everything, and the others take up the rest.
+    less than its part gives everything, and the others take up the rest.  Sums
+    are decimal, so that their order doesn't matter.
     """
-    total = sum(tokens.values())
+    weight = F.col("weight").cast("decimal(38,10)")
+    total, weights = sources.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.sum(weight)).first()
     if not total:
-        return dict.fromkeys(tokens, share)
-    left, open_, out = share * total, {s for s in tokens if tokens[s] > 0}, {s: 1.0 for s in tokens if tokens[s] <= 0}
-    while open_:
-        scale = left / max(sum(weights.get(s, 0.0) for s in open_), 1e-300)
-        full = {s for s in open_ if weights.get(s, 0.0) * scale >= tokens[s]}
-        if not full:
-            out |= {s: weights.get(s, 0.0) * scale / tokens[s] for s in open_}
+        return sources.select("source", F.lit(float(share)).alias("probability"))
+    scale, known = share * total / max(float(weights or 0), 1e-300), None
+    while True:
+        # the more is left by those that give everything, the more do
+        full = F.col("weight") * F.lit(scale) >= F.col("tokens")
+        state = sources.agg(F.coalesce(F.sum(F.when(full, F.col("tokens"))), F.lit(0)), F.sum(F.when(~full, weight))).first()
+        if state == known or not state[1]:
             break
-        out |= dict.fromkeys(full, 1.0)
-        left -= sum(tokens[s] for s in full)
-        open_ -= full
-    return out
+        scale, known = max(scale, (share * total - state[0]) / float(state[1])), state
+    return sources.select("source", F.when((F.col("tokens") <= 0) | full, F.lit(1.0)).otherwise(F.col("weight") * F.lit(scale) / F.col("tokens")).alias("probability"))
 
 
 class Flight:
@@ -124,20 +130,31 @@ def _batch(rows: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=[x.split()[0] for x in _ROWS.split(", ")])
 
 
-def _fly(seed: int):
+def _fly(seed: int, apart: bool):
+    """Flights of rows sorted by bucket: of each source on its own, or of all together."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flights: dict[str | None, Flight] = {}
+        now, out = None, []
+
+        def rest() -> list:
+            return [(w[2][0], w[2][2], w[0], w[2][1], w[1]) for f in flights.values() for w in f.window]
+
         for batch in batches:
-            out = []
-            for doc, source, n, p, state in zip(*(id_column(batch, c).to_pylist() for c in ("doc_id", "source", "n_tokens", "probability", "state"))):
-                if source not in flights:
-                    flights[source] = Flight(random.Random(f"{seed} {source} {doc}"))
-                out += [(w[2][0], source, w[0], w[2][1], w[1]) for w in flights[source].add(n, state, (doc, p))]
+            for bucket, doc, source, n, p, state in zip(*(id_column(batch, c).to_pylist() for c in ("bucket", "doc_id", "source", "n_tokens", "probability", "state"))):
+                if bucket != now:
+                    out += rest()
+                    now, flights = bucket, {}
+                key = source if apart else None
+                if key not in flights:
+                    flights[key] = Flight(random.Random(f"{seed} {key} {doc}"))
+                out += [(w[2][0], w[2][2], w[0], w[2][1], w[1]) for w in flights[key].add(n, state, (doc, p, source))]
             if out:
                 yield _batch(out)
-        rest = [(w[2][0], source, w[0], w[2][1], w[1]) for source, f in flights.items() for w in f.window]
-        if rest:
-            yield _batch(rest)
+                out = []
+        out += rest()
+        if out:
+            yield _batch(out)
 
     return run
 
@@ -164,19 +181,33 @@ def mixed(
     workers_import(spark)
     units = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), token_count(F.col(text_col).cast("string")).alias("n_tokens"))
     units = written(units.groupBy("doc_id").agg(F.min("source").alias("source"), F.max("n_tokens").alias("n_tokens")), "units")
-    tokens = {r["source"]: r["n"] for r in units.groupBy("source").agg(F.sum("n_tokens").alias("n")).collect()}  # a row for each source
+    sources = units.groupBy("source").agg(F.sum("n_tokens").alias("tokens"))
     if weights is None:
-        weights = {s: n**power for s, n in tokens.items()}
-    chance = probabilities(tokens, weights, share)
-    table = spark.createDataFrame(list(chance.items()), "s string, probability double")
-    ready = units.join(F.broadcast(table), F.col("source").eqNullSafe(F.col("s"))).select("doc_id", "source", "n_tokens", "probability", F.col("probability").alias("state"))
-    # long documents first, so that the undecided ones are short and land close to the totals
-    long_first = (F.desc("n_tokens"), F.col("doc_id"))
-    first = written(ready.sortWithinPartitions(*long_first).mapInArrow(_fly(seed), _ROWS), "flown")
+        sources = sources.withColumn("weight", F.pow(F.col("tokens").cast("double"), F.lit(power)))
+    else:
+        given = spark.createDataFrame([(s, float(w)) for s, w in weights.items()], "s string, weight double")
+        sources = sources.join(given, F.col("source").eqNullSafe(F.col("s")), "left").select("source", "tokens", F.coalesce("weight", F.lit(0.0)).alias("weight"))
+    chance = written(probabilities(written(sources, "sources"), share), "probabilities").withColumnRenamed("source", "s")
+    # no hint: sources may be as many as domains, and Spark knows the size of a written table
+    ready = units.join(chance, F.col("source").eqNullSafe(F.col("s"))).select("doc_id", "source", "n_tokens", "probability", F.col("probability").alias("state"))
+
+    def flown(rows: DataFrame, bucket: Column, seed: int, apart: bool = True) -> DataFrame:
+        # long documents first, so that the undecided ones are short and land close to the totals
+        order = rows.withColumn("bucket", bucket).repartition("bucket").sortWithinPartitions("bucket", F.desc("n_tokens"), "doc_id")
+        return written(order.mapInArrow(_fly(seed, apart), _ROWS), "flown")
+
+    def of(count: int) -> Column:
+        return F.pmod(F.xxhash64("doc_id"), F.lit(max(1, -(-count // BUCKET))))
+
     open_ = (F.col("state") > 0) & (F.col("state") < 1)
-    second = written(first.where(open_).repartition("source").sortWithinPartitions("source", *long_first).mapInArrow(_fly(seed + 1), _ROWS), "flown")
-    last = spark.createDataFrame(landed(second.where(open_).collect(), seed), _ROWS)  # at most two documents for each source
-    every = first.where(~open_).union(second.where(~open_)).union(last)
+    parts = [flown(ready, of(units.count()), seed)]
+    parts.append(flown(parts[-1].where(open_), F.xxhash64("source"), seed + 1))
+    while (left := parts[-1].where(open_).count()) > BUCKET:
+        parts.append(flown(parts[-1].where(open_), of(left), seed + len(parts), False))
+    last = spark.createDataFrame(landed(parts[-1].where(open_).collect(), seed), _ROWS)  # at most BUCKET rows
+    every = last
+    for part in parts:
+        every = every.union(part.where(~open_))
     return every.select("doc_id", "source", "n_tokens", "probability", (F.col("state") == 1).alias("selected"))
 
 
