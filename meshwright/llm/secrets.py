@@ -8,10 +8,13 @@ correlation at lag one; Fisher's method joins their p-values, by rank among
 strings drawn at random.
 
 Random strings have uniform p-values, other strings have small ones.  In every
-stratum (encoding in either case and length band, as short strings reject less surely) the share
-of random strings is estimated from the p-values above one half of the distinct
-strings of the whole corpus, and the cut is the least p at which the estimated share of other strings
-among those at or above it is at most ``fdr``.
+stratum (encoding in either case and length band, as short strings reject less
+surely) the share of random strings is estimated from the p-values above one half
+of the distinct strings of the whole corpus, and the cut is the least p at which
+the estimated share of other strings among those at or above it is at most
+``fdr``.  A stratum of fewer than ``enough`` strings borrows those of its
+neighbours in length; if they are still too few to tell, a string has to pass at
+the level ``fdr`` by itself.
 
 Defined results
 ---------------
@@ -19,8 +22,11 @@ Defined results
 * repeated rows are scanned each; a null doc_id is reported as null;
 * a run of small letters only, or of digits only, is no candidate: it is a word or
   a number;
-* a string that passes for random counts as a secret whatever it means; where a
-  stratum has too few strings to tell, all with p of at least ``least_p`` do;
+* runs of fewer than ``shortest`` symbols aren't tested, as so few tell nothing;
+* very long texts and runs are tested whole;
+* a string that passes for random counts as a secret whatever it means; equal
+  strings have equal p-values and count once in their stratum;
+* an empty table has no secrets;
 * spans are in characters; other columns are passed through or not read.
 """
 
@@ -37,10 +43,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.session import workers_import, written
+from ..functions.session import drop_written, workers_import, written
 from .textvec import chunks, id_column, string_buffers
 
-LEAST = 16
 DRAWN, REFERENCE_MOST = 2000, 512
 BANDS = (16, 20, 24, 32, 40, 64, 128)
 BINS = 200
@@ -118,24 +123,29 @@ def _reference(encoding: str, n: int) -> np.ndarray:
     return np.sort(-np.log(statistics(rng.integers(0, len(ALPHABETS[encoding]), (DRAWN, n)), encoding)).sum(axis=1))
 
 
-def battery(token: bytes, encoding: str) -> tuple[float, float, float, float, float]:
-    """p-values: symbols, classes, runs, serial correlation, and all joined.
+def batteries(x: np.ndarray, encoding: str) -> np.ndarray:
+    """p-values of strings of one length: symbols, classes, runs, serial correlation, and all joined.
 
     The joint one is by rank among strings drawn at random of the same alphabet
     and length, which the usual laws fit badly where strings are short; beyond
     REFERENCE_MOST symbols they fit, and the statistic is held against their law.
     """
-    ps = statistics(_PLACE[encoding][np.frombuffer(token, np.uint8)][None, :], encoding)[0]
-    joined = float(-np.log(ps).sum())  # half of Fisher's statistic, chi-squared with 8 degrees
-    if len(token) > REFERENCE_MOST:
-        p = math.exp(-joined) * (1 + joined + joined**2 / 2 + joined**3 / 6)
+    ps = statistics(x, encoding)
+    joined = -np.log(ps).sum(axis=1)  # half of Fisher's statistic, chi-squared with 8 degrees
+    if x.shape[1] > REFERENCE_MOST:
+        p = np.exp(-joined) * (1 + joined + joined**2 / 2 + joined**3 / 6)
     else:
-        drawn = _reference(encoding, len(token))
+        drawn = _reference(encoding, x.shape[1])
         p = 1 - (np.searchsorted(drawn, joined, "left") + np.searchsorted(drawn, joined, "right") + 1) / 2 / (DRAWN + 1)
-    return (*map(float, ps), min(1.0, float(p)))
+    return np.column_stack([ps, np.minimum(1.0, p)])
 
 
-def candidates(raw: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, int]]:
+def battery(token: bytes, encoding: str) -> tuple[float, ...]:
+    """The p-values of one string."""
+    return tuple(map(float, batteries(_PLACE[encoding][np.frombuffer(token, np.uint8)][None, :], encoding)[0]))
+
+
+def candidates(raw: np.ndarray, offsets: np.ndarray, shortest: int = 16) -> Iterator[tuple[int, int, int]]:
     """(document, first byte, end) of runs that may be encoded."""
     edge = np.zeros(len(raw) + 2, np.int8)
     edge[1:-1] = _RUN[raw]
@@ -146,7 +156,7 @@ def candidates(raw: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int,
     cross = np.unique(inner[(edge[inner] == 1) & (edge[inner + 1] == 1)]) if len(inner) else inner
     if len(cross):
         starts, ends = np.sort(np.concatenate([starts, cross])), np.sort(np.concatenate([ends, cross]))
-    long = ends - starts >= LEAST
+    long = ends - starts >= shortest
     starts, ends = starts[long], ends[long]
     upper, lower, digit = (sums[ends] > sums[starts] for sums in (np.concatenate([[0], np.cumsum(_CLASS[raw] == c)]) for c in (1, 2, 3)))
     maybe = upper | (lower & digit)
@@ -156,14 +166,14 @@ def candidates(raw: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int,
 
 
 def band(length: int) -> int:
-    return max(b for b in BANDS if b <= length)
+    return max((b for b in BANDS if b <= length), default=0)
 
 
-def parts(token: bytes) -> list[tuple[int, int, str]]:
+def parts(token: bytes, shortest: int = 16) -> list[tuple[int, int, str]]:
     """(start, end, encoding) of what is to be tested in a run.
 
     A run that mixes + or / with - or _ is in no alphabet and is split at all four;
-    where that leaves no part of LEAST symbols, at either pair alone.
+    where that leaves no part of ``shortest`` symbols, at either pair alone.
     """
     if not (set(token) & set(b"+/") and set(token) & set(b"-_")):
         encoding = infer(token)
@@ -172,29 +182,39 @@ def parts(token: bytes) -> list[tuple[int, int, str]]:
     for inside in (rb"[^-_+/]+", rb"[^+/]+", rb"[^-_]+"):
         for m in re.finditer(inside, token):
             a, b = m.span()
-            if b - a >= LEAST and all(b <= x or y <= a for x, y, _ in found) and (encoding := infer(m.group())):
+            if b - a >= shortest and all(b <= x or y <= a for x, y, _ in found) and (encoding := infer(m.group())):
                 found.append((a, b, encoding))
     return sorted(found)
 
 
-def _tested(raw: np.ndarray, offsets: np.ndarray):
-    for d, a, b in candidates(raw, offsets):
-        token = raw[a:b].tobytes()
-        for x, y, encoding in parts(token):
-            yield d, a + x, a + y, encoding, battery(token[x:y], encoding)
+def _tested(raw: np.ndarray, offsets: np.ndarray, shortest: int) -> list[tuple[int, int, int, str, tuple[float, ...]]]:
+    """(document, start, end, encoding, p-values), in order; strings of one encoding and length are tested together."""
+    found = [(d, a + x, a + y, encoding) for d, a, b in candidates(raw, offsets, shortest) for x, y, encoding in parts(raw[a:b].tobytes(), shortest)]
+    alike: dict[tuple[str, int], list[int]] = {}
+    for n, (_, a, b, encoding) in enumerate(found):
+        alike.setdefault((encoding, b - a), []).append(n)
+    ps: list[tuple[float, ...]] = [()] * len(found)
+    for (encoding, length), own in alike.items():
+        step = max(1, (1 << 20) // length)
+        for i in range(0, len(own), step):
+            some = own[i : i + step]
+            x = _PLACE[encoding][np.stack([raw[found[n][1] : found[n][2]] for n in some])]
+            for n, row in zip(some, batteries(x, encoding).tolist()):
+                ps[n] = tuple(row)
+    return [(*f, p) for f, p in zip(found, ps)]
 
 
 _SPANS = "doc_id long, start long, end long, encoding string, length long, band long, p_symbols double, p_classes double, p_runs double, p_serial double, p double, h long"
 
 
-def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _scan(batches: Iterator[pa.RecordBatch], shortest: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         raw, offsets = string_buffers(id_column(batch, "t"))
         ids, rows = id_column(batch, "id"), []
         for i, j in chunks(offsets):
             part, offs = raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
             lead = np.concatenate([[0], np.cumsum((part & 0xC0) != 0x80)])
-            for d, a, b, encoding, ps in _tested(part, offs):
+            for d, a, b, encoding, ps in _tested(part, offs, shortest):
                 rows.append((ids[i + d].as_py(), int(lead[a] - lead[offs[d]]), int(lead[b] - lead[offs[d]]), encoding, b - a, band(b - a), *ps, xxhash.xxh3_64_intdigest(part[a:b].tobytes()) - (1 << 63)))
         if rows:
             kinds = [pa.int64()] * 3 + [pa.string()] + [pa.int64()] * 2 + [pa.float64()] * 5 + [pa.int64()]
@@ -202,48 +222,58 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
 
-def cuts(counts: dict[tuple[str, int], np.ndarray], fdr: float, least_p: float) -> dict[tuple[str, int], float]:
+def cuts(counts: dict[tuple[str, int], np.ndarray], fdr: float, least_p: float, enough: int = 100) -> dict[tuple[str, int], float]:
     """The least p to accept in each stratum, from its histogram of p-values."""
     out = {}
-    for stratum, bins in counts.items():
-        half = BINS // 2
+    for family, length in counts:
+        bins, half = np.zeros(BINS), BINS // 2
+        # the stratum itself, and its neighbours in length until there are enough strings
+        for _, b in sorted((abs(math.log((b + 1) / (length + 1))), b) for f, b in counts if f == family):
+            if bins.sum() >= enough:
+                break
+            bins = bins + counts[family, b]
         high = bins[half:].sum()
         random = (high + 1.65 * np.sqrt(high + 1)) / (1 - half / BINS)  # strings drawn at random, at the upper end of what this count allows
         above = np.cumsum(bins[::-1])[::-1]
         edges = np.arange(BINS) / BINS
         false = np.maximum(0, above - random * (1 - edges)) / np.maximum(above, 1)
         good = np.flatnonzero((false <= fdr) & (above > 0))
-        out[stratum] = max(least_p, float(edges[good[0]])) if len(good) else 2.0
+        least = least_p if bins.sum() >= enough else max(least_p, fdr)
+        out[family, length] = max(least, float(edges[good[0]])) if len(good) else 2.0
     return out
 
 
-def _cuts_of(tested: DataFrame, fdr: float, least_p: float) -> dict[tuple[str, int], float]:
+def _cuts_of(tested: DataFrame, fdr: float, least_p: float, enough: int) -> dict[tuple[str, int], float]:
     slot = F.least(F.floor(F.col("p") * BINS), F.lit(BINS - 1)).cast("int")
     counts: dict[tuple[str, int], np.ndarray] = {}
     strings = tested.select(F.lower("encoding").alias("family"), "band", slot.alias("slot"), "h").distinct()
     for r in strings.groupBy("family", "band", "slot").count().collect():  # at most strata x BINS rows
         counts.setdefault((r["family"], r["band"]), np.zeros(BINS))[r["slot"]] = r["count"]
-    return cuts(counts, fdr, least_p)
+    return cuts(counts, fdr, least_p, enough)
 
 
-def _tests(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _tests(docs: DataFrame, id_col: str, text_col: str, shortest: int) -> DataFrame:
     workers_import(docs.sparkSession)
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")).where("t is not null")
-    return written(own.mapInArrow(_scan, _SPANS), "tested")
+    return written(own.mapInArrow(lambda batches: _scan(batches, shortest), _SPANS), "tested")
 
 
-def secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", fdr: float = 0.05, least_p: float = 1e-3) -> DataFrame:
+def secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", fdr: float = 0.05, least_p: float = 1e-3, enough: int = 100, shortest: int = 16) -> DataFrame:
     """A row for each secret: its span, encoding, p-values and stratum's cut."""
-    tested = _tests(docs, id_col, text_col)
-    cut = _cuts_of(tested, fdr, least_p)
+    tested = _tests(docs, id_col, text_col, shortest)
+    cut = _cuts_of(tested, fdr, least_p, enough)
     spark = docs.sparkSession
-    table = spark.createDataFrame([(k, b, c) for (k, b), c in cut.items()], "family string, band long, cut double")
+    table = spark.createDataFrame([(k, b, c) for (k, b), c in cut.items()], "family string, band long, cut double")  # a row for each alphabet and band
     return tested.withColumn("family", F.lower("encoding")).join(F.broadcast(table), ["family", "band"]).where("p >= cut").select("doc_id", "start", "end", "encoding", "length", "p_symbols", "p_classes", "p_runs", "p_serial", "p", "cut")
 
 
-def without_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", mark: str = "[SECRET]", fdr: float = 0.05, least_p: float = 1e-3) -> DataFrame:
+def without_secrets(
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", mark: str = "[SECRET]", fdr: float = 0.05, least_p: float = 1e-3, enough: int = 100, shortest: int = 16
+) -> DataFrame:
     """``docs`` with every secret in the text replaced by ``mark``; no shuffle."""
-    cut = _cuts_of(_tests(docs, id_col, text_col), fdr, least_p)
+    tested = _tests(docs, id_col, text_col, shortest)
+    cut = _cuts_of(tested, fdr, least_p, enough)
+    drop_written(tested)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -252,7 +282,7 @@ def without_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
             changed: dict[int, list[tuple[int, int]]] = {}
             for i, j in chunks(offsets):
                 part, offs = raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
-                for d, a, b, encoding, ps in _tested(part, offs):
+                for d, a, b, encoding, ps in _tested(part, offs, shortest):
                     if ps[-1] >= cut.get((encoding.lower(), band(b - a)), 2.0):
                         changed.setdefault(i + d, []).append((a + int(offsets[i]), b + int(offsets[i])))
             if changed:
