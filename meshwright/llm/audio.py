@@ -5,16 +5,21 @@ overlap into log-mel filterbank energies, and cut by hysteresis on the frame
 energy: a segment begins where the energy exceeds a high threshold above the
 clip's noise floor and extends both ways while it exceeds a low one.
 
-Features come in tensors of one shape, ``frames`` x ``mels``, stored row by row in
-a list column; with a tensor go the time span it covers and how many of its
-frames are filled.  :func:`to_tensors` turns the column into Arrow's fixed-shape
-tensor type, which Spark itself can't carry.
+Features come in tensors of one shape, ``frames`` x ``mels``; with a tensor go the
+time span it covers and how many of its frames are filled.  A DataFrame, which has
+no tensor type, carries them row by row in a list column;
+:func:`write_tensors` stores them as Arrow's fixed-shape tensors in Arrow files,
+which :func:`read_tensors` and any Arrow reader give back as such.
 
 Defined results
 ---------------
-* a null or empty clip, or one too short for a frame, gives one row with no tensor
+* a null or empty clip, or one without a whole sample, gives one row with no tensor
   and no segments, so that no clip is lost;
-* the last tensor of a clip is filled up with the floor value;
+* the last frame of a clip is filled up with silence, so every sample is in a frame
+  and the shortest clip has one; its last tensor is filled up with the floor value;
+* a very long clip is analysed whole, in time and memory linear in its length;
+* where levels are equal throughout no frame is above the floor, and there is no segment;
+* an empty table gives no rows;
 * a repeated row is analysed again; a null id stays null;
 * bytes that end within a sample lose that part; only the named columns are read.
 """
@@ -22,11 +27,14 @@ Defined results
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.dataset
+import pyarrow.fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -54,13 +62,13 @@ def decode(data: bytes | memoryview, encoding: str) -> np.ndarray:
 
 
 @lru_cache(maxsize=4)
-def polyphase(rate: int, to: int, zeros: int = 12) -> tuple[int, int, int, np.ndarray]:
-    """(inputs and outputs a block, reach, matrix): the filter for a block of outputs.
+def polyphase(rate: int, to: int, zeros: int = 12, outputs: int = 32) -> tuple[int, int, int, list[tuple[int, slice, np.ndarray]]]:
+    """(inputs and outputs a block, reach, [first input, outputs, matrix]): the filter for a block of outputs.
 
-    Output n lies at input n * down / up; its phase's taps stand in one column, so
-    a block of ``up`` outputs is a product of ``down`` inputs, with what the
-    filter reaches on either side, and the matrix.  A low pass at the lower of
-    the two Nyquist rates under a Kaiser window.
+    Output n lies at input n * down / up; its phase's taps stand in one column.
+    A few neighbouring outputs are a product of the inputs that their taps span
+    and a small matrix, in which hardly anything is zero.  A low pass at the
+    lower of the two Nyquist rates under a Kaiser window.
     """
     common = math.gcd(rate, to)
     up, down = to // common, rate // common
@@ -68,25 +76,30 @@ def polyphase(rate: int, to: int, zeros: int = 12) -> tuple[int, int, int, np.nd
     up, down = up * several, down * several
     cut = min(1.0, to / rate)
     reach = math.ceil(zeros / cut)
-    at = np.arange(up) * down / up
-    x = (np.arange(-reach, down + reach)[:, None] - at[None, :]) * cut
-    window = np.where(np.abs(x) < zeros, np.i0(8.0 * np.sqrt(np.clip(1 - (x / zeros) ** 2, 0, 1))) / np.i0(8.0), 0)
-    return down, up, reach, (cut * np.sinc(x) * window).astype(np.float32)
+    parts = []
+    for a in range(0, up, outputs):
+        at = np.arange(a, min(a + outputs, up)) * down / up
+        first = math.floor(at[0])
+        x = (np.arange(first - reach, math.floor(at[-1]) + reach + 2)[:, None] - at[None, :]) * cut
+        window = np.where(np.abs(x) < zeros, np.i0(8.0 * np.sqrt(np.clip(1 - (x / zeros) ** 2, 0, 1))) / np.i0(8.0), 0)
+        parts.append((first, slice(a, a + len(at)), (cut * np.sinc(x) * window).astype(np.float32)))
+    return down, up, reach, parts
 
 
 def resample(x: np.ndarray, rate: int, to: int) -> np.ndarray:
     """The clip at another rate; ceil(n * to / rate) samples."""
     if rate == to or not len(x):
         return x
-    down, up, reach, matrix = polyphase(rate, to)
+    down, up, reach, parts = polyphase(rate, to)
     n = -(-len(x) * to // rate)
     blocks = -(-n // up)
-    padded = np.zeros(blocks * down + 2 * reach, np.float32)
+    padded = np.zeros(blocks * down + 2 * reach + 2, np.float32)
     padded[reach : reach + len(x)] = x[: len(padded) - reach]
-    rows = np.lib.stride_tricks.sliding_window_view(padded, down + 2 * reach)[::down]
     out = np.empty((blocks, up), np.float32)
-    for a in range(0, blocks, 1024):
-        np.matmul(rows[a : a + 1024], matrix, out=out[a : a + 1024])
+    for first, where, matrix in parts:
+        rows = np.lib.stride_tricks.as_strided(padded[first:], (blocks, len(matrix)), (4 * down, 4), writeable=False)
+        for a in range(0, blocks, 4096):
+            out[a : a + 4096, where] = rows[a : a + 4096] @ matrix
     return out.ravel()[:n]
 
 
@@ -101,9 +114,12 @@ def filterbank(rate: int, size: int, mels: int, low: float, high: float) -> np.n
 
 
 def log_mel(x: np.ndarray, rate: int, *, frame: int, hop: int, size: int, mels: int, block: int = 2048) -> tuple[np.ndarray, np.ndarray]:
-    """(log-mel energies, frame levels in dB) of overlapping Hann frames."""
-    if len(x) < frame:
+    """(log-mel energies, frame levels in dB) of overlapping Hann frames, the last one filled up with silence."""
+    if not len(x):
         return np.zeros((0, mels), np.float32), np.zeros(0, np.float32)
+    more = max(0, -(-(len(x) - frame) // hop)) * hop + frame - len(x)
+    if more:
+        x = np.concatenate([x, np.zeros(more, np.float32)])
     frames = np.lib.stride_tricks.sliding_window_view(x, frame)[::hop]
     window = (0.5 - 0.5 * np.cos(2 * np.pi * np.arange(frame) / frame)).astype(np.float32)
     bank = filterbank(rate, size, mels, 20.0, rate / 2)
@@ -160,6 +176,7 @@ def _analyse(rate: int, encoding: str, to: int, mels: int, frames: int, high_db:
             for doc, clip in zip(id_column(batch, "id"), id_column(batch, "clip")):
                 data = clip.as_buffer() if clip.is_valid else b""
                 mel, level = log_mel(resample(decode(memoryview(data), encoding), rate, to), to, frame=frame, hop=hop, size=size, mels=mels)
+                at = 0
                 parts = [(a * hop / to, ((b - 1) * hop + frame) / to, db) for a, b, db in hysteresis(level, high_db=high_db, low_db=low_db, least=least)]
                 if not len(mel):
                     ids.append(doc.as_py())
@@ -175,7 +192,10 @@ def _analyse(rate: int, encoding: str, to: int, mels: int, frames: int, high_db:
                     ids.append(doc.as_py())
                     heads.append((w, begin, end))
                     filled.append(len(part))
-                    spans.append([{"start_s": s, "end_s": e, "level_db": db} for s, e, db in parts if begin <= s < begin + frames * hop / to])
+                    own = at
+                    while at < len(parts) and parts[at][0] < (a + frames) * hop / to:
+                        at += 1
+                    spans.append([{"start_s": s, "end_s": e, "level_db": db} for s, e, db in parts[own:at]])
                     if len(ids) >= 64:
                         yield out()
         if ids:
@@ -204,3 +224,51 @@ def to_tensors(column: pa.Array | pa.ChunkedArray, mels: int = 40, frames: int =
         column = column.combine_chunks()
     kind = pa.fixed_shape_tensor(pa.float32(), (frames, mels), dim_names=("frame", "mel"))
     return pa.ExtensionArray.from_storage(kind, column.cast(pa.list_(pa.float32(), frames * mels)))
+
+
+def _place(path: str) -> tuple[pa.fs.FileSystem, str]:
+    return pa.fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pa.fs.LocalFileSystem(), path)
+
+
+def write_tensors(features: DataFrame, path: str, mels: int = 40, frames: int = 32) -> DataFrame:
+    """Store features in Arrow files whose tensor column has the fixed-shape tensor
+    type; gives (file, rows), a row for each file of the table.  (Parquet can't
+    give back lists of fixed size that are null.)
+
+    ``path`` is a folder that all executors share.  A task writes a file under a
+    name of its own and the driver's rows name those that count, so that a task
+    that was lost or ran twice adds nothing; others are deleted.
+    """
+    workers_import(features.sparkSession)
+    fs, folder = _place(path)
+    fs.create_dir(folder)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, writer, rows = f"{uuid.uuid4().hex}.arrow", None, 0
+        own, there = _place(path)
+        for batch in batches:
+            at = batch.schema.get_field_index("tensor")
+            tensor = to_tensors(batch.column(at), mels, frames)
+            batch = batch.set_column(at, pa.field("tensor", tensor.type), tensor)
+            if writer is None:
+                sink = own.open_output_stream(f"{there}/{name}")
+                writer = pa.ipc.new_file(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd"))
+            writer.write_batch(batch)
+            rows += batch.num_rows
+        if writer is not None:
+            writer.close()
+            sink.close()
+            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([rows])], names=["file", "rows"])
+
+    done = features.mapInArrow(run, "file string, rows long").collect()  # a row for each task
+    files = {r["file"] for r in done}
+    for info in fs.get_file_info(pa.fs.FileSelector(folder)):
+        if info.base_name.endswith(".arrow") and info.base_name not in files:
+            fs.delete_file(info.path)
+    return features.sparkSession.createDataFrame([(r["file"], r["rows"]) for r in done], "file string, rows long")
+
+
+def read_tensors(path: str) -> pa.Table:
+    """The stored features, with their tensor column of fixed shape."""
+    fs, folder = _place(path)
+    return pa.dataset.dataset(folder, filesystem=fs, format="ipc").to_table()

@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from meshwright.llm.audio import audio_features, decode, filterbank, hysteresis, log_mel, resample, to_tensors
+from meshwright.llm.audio import audio_features, decode, filterbank, hysteresis, log_mel, read_tensors, resample, to_tensors, write_tensors
 
 
 def tone(f, rate, seconds, amplitude=0.3):
@@ -37,6 +37,7 @@ def test_log_mel_is_brute_force():
     x = np.random.default_rng(1).normal(size=2000).astype(np.float32)
     mel, level = log_mel(x, 16_000, frame=400, hop=160, size=512, mels=40, block=3)
     assert mel.shape == (11, 40)
+    assert log_mel(x[:1999], 16_000, frame=400, hop=160, size=512, mels=40)[0].shape == (11, 40) and log_mel(x[:1], 16_000, frame=400, hop=160, size=512, mels=40)[0].shape == (1, 40)
     window, bank = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(400) / 400), filterbank(16_000, 512, 40, 20.0, 8000)
     for i in range(11):
         f = x[i * 160 : i * 160 + 400] * window
@@ -51,6 +52,98 @@ def test_hysteresis():
     assert hysteresis(level[:0], high_db=6, low_db=3, least=1) == []
 
 
+def plain_hysteresis(level, high, low, least):
+    """A frame at a time: on at the high threshold, off below the low one, with what led up to it."""
+    out, start, loud = [], None, False
+    floor = np.percentile(level, 10)
+    for i, v in enumerate([*level, -np.inf]):
+        if v > floor + low:
+            start = i if start is None else start
+            loud = loud or v > floor + high
+        elif start is not None:
+            if loud and i - start >= least:
+                out.append((start, i))
+            start, loud = None, False
+    return out
+
+
+def test_hysteresis_is_brute_force():
+    rng = np.random.default_rng(4)
+    for n in (1, 2, 50, 400):
+        for _ in range(30):
+            level = np.round(np.cumsum(rng.normal(size=n)), 1)
+            assert [s[:2] for s in hysteresis(level, high_db=2, low_db=1, least=3)] == plain_hysteresis(level, 2, 1, 3)
+
+
+def plain_features(clip, rate=22_050, to=16_000):
+    """Windows and segments of a mu-law clip, by the definitions."""
+    x, cut = decode(clip, "mulaw").astype(float), to / rate
+    n = -(-len(x) * to // rate)
+    y = np.zeros(n)
+    for m in range(n):
+        at = (np.arange(len(x)) - m * rate / to) * cut
+        w = np.where(np.abs(at) < 12, np.i0(8 * np.sqrt(np.clip(1 - (at / 12) ** 2, 0, 1))) / np.i0(8.0), 0)
+        y[m] = (x * cut * np.sinc(at) * w).sum()
+    count = max(0, -(-(n - 400) // 160)) + 1 if n else 0
+    y = np.concatenate([y, np.zeros(count * 160 + 400)])
+    window, bank = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(400) / 400), filterbank(16_000, 512, 40, 20.0, 8000)
+    frames = [y[i * 160 : i * 160 + 400] * window for i in range(count)]
+    mel = [np.log(np.maximum(np.abs(np.fft.rfft(f, 512)) ** 2 @ bank, 1e-10)) for f in frames]
+    level = np.array([10 * np.log10(max((f**2).mean(), 1e-10)) for f in frames])
+    return mel, plain_hysteresis(level, 6, 3, 5) if count else []
+
+
+def test_query_is_brute_force(spark):
+    rng = np.random.default_rng(5)
+    clips = [bytes(rng.integers(0, 256, n).astype(np.uint8) // (1 + np.arange(n) // 700 % 9).astype(np.uint8)) for n in (1, 300, 551, 552, 900, 8000)]
+    got = audio_features(spark.createDataFrame([(i, bytearray(c)) for i, c in enumerate(clips)], "doc_id long, clip binary")).orderBy("doc_id", "window").collect()
+    for i, clip in enumerate(clips):
+        mel, segments = plain_features(clip)
+        own = [r for r in got if r["doc_id"] == i]
+        assert [r["window"] for r in own] == list(range(-(-len(mel) // 32))) and sum(r["n_frames"] for r in own) == len(mel)
+        flat = np.concatenate([np.array(r["tensor"]).reshape(32, 40)[: r["n_frames"]] for r in own])
+        loud = np.array(mel) > -12
+        assert np.where(loud, np.abs(flat - mel), 0).max() < 0.02
+        spans = [(round(s["start_s"] * 100), round((s["end_s"] - 0.025) * 100) + 1) for r in own for s in r["segments"]]
+        assert spans == segments
+        assert all(r["start_s"] <= s["start_s"] < r["start_s"] + 0.32 for r in own for s in r["segments"])
+
+
+def test_long_clips_take_linear_time():
+    import time
+
+    from meshwright.llm.audio import _analyse
+
+    rng = np.random.default_rng(2)
+    minute = (rng.normal(size=22_050 * 60) * (np.arange(22_050 * 60) // 4000 % 2) * 30).astype(np.int8).view(np.uint8)
+    taken = []
+    for minutes in (5, 40):
+        batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([np.tile(minute, minutes).tobytes()], pa.binary())], names=["id", "clip"])
+        began = time.time()
+        assert sum(b.num_rows for b in _analyse(22_050, "mulaw", 16_000, 40, 32, 6.0, 3.0, 5)(iter([batch]))) == -(-(minutes * 6000 - 1) // 32)
+        taken.append(time.time() - began)
+    assert taken[1] < 16 * taken[0] + 2
+
+
+def test_stored_tensors_have_one_shape(spark, tmp_path):
+    rows = [(1, bytearray(bytes(range(256)) * 60)), (2, None), (3, bytearray(b"abc"))]
+    features = audio_features(spark.createDataFrame(rows, "doc_id long, clip binary").repartition(2))
+    files = write_tensors(features, str(tmp_path / "t")).collect()
+    table = read_tensors(str(tmp_path / "t"))
+    want = {(r["doc_id"], r["window"]): r for r in features.collect()}
+    assert sum(r["rows"] for r in files) == table.num_rows == len(want)
+    kind = table.schema.field("tensor").type
+    assert isinstance(kind, pa.FixedShapeTensorType) and kind.shape == [32, 40] and kind.dim_names == ["frame", "mel"]
+    with pa.ipc.open_file(str(tmp_path / "t" / files[0]["file"])) as f:
+        assert f.schema.field("tensor").type == kind
+    column = table["tensor"].combine_chunks()
+    for i, (d, w) in enumerate(zip(table["doc_id"].to_pylist(), table["window"].to_pylist())):
+        tensor = want[d, w]["tensor"]
+        assert column[i].as_py() is None if tensor is None else np.array_equal(column[i].to_numpy().ravel(), np.array(tensor, np.float32))
+    with_empty = write_tensors(features.limit(0), str(tmp_path / "none"))
+    assert with_empty.count() == 0
+
+
 def test_encodings():
     assert np.allclose(decode(np.array([0, 128, 255], np.uint8).tobytes(), "u8"), [-1, 0, 127 / 128])
     assert np.allclose(decode(np.array([-32768, 16384], "<i2").tobytes() + b"x", "s16"), [-1, 0.5])
@@ -64,10 +157,11 @@ def test_windows_and_tensors(spark):
     clip = (quiet * 32767).astype("<i2").tobytes()
     rows = audio_features(spark.createDataFrame([(1, bytearray(clip)), (2, None), (3, bytearray(b"")), (4, bytearray(b"abc"))], "doc_id long, clip binary"), encoding="s16").orderBy("doc_id", "window").collect()
     one = [r for r in rows if r["doc_id"] == 1]
-    assert [r["window"] for r in one] == list(range(len(one))) and sum(r["n_frames"] for r in one) == 198
+    assert [r["window"] for r in one] == list(range(len(one))) and sum(r["n_frames"] for r in one) == 199
     assert all(len(r["tensor"]) == 32 * 40 for r in one)
     segments = [s for r in one for s in r["segments"]]
     assert len(segments) == 1 and abs(segments[0]["start_s"] - 0.5) < 0.03 and abs(segments[0]["end_s"] - 1.0) < 0.03
-    assert [(r["doc_id"], r["tensor"], r["n_frames"]) for r in rows if r["doc_id"] > 1] == [(2, None, 0), (3, None, 0), (4, None, 0)]
+    assert [(r["doc_id"], r["tensor"], r["n_frames"]) for r in rows if 1 < r["doc_id"] < 4] == [(2, None, 0), (3, None, 0)]
+    assert [(r["window"], r["n_frames"], len(r["tensor"])) for r in rows if r["doc_id"] == 4] == [(0, 1, 1280)]
     column = to_tensors(pa.array([r["tensor"] for r in rows], pa.list_(pa.float32())))
-    assert column.type.shape == [32, 40] and column.null_count == 3
+    assert column.type.shape == [32, 40] and column.null_count == 2
