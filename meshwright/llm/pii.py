@@ -13,7 +13,10 @@ corpus however many there are.
 
 Defined results
 ---------------
-* null and empty texts have no spans; an empty table gives no rows;
+* null and empty texts have no spans; an empty table gives no rows; very long texts
+  are searched whole, in linear time;
+* context labelers see ``context`` bytes to each side of a span;
+* a list that doesn't have an entry abstains, as none is complete;
 * repeated rows are reported each; a null doc_id is reported as null;
 * spans are in characters and don't overlap: of shapes that fit at one place, the
   first in the order of KINDS counts;
@@ -41,6 +44,7 @@ _SHAPES = re.compile(
     |(?P<ssn>(?<![A-Za-z0-9-])\d{3}-\d{2}-\d{4}(?![A-Za-z0-9-]))
     |(?P<card>(?<![A-Za-z0-9.+-])\d(?:[ -]?\d){12,18}(?![A-Za-z0-9]|-\d))
     |(?P<phone>(?<![A-Za-z0-9.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]\d{2,4}){1,4}(?![A-Za-z0-9])
+        |(?<![A-Za-z0-9.])(?:\+\d{1,3}[ .-]?(?:\(0\)[ ]?)?|0)\d{2,4}[ ./-]\d{5,8}(?![A-Za-z0-9])
         |(?<![A-Za-z0-9.])\+\d{7,15}(?![A-Za-z0-9])|(?<![A-Za-z0-9.+-])[2-9]\d{9}(?![A-Za-z0-9]))""",
     re.X,
 )
@@ -50,7 +54,11 @@ _GROUP = re.compile(rb"[ .-]\d{2,4}$")
 _TOP = frozenset("com org net edu gov int info biz io co de fr es it nl uk eu us ca au ch at be pt br mx jp cn in ru pl se no fi dk ie".split())
 _ISSUERS = re.compile(r"4|5[1-5]|2(22[1-9]|2[3-9]|[3-6]|7[01]|720)|3[47]|35(2[89]|[3-8])|6011|64[4-9]|65")
 _CALLING = re.compile(r"\+(1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])")
-_IBAN = {"AT": 20, "BE": 16, "CH": 21, "DE": 22, "DK": 18, "ES": 24, "FI": 18, "FR": 27, "GB": 22, "IE": 22, "IT": 27, "LU": 20, "NL": 18, "NO": 15, "PL": 28, "PT": 25, "SE": 24}
+_CODES = """AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BI27 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DJ27 DK18 DO28 EE20 EG29 ES24 FI18 FK18 FO18 FR27 GB22 GE22
+    GI23 GL18 GR27 GT28 HN28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MN20 MR27 MT31 MU30 NI28
+    NL18 NO15 OM23 PK24 PL28 PS29 PT25 QA29 RO24 RS22 RU33 SA24 SC31 SD18 SE24 SI19 SK24 SM27 SO23 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20 YE30"""
+#: Lengths of account numbers by country, as registered.
+_IBAN = {c[:2]: int(c[2:]) for c in _CODES.split()}
 _NEAR = {
     "email": rb"e-?mail|contact|correo|courriel|write|kontakt|adresse",
     "iban": rb"iban|account|konto|cuenta|compte|bank",
@@ -77,14 +85,14 @@ def _format(kind: str, s: str) -> int:
     if kind == "email":
         return 1 if re.fullmatch(r"[A-Za-z0-9](?:[A-Za-z0-9_%+-]|\.(?!\.))*@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}", s) else -1
     if kind == "iban":
-        return 1 if len(s.replace(" ", "")) == _IBAN.get(s[:2], 0) else -1
+        return 0 if s[:2] not in _IBAN else 1 if len(s.replace(" ", "")) == _IBAN[s[:2]] else -1
     if kind == "ip":
         return 1 if all(int(x) < 256 and str(int(x)) == x for x in s.split(".")) else -1
     if kind == "ssn":
         return -1 if s[:3] in ("000", "666") or s[0] == "9" or s[4:6] == "00" or s[7:] == "0000" else 1
     if kind == "card":
         return 1 if len(d) in (13, 14, 15, 16, 19) else -1
-    return 1 if re.fullmatch(r"(\+1[ .-]?)?\(?[2-9]\d\d\)?[ .-]\d{3}[ .-]\d{4}|\+\d{7,15}|[2-9]\d{2}[2-9]\d{6}|\+\d{1,3}([ .-]?\(?\d{1,4}\)?){2,5}", s) and 7 <= len(d) <= 15 else -1
+    return 1 if re.fullmatch(r"(\+1[ .-]?)?\(?[2-9]\d\d\)?[ .-]\d{3}[ .-]\d{4}|\+\d{7,15}|[2-9]\d{2}[2-9]\d{6}|\+\d{1,3}([ .-]?\(?\d{1,4}\)?){2,5}|(\+\d{1,3}[ .-]?(\(0\) ?)?|0)\d{2,4}[ ./-]\d{5,8}", s) and 7 <= len(d) <= 15 else -1
 
 
 def _check(kind: str, s: str) -> int:
@@ -101,9 +109,9 @@ def _check(kind: str, s: str) -> int:
 
 def _gazetteer(kind: str, s: str) -> int:
     if kind == "email":
-        return 1 if s.rsplit(".", 1)[-1].lower() in _TOP else -1
+        return 1 if s.rsplit(".", 1)[-1].lower() in _TOP else 0  # no list has all
     if kind == "iban":
-        return 1 if s[:2] in _IBAN else -1
+        return 1 if s[:2] in _IBAN else 0
     if kind == "ip":
         return -1 if re.match(r"0\.|127\.|255\.|22[4-9]\.|2[34]\d\.", s) else 1
     if kind == "card":
@@ -187,11 +195,11 @@ def _matches(raw: bytes) -> Iterator[tuple[int, int, str]]:
         yield a, b, kind
 
 
-def spans(raw: bytes) -> Iterator[tuple[int, int, str, str, list[int], str]]:
+def spans(raw: bytes, context: int = 40) -> Iterator[tuple[int, int, str, str, list[int], str]]:
     """(start, end, kind, span, votes, traits) of the candidates of a text."""
     for a, b, kind in _matches(raw):
         s = raw[a:b].decode()
-        before, after = raw[max(0, a - 40) : a], raw[b : b + 40]
+        before, after = raw[max(0, a - context) : a], raw[b : b + context]
         votes = [f(kind, s) for f in SPAN_LABELERS] + [f(kind, before, after) for f in CONTEXT_LABELERS]
         yield a, b, kind, s, votes, traits(s, before, after)
 
@@ -199,7 +207,7 @@ def spans(raw: bytes) -> Iterator[tuple[int, int, str, str, list[int], str]]:
 _FOUND = "doc_id long, start long, end long, kind string, votes string, traits string"
 
 
-def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _find(batches: Iterator[pa.RecordBatch], context: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         raw, offsets = string_buffers(id_column(batch, "t"))
         ids, rows = id_column(batch, "id"), []
@@ -208,7 +216,7 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             hint = np.concatenate([[0], np.cumsum((part == 64) | ((part >= 48) & (part < 58)))])
             for d in np.flatnonzero(hint[offs[1:]] > hint[offs[:-1]]):
                 own = part[offs[d] : offs[d + 1]]
-                found = list(spans(own.tobytes()))
+                found = list(spans(own.tobytes(), context))
                 if found:
                     lead = np.concatenate([[0], np.cumsum((own & 0xC0) != 0x80)])
                     rows += [(ids[int(i + d)].as_py(), int(lead[a]), int(lead[b]), kind, "".join("-0+"[v + 1] for v in votes), more) for a, b, kind, _, votes, more in found]
@@ -281,12 +289,12 @@ def classify(patterns: list[tuple[str, str, str, int]]) -> dict[tuple[str, str,
     return {p[:3]: float(1 / (1 + np.exp(-np.clip(v, -30, 30)))) for p, v in zip(patterns, x @ w)}
 
 
-def pii(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least: float = 0.5) -> DataFrame:
+def pii(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least: float = 0.5, context: int = 40) -> DataFrame:
     """(doc_id, start, end, kind, probability) of spans that are personal data."""
     spark = docs.sparkSession
     workers_import(spark)
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")).where("t is not null")
-    found = written(own.mapInArrow(_find, _FOUND), "candidates")
+    found = written(own.mapInArrow(lambda batches: _find(batches, context), _FOUND), "candidates")
     # distinct patterns are bounded by their alphabet, whatever the corpus size
     patterns = sorted((r["kind"], r["votes"], r["traits"], r["count"]) for r in found.groupBy("kind", "votes", "traits").count().collect())
     table = spark.createDataFrame([(*k, p) for k, p in classify(patterns).items()], "kind string, votes string, traits string, probability double")

@@ -59,6 +59,64 @@ def test_em_finds_the_bad_labeler():
     assert (guess == truth).mean() > max(0.9, ((votes.sum(axis=1) > 0) == truth).mean())
 
 
+def plain_em(rows, rounds=300, vetoes=0):
+    """The same model, a candidate at a time."""
+    n, labelers = len(rows), len(rows[0])
+    strength = 7 + 0.2 * n
+    prior = [[[strength * v for v in side] for side in ([[0.6, 0.3, 0.1], [0.01, 0.19, 0.8]] if i < vetoes else [[0.45, 0.4, 0.15], [0.1, 0.4, 0.5]])] for i in range(labelers)]
+    post = [0.1 if any(v < 0 for v in r[:vetoes]) or sum(r) < 0 else 0.9 if sum(r) > 0 else 0.5 for r in rows]
+    for _ in range(rounds):
+        share = (sum(post) + 1) / (n + 2)
+        table = []
+        for i in range(labelers):
+            sides = []
+            for c in (0, 1):
+                cells = [prior[i][c][k] + sum((p if c else 1 - p) for r, p in zip(rows, post) if r[i] == k - 1) for k in range(3)]
+                cells = [x / sum(cells) for x in cells]
+                if c and i < vetoes:
+                    cells[0] = min(cells[0], 0.01)
+                    cells = [x / sum(cells) for x in cells]
+                sides.append(cells)
+            table.append(sides)
+        post = []
+        for r in rows:
+            odds = [1 - share, share]
+            for c in (0, 1):
+                for i, v in enumerate(r):
+                    odds[c] *= table[i][c][v + 1]
+            post.append(odds[1] / sum(odds))
+    return post
+
+
+@pytest.mark.parametrize("vetoes", [0, 2])
+def test_em_over_counts_is_em_over_candidates(vetoes):
+    rng = np.random.default_rng(3)
+    truth = rng.random(150) < 0.5
+    rows = np.where(rng.random((150, 4)) < [0.9, 0.8, 0.7, 0.6], truth[:, None], ~truth[:, None]) * 2 - 1
+    rows[rng.random(rows.shape) < 0.3] = 0
+    patterns, back, counts = np.unique(rows, axis=0, return_inverse=True, return_counts=True)
+    post = reliabilities(patterns, counts.astype(float), vetoes, rounds=300)[2]
+    assert np.allclose(post[back.ravel()], plain_em(rows.tolist(), vetoes=vetoes), atol=1e-6)
+
+
+@pytest.mark.parametrize("number", ["GR1601101250000000012300695", "CZ6508000000192000145399", "DE89370400440532013000", "GB29 NWBK 6016 1331 9268 19", "NO9386011117947", "PL61109010140000071219812874"])
+def test_registered_account_numbers_pass(documents, number):
+    rows = [(i, f"iban {number} ok") for i in range(20)] + [(50 + i, f"iban {number[:-1]}{(int(number[-1]) + 1) % 10} no") for i in range(20)]
+    found = {r["doc_id"] for r in pii(documents(rows)).collect() if r["kind"] == "iban"}
+    assert found == set(range(20))
+
+
+def test_lists_abstain_where_they_are_silent():
+    votes = {s[3]: s[4] for t in ("write anna@example.dev now", "account ZZ12 3456 7890 1234 5678") for s in spans(t.encode())}
+    assert votes["anna@example.dev"][:3] == [1, 0, 0] and votes["ZZ12 3456 7890 1234 5678"][0] == 0 == votes["ZZ12 3456 7890 1234 5678"][2]
+
+
+@pytest.mark.parametrize("text", ["0171 2345678", "2125550100", "+49 171 2345678", "030/12345678", "+44 (0) 171 2345678"])
+def test_national_numbers_are_found(documents, text):
+    got = pii(documents([(i, f"please call {text} today") for i in range(20)])).collect()
+    assert len(got) == 20 and {(r["kind"], r["start"], r["end"]) for r in got} == {("phone", 12, 12 + len(text))}
+
+
 def test_counts_stand_for_rows():
     one = [("card", "+++00", "5200ss", 3), ("card", "--+00", "6300sp", 2)]
     assert classify(one).keys() == {p[:3] for p in one} and classify([]) == {}
