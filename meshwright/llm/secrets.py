@@ -12,9 +12,8 @@ stratum (encoding in either case and length band, as short strings reject less
 surely) the share of random strings is estimated from the p-values above one half
 of the distinct strings of the whole corpus, and the cut is the least p at which
 the estimated share of other strings among those at or above it is at most
-``fdr``.  A stratum of fewer than ``enough`` strings borrows those of its
-neighbours in length; if they are still too few to tell, a string has to pass at
-the level ``fdr`` by itself.
+``fdr``.  A stratum of fewer than ``enough`` strings can't tell by itself: a string
+has to pass the cut of its neighbours in length and the level ``fdr`` besides.
 
 Defined results
 ---------------
@@ -222,24 +221,28 @@ def _scan(batches: Iterator[pa.RecordBatch], shortest: int) -> Iterator[pa.Recor
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
 
-def cuts(counts: dict[tuple[str, int], np.ndarray], fdr: float, least_p: float, enough: int = 100) -> dict[tuple[str, int], float]:
+def cuts(counts: dict[tuple[str, int], np.ndarray], fdr: float, least_p: float, enough: int = 20) -> dict[tuple[str, int], float]:
     """The least p to accept in each stratum, from its histogram of p-values."""
-    out = {}
-    for family, length in counts:
-        bins, half = np.zeros(BINS), BINS // 2
-        # the stratum itself, and its neighbours in length until there are enough strings
-        for _, b in sorted((abs(math.log((b + 1) / (length + 1))), b) for f, b in counts if f == family):
-            if bins.sum() >= enough:
-                break
-            bins = bins + counts[family, b]
-        high = bins[half:].sum()
-        random = (high + 1.65 * np.sqrt(high + 1)) / (1 - half / BINS)  # strings drawn at random, at the upper end of what this count allows
+
+    def cut(bins: np.ndarray) -> float:
+        high = bins[BINS // 2 :].sum()
+        random = 2 * (high + 1.65 * np.sqrt(high + 1))  # strings drawn at random, at the upper end of what this count allows
         above = np.cumsum(bins[::-1])[::-1]
         edges = np.arange(BINS) / BINS
         false = np.maximum(0, above - random * (1 - edges)) / np.maximum(above, 1)
         good = np.flatnonzero((false <= fdr) & (above > 0))
-        least = least_p if bins.sum() >= enough else max(least_p, fdr)
-        out[family, length] = max(least, float(edges[good[0]])) if len(good) else 2.0
+        return max(least_p, float(edges[good[0]])) if len(good) else 2.0
+
+    out = {}
+    for family, length in counts:
+        own = out[family, length] = cut(counts[family, length])
+        if counts[family, length].sum() < enough:
+            # too few to tell: its neighbours in length have a say as well, and so has the level itself
+            bins = np.zeros(BINS)
+            for _, b in sorted((abs(math.log((b + 1) / (length + 1))), b) for f, b in counts if f == family):
+                if bins.sum() < enough:
+                    bins = bins + counts[family, b]
+            out[family, length] = max(own, cut(bins), fdr)
     return out
 
 
@@ -258,7 +261,7 @@ def _tests(docs: DataFrame, id_col: str, text_col: str, shortest: int) -> DataFr
     return written(own.mapInArrow(lambda batches: _scan(batches, shortest), _SPANS), "tested")
 
 
-def secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", fdr: float = 0.05, least_p: float = 1e-3, enough: int = 100, shortest: int = 16) -> DataFrame:
+def secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", fdr: float = 0.05, least_p: float = 1e-3, enough: int = 20, shortest: int = 16) -> DataFrame:
     """A row for each secret: its span, encoding, p-values and stratum's cut."""
     tested = _tests(docs, id_col, text_col, shortest)
     cut = _cuts_of(tested, fdr, least_p, enough)
@@ -268,7 +271,7 @@ def secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 
 
 def without_secrets(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", mark: str = "[SECRET]", fdr: float = 0.05, least_p: float = 1e-3, enough: int = 100, shortest: int = 16
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", mark: str = "[SECRET]", fdr: float = 0.05, least_p: float = 1e-3, enough: int = 20, shortest: int = 16
 ) -> DataFrame:
     """``docs`` with every secret in the text replaced by ``mark``; no shuffle."""
     tested = _tests(docs, id_col, text_col, shortest)

@@ -94,10 +94,18 @@ def test_few_strings_fail_closed():
     bins = np.zeros(200)
     bins[2] = 3  # three strings of p about 0.01
     assert cuts({("hex", 32): bins}, 0.05, 1e-3)[("hex", 32)] >= 0.05
-    # with neighbours that are known to be random, a small stratum follows them; of another alphabet they don't count
-    near = np.full(200, 20.0)
-    got = cuts({("hex", 32): bins, ("hex", 40): near, ("base62", 32): bins}, 0.05, 1e-3)
-    assert got[("hex", 32)] == got[("hex", 40)] < 0.05 <= got[("base62", 32)]
+    # neighbours in length tell what to expect, strings of another alphabet don't; the level has to be passed in either case
+    near, odd = np.full(200, 20.0), np.zeros(200)
+    odd[:10] = 400
+    got = cuts({("hex", 32): bins, ("hex", 40): near, ("base62", 32): bins, ("base62", 40): odd}, 0.05, 1e-3)
+    assert got[("hex", 40)] < 0.05 <= got[("hex", 32)] < 0.06 and got[("base62", 32)] == got[("base62", 40)] == 2.0
+
+
+def test_a_stratum_of_other_strings_beside_one_of_secrets_stays_closed():
+    words, random_ = np.zeros(200), np.full(200, 2.0)
+    words[:6] = 10
+    got = cuts({("base32", 16): words, ("base32", 20): random_}, 0.05, 1e-3)
+    assert got[("base32", 16)] == 2.0 and got[("base32", 20)] < 0.05
 
 
 def test_shorter_runs_on_demand(documents):
