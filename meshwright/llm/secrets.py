@@ -12,7 +12,7 @@ stratum (encoding in either case and length band, as short strings reject less
 surely) the share of random strings is estimated from the p-values above one half
 of the distinct strings of the whole corpus, and the cut is the least p at which
 the estimated share of other strings among those at or above it is at most
-``fdr``.  A stratum of fewer than ``enough`` strings can't tell by itself: a string
+``fdr`` and these lie as evenly as random ones would.  A stratum of fewer than ``enough`` strings can't tell by itself: a string
 has to pass the cut of its neighbours in length and the level ``fdr`` besides.
 
 Defined results
@@ -230,7 +230,10 @@ def cuts(counts: dict[tuple[str, int], np.ndarray], fdr: float, least_p: float,
         above = np.cumsum(bins[::-1])[::-1]
         edges = np.arange(BINS) / BINS
         false = np.maximum(0, above - random * (1 - edges)) / np.maximum(above, 1)
-        good = np.flatnonzero((false <= fdr) & (above > 0))
+        # what is accepted has to lie evenly above the cut, as far as its number can tell
+        middle = np.cumsum((bins * (edges + 0.5 / BINS))[::-1])[::-1] / np.maximum(above, 1)
+        even = (middle - edges) / (1 - edges) >= 0.5 - fdr - 1.65 / np.sqrt(12 * np.maximum(above, 1))
+        good = np.flatnonzero((false <= fdr) & even & (above > 0))
         return max(least_p, float(edges[good[0]])) if len(good) else 2.0
 
     out = {}
