@@ -19,6 +19,10 @@ from .tokenstore import store
 from .toxicity import toxicity
 
 
+#: Byte-level pairs, of the public vocabulary files of the machine.
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -62,7 +66,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return store(documents(spark, sf_dir))
+    return store(documents(spark, sf_dir), VOCABULARY)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

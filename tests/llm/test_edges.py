@@ -12,6 +12,7 @@ from meshwright.llm.mixing import mixed
 from meshwright.llm.neardup import near_duplicates
 from meshwright.llm.packing import packs
 from meshwright.llm.pii import pii
+from meshwright.llm.queries import VOCABULARY
 from meshwright.llm.secrets import secrets
 from meshwright.llm.substrings import repeated_passages
 from meshwright.llm.tokenstore import store
@@ -32,7 +33,7 @@ OPERATORS = {
     "fingerprints": fingerprints,
     "substrings": repeated_passages,
     "packing": packs,
-    "tokenstore": store,
+    "tokenstore": lambda d: store(d, VOCABULARY),
 }
 
 

@@ -111,7 +111,8 @@ def test_a_stratum_of_other_strings_beside_one_of_secrets_stays_closed():
 def test_the_best_of_other_strings_are_not_let_in():
     words = np.zeros(200)
     words[:20] = [5, 3, 3, 2, 1, 1, 0, 1, 0, 0, 1, 0, 1, 0, 0, 0, 0, 1, 0, 0]
-    assert cuts({("base32", 16): words}, 0.05, 1e-3)[("base32", 16)] == 2.0
+    cut = cuts({("base32", 16): words}, 0.05, 1e-3)[("base32", 16)]
+    assert words[np.arange(200) / 200 >= cut].sum() <= 1  # a lone one can't be told from a secret
     lone = np.zeros(200)
     lone[40] = 1
     assert cuts({("hex", 32): lone}, 0.05, 1e-3)[("hex", 32)] == 0.05

@@ -7,10 +7,11 @@ import numpy as np
 import pytest
 
 from meshwright.llm import tokenstore as T
+from meshwright.llm.queries import VOCABULARY
 
 from .conftest import prose
 
-pytestmark = pytest.mark.skipif(not os.path.exists(T.VOCABULARY), reason="no vocabulary file")
+pytestmark = pytest.mark.skipif(not os.path.exists(VOCABULARY), reason="no vocabulary file")
 
 
 def texts():
@@ -21,15 +22,15 @@ def texts():
 
 def test_round_trip(documents):
     rows = texts()
-    shards = T.store(documents(rows), shard_bytes=2000)
-    got = T.documents(shards).collect()
+    shards = T.store(documents(rows), VOCABULARY, shard_bytes=2000)
+    got = T.documents(shards, VOCABULARY).collect()
     assert sorted(((r["doc_id"], r["text"]) for r in got)) == sorted(rows)
-    one = T.documents(shards, doc_ids=[4, 150, 7]).collect()
+    one = T.documents(shards, VOCABULARY, doc_ids=[4, 150, 7]).collect()
     assert sorted((r["doc_id"], r["text"]) for r in one) == sorted((d, t) for d, t in rows if d in (4, 150, 7))
 
 
 def test_ids_are_the_vocabulary_s():
-    with open(T.VOCABULARY, "rb") as f:
+    with open(VOCABULARY, "rb") as f:
         e = T.Encoder(f.read(), T.PATTERN)
     for _, t in texts():
         if t is not None:
@@ -37,7 +38,7 @@ def test_ids_are_the_vocabulary_s():
 
 
 def test_index_and_dictionary(documents):
-    shards = T.store(documents(texts()), shard_bytes=3000).collect()
+    shards = T.store(documents(texts()), VOCABULARY, shard_bytes=3000).collect()
     dictionary = next(s for s in shards if s["shard"] == "dictionary")
     reader = T.Reader(bytes(dictionary["payload"]))
     for s in shards:
@@ -51,6 +52,35 @@ def test_index_and_dictionary(documents):
         T.Reader(b"another").ids(next(s for s in shards if s["shard"] != "dictionary"), 0)
 
 
+def test_lookup_reads_the_shards_asked_for(spark, documents, tmp_path):
+    rows = [*texts(), (None, "no id"), (4, "again"), (5000, "x " * 20_000)]
+    path = str(tmp_path / "store")
+    T.write_store(T.store(documents(rows), VOCABULARY, shard_bytes=1500), path)
+    for wanted in ([4], [150, 7, 299], [5000], [123_456], []):
+        got = sorted((r["doc_id"], r["text"]) for r in T.lookup(spark, path, wanted, VOCABULARY).collect())
+        assert got == sorted((d, t) for d, t in rows if d in wanted)
+    at = spark.read.parquet(f"{path}/index").collect()
+    assert sorted((r["doc_id"] for r in at), key=str) == sorted((d for d, _ in rows), key=str)
+    import pyarrow.parquet as pq
+
+    for f in (tmp_path / "store" / "shards").glob("*.parquet"):
+        meta = pq.ParquetFile(f).metadata
+        assert meta.num_row_groups == meta.num_rows
+
+
+def test_dictionary_sees_more_as_the_corpus_grows(spark, documents, monkeypatch):
+    monkeypatch.setattr(T, "GROUP", 20)
+    rng = random.Random(4)
+    rows = [(i, prose(rng, 60) + " the usual closing words of every one of these documents") for i in range(1500)]
+    got = [next(s for s in T.store(documents(rows).repartition(n), VOCABULARY, share=0.5, least=10, dictionary_bytes=4096).collect() if s["shard"] == "dictionary")["payload"] for n in (1, 4)]
+    assert got[0] == got[1] and 0 < len(got[0]) <= 4096
+    shards = T.store(documents(rows), VOCABULARY, share=0.5, least=10, dictionary_bytes=4096)
+    none = T.store(documents(rows), VOCABULARY, share=0.0, least=0, dictionary_bytes=4096)
+    size = lambda s: sum(len(r["payload"]) for r in s.where("shard != 'dictionary'").collect())
+    assert size(shards) < size(none)
+    assert sorted((r["doc_id"], r["text"]) for r in T.documents(shards, VOCABULARY).collect()) == sorted(rows)
+
+
 def test_training_saves_space():
     rng = random.Random(0)
     arrays = [np.array([rng.randrange(300) for _ in range(80)] + list(range(1000, 1060)), "<u2").tobytes() for _ in range(400)]
