@@ -2,7 +2,8 @@
 
 Seed terms come from labelled documents: terms far more frequent among toxic
 than among clean ones, and common terms that lean to neither.  Over all
-documents, terms that keep company with toxic seeds become nodes of a graph
+documents, terms that keep company with toxic seeds, significantly and with
+several kinds of them, become nodes of a graph
 whose edges are positive pointwise mutual informations of two terms' sharing a
 passage.  Random walks with restart from either kind of seed give every node a
 polarity; a document's score is the sum of its words' weights over the square
@@ -15,6 +16,9 @@ Defined results
 ---------------
 * a null text, or one without words, scores 0 and isn't toxic;
 * without toxic or without clean labels nothing can be learnt: all scores are 0;
+* an empty table gives no rows; a very long text is scored whole, passage by
+  passage while learning; equal scores are treated alike, as the threshold lies
+  between two scores;
 * null doc_ids and repeated rows are scored like any row; labels that are null or
   whose document is missing are ignored, a document labelled both ways is toxic;
 * only the named columns are read, so other columns may have any names.
@@ -27,10 +31,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.session import workers_import, written
+from ..functions.session import drop_written, workers_import, written
+from .neardup import _sign
 from .textvec import U64, chunks, folded, id_column, mix, span_hashes, string_buffers, word_spans
 
 STEMS = (4, 5, 6)
@@ -85,34 +90,50 @@ def _table(columns: dict[str, pa.Array]) -> pa.RecordBatch:
 def _labelled_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch, i, j, low, offsets in _pieces(batches):
         toxic = id_column(batch, "toxic").to_numpy(zero_copy_only=False)[i:j].astype(np.int64)
+        once = id_column(batch, "once").to_numpy(zero_copy_only=False)[i:j].astype(np.int64)
         first, h, owner, _, _ = terms(low, offsets)
         if not len(h):
             continue
+        # the least stem of a term's word, or the word itself, names its family
+        root = h[: first[-1]].copy()
+        at = np.flatnonzero(owner[first[-1] :] >= 0) + first[-1]
+        root[owner[at[::-1]]] = h[at[::-1]]
         doc = np.searchsorted(first, owner, "right") - 1
         order = np.lexsort((h, doc))
-        h, doc = h[order], doc[order]
+        h, doc, root = h[order], doc[order], root[owner[order]]
         new = np.concatenate([[True], (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])])
-        h, bad = h[new], toxic[doc[new]]
-        names, at = np.unique(h, return_inverse=True)
-        yield _table({"h": pa.array(names.view(np.int64)), "bad": pa.array(np.bincount(at, bad).astype(np.int64)), "n": pa.array(np.bincount(at).astype(np.int64))})
+        h, bad, one, root = h[new], toxic[doc[new]], once[doc[new]], root[new]
+        names, first_at, at = np.unique(h, return_index=True, return_inverse=True)
+        count = lambda w: pa.array(np.bincount(at, w).astype(np.int64))
+        yield _table({"h": pa.array(names.view(np.int64)), "family": pa.array(root[first_at].view(np.int64)), "bad": count(bad * one), "n": count(one), "all_bad": count(bad), "every": count(np.ones(len(bad)))})
 
 
-def _company(seeds: np.ndarray, passage: int):
+def _company(seeds: np.ndarray, families: np.ndarray, passage: int):
+    """Rows (h, n, m, kinds): n passages with a term, m of them with a seed too, and the seeds' families as bits; h = 0 for all passages."""
+    order = np.argsort(seeds)
+    bit = U64(1) << (families[order] & U64(63))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Members(seeds)
         for _, _, _, low, offsets in _pieces(batches):
             first, h, owner, _, _ = terms(low, offsets)
-            block = _passages(first, passage)
-            at, _ = known.find(h)
-            if not len(at):
+            if not first[-1]:
                 continue
-            hot = np.unique(block[owner[at]])
-            mark = np.zeros(block[-1] + 1, bool)
-            mark[hot] = True
-            use = mark[block[owner]]
-            names, counts = _distinct(h[use], block[owner[use]])
-            names, counts = np.concatenate([names, [U64(0)]]), np.concatenate([counts, [len(hot)]])
-            yield _table({"h": pa.array(names.view(np.int64)), "n": pa.array(counts.astype(np.int64))})
+            block = _passages(first, passage)
+            at, place = known.find(h)
+            kinds = np.zeros(block[-1] + 1, U64)
+            np.bitwise_or.at(kinds, block[owner[at]], bit[place])
+            # of one spelling, terms stand in the order of their passages
+            order = np.argsort(h, kind="stable")
+            h, block = h[order], block[owner[order]]
+            new = np.ones(len(h), bool)
+            new[1:] = (h[1:] != h[:-1]) | (block[1:] != block[:-1])
+            h, own = h[new], kinds[block[new]]
+            begin = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+            columns = [h[begin].view(np.int64), np.diff(np.append(begin, len(h))), np.add.reduceat((own > 0).astype(np.int64), begin), np.bitwise_or.reduceat(own, begin).view(np.int64)]
+            for c, v in zip(range(4), (0, len(kinds), int((kinds > 0).sum()), 0)):
+                columns[c] = np.append(columns[c], v)
+            yield _table({name: pa.array(c) for name, c in zip(("h", "n", "m", "kinds"), columns)})
 
     return run
 
@@ -126,21 +147,20 @@ def _passages(first: np.ndarray, passage: int) -> np.ndarray:
     return base[doc] + (np.arange(first[-1]) - first[doc]) // passage
 
 
-def _distinct(h: np.ndarray, block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, number of passages that have it)."""
-    order = np.lexsort((block, h))
-    h, block = h[order], block[order]
-    new = np.ones(len(h), bool)
-    new[1:] = (h[1:] != h[:-1]) | (block[1:] != block[:-1])
-    return np.unique(h[new], return_counts=True)
+def _pairs(nodes: np.ndarray, core: int, passage: int):
+    """Rows (x, y, n, term): n passages with nodes x < y, with x alone (x = y), or in all (-1).
 
-
-def _pairs(nodes: np.ndarray, passage: int):
-    """Rows (x, y, n, term): n passages with nodes x < y, with x alone (x = y), or in all (-1)."""
+    The first ``core`` nodes, which are many in every passage, are counted in a square table.
+    """
+    order = np.argsort(nodes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, size = Members(nodes), len(nodes)
-        total, keys, counts, names, dense = 0, np.zeros(0, np.int64), np.zeros(0, np.int64), {}, None
+        total, dense, names = 0, np.zeros(core * core, np.int64), {}
+
+        def out(keys: np.ndarray, counts: np.ndarray, wide: int, term: list) -> pa.RecordBatch:
+            return _table({"x": pa.array(keys // wide), "y": pa.array(keys % wide), "n": pa.array(counts), "term": pa.array(term, pa.string())})
+
         for _, _, _, low, offsets in _pieces(batches):
             first, h, owner, begin, finish = terms(low, offsets)
             if not first[-1]:
@@ -150,9 +170,11 @@ def _pairs(nodes: np.ndarray, passage: int):
             at, place = known.find(h)
             if not len(at):
                 continue
+            place = order[place]
+            fresh = {}
             for p, a in zip(*np.unique(place, return_index=True)):
                 if p not in names:
-                    names[int(p)] = low[begin[at[a]] : finish[at[a]]].tobytes().decode("utf-8", "replace")
+                    names[int(p)] = fresh[int(p)] = low[begin[at[a]] : finish[at[a]]].tobytes().decode("utf-8", "replace")
             seen = np.unique(block[owner[at]] * size + place)
             b, p = seen // size, seen % size
             begin_b = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]]))
@@ -160,19 +182,17 @@ def _pairs(nodes: np.ndarray, passage: int):
             after = np.repeat(begin_b + many, many) - np.arange(len(b))  # partners: itself and those that follow in its passage
             left = np.repeat(np.arange(len(b)), after)
             right = left + np.arange(len(left)) - np.repeat(np.cumsum(after) - after, after)
-            key = p[left] * size + p[right]
-            if size <= 4096:
-                dense = np.bincount(key, minlength=size * size) if dense is None else dense + np.bincount(key, minlength=size * size)
-                continue
-            k, c = np.unique(key, return_counts=True)
-            keys, back = np.unique(np.concatenate([keys, k]), return_inverse=True)
-            counts = np.bincount(back, np.concatenate([counts, c])).astype(np.int64)
-        if dense is not None:
-            keys = np.flatnonzero(dense)
-            counts = dense[keys]
-        x, y = (keys // size, keys % size) if size else (keys, keys)
-        term = [names.get(int(a)) if a == b else None for a, b in zip(x, y)]
-        yield _table({"x": pa.array(np.append(x, -1)), "y": pa.array(np.append(y, -1)), "n": pa.array(np.append(counts, total)), "term": pa.array([*term, None], pa.string())})
+            inner = p[right] < core
+            dense += np.bincount(p[left[inner]] * core + p[right[inner]], minlength=core * core)
+            keys, counts = np.unique(p[left[~inner]] * size + p[right[~inner]], return_counts=True)
+            if fresh:
+                yield _table({"x": pa.array(list(fresh)), "y": pa.array(list(fresh)), "n": pa.array([0] * len(fresh)), "term": pa.array(list(fresh.values()))})
+            if len(keys):
+                yield out(keys, counts, size, [None] * len(keys))
+        keys = np.flatnonzero(dense)
+        if len(keys):
+            yield out(keys, dense[keys], core, [None] * len(keys))
+        yield _table({"x": pa.array([-1]), "y": pa.array([-1]), "n": pa.array([total]), "term": pa.array([None], pa.string())})
 
     return run
 
@@ -248,47 +268,73 @@ def best_threshold(score: np.ndarray, toxic: np.ndarray) -> float:
     return float((values[k] + (values[k + 1] if k + 1 < len(values) else 0)) / 2)
 
 
+def _bounds(bad: str, n: str, z: float) -> tuple[Column, Column]:
+    """Between which shares ``bad`` of ``n`` leaves plausible (Wilson's bounds)."""
+    n = F.greatest(F.col(n), F.lit(1))
+    share = F.col(bad) / n
+    middle, spread = share + z * z / 2 / n, z * F.sqrt(share * (1 - share) / n + z * z / 4 / (n * n))
+    return (middle - spread) / (1 + z * z / n), (middle + spread) / (1 + z * z / n)
+
+
 def induce(
     docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", labelled: int = 8000, passage: int = 128,
-    least_share: float = 0.01, purity: float = 0.5, z: float = 2.5, shift: float = 5.0, positives: int = 300, negatives: int = 400, least_polarity: float = 0.9,
+    purity: float = 0.5, z: float = 2.0, node_z: float = 3.0, shift: float = 5.0, least: int = 5, families: int = 3, negatives: int = 400, least_polarity: float = 0.9,
 ) -> Lexicon:
     """Learn the lexicon.
 
     ``labelled`` bounds the labelled documents that give seeds and threshold
-    (those of least hash, whatever the corpus size; equal texts count once); the company that seeds keep and
-    the graph are counted over all documents.  A node occurs in at least
-    ``least_share`` of the passages with toxic seeds, which bounds their number
-    by the passage length and not by the corpus, and isn't known from the labels
-    to occur mainly (less than ``purity``) in clean documents.  Of its edges only
-    those with a positive weight, after ``shift``, leave the cluster.
+    (those of least hash, whatever the corpus size; equal texts count once).
+    Toxic seeds are all terms that occur mainly in toxic ones (a share above
+    ``purity`` by ``z`` standard errors), plain seeds the ``negatives`` most
+    frequent of those that don't.
+
+    The company that seeds keep and the graph are counted over all documents.  A
+    term becomes a node if it occurs in at least ``least`` passages with toxic
+    seeds, of at least ``families`` unlike ones (so copies of one document can't
+    make it), if the odds of its passages to have one are ``shift`` times those
+    of any passage by ``node_z`` standard errors, and if it isn't known from the labels
+    to occur mainly in clean documents.  These are counts, not shares, so rarer
+    terms enter as the corpus grows.  Of the graph's edges only those with a
+    positive weight, after ``shift``, leave the cluster.
     """
     workers_import(docs.sparkSession)
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")).where("t is not null")
     told = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("toxic")).where("id is not null and toxic is not null")
     told = told.groupBy("id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("id"), "id").limit(labelled)
-    sample = own.join(F.broadcast(told), "id").dropDuplicates(["t"])
-    sample = written(sample.select("id", "t", (F.col("toxic") > 0).cast("int").alias("toxic")), "labelled")
-    total, bad_total = sample.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    sample = own.join(F.broadcast(told), "id").select("id", "t", (F.col("toxic") > 0).cast("int").alias("toxic"))
+    sample = written(sample, "labelled")
+    # of equal and of near copies (of a Jaccard similarity above 0.7 or so), one has a say
+    bands = sample.mapInArrow(_sign(3, 128, 6, 42), "id long, k1 long, k2 long, low binary, bands array<long>").select("id", F.explode("bands").alias("band"))
+    earliest = bands.join(bands.groupBy("band").agg(F.min("id").alias("earliest")), "band").groupBy("id").agg(F.min("earliest").alias("earliest"))
+    sample = sample.join(earliest, "id", "left").withColumn("once", F.coalesce(F.col("earliest") == F.col("id"), F.lit(False)))
+    first = F.row_number().over(Window.partitionBy("id").orderBy("t")) == 1
+    sample = written(sample.withColumn("once", (F.col("once") & first).cast("int")).drop("earliest"), "labelled")
+    one = sample.where("once = 1").select("id", "t", "toxic")
+    total, bad_total = one.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     if not bad_total or bad_total == total:
         return Lexicon()
-    rate = bad_total / total
-    stats = sample.mapInArrow(_labelled_counts, "h long, bad long, n long").groupBy("h").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n"))
-    # between which shares of toxic documents the counts leave plausible (Wilson's bounds)
-    share, n = F.col("bad") / F.col("n"), F.col("n")
-    middle, spread = share + z * z / 2 / n, z * F.sqrt(share * (1 - share) / n + z * z / 4 / (n * n))
-    stats = stats.where("n > 1").select("h", "bad", "n", ((middle - spread) / (1 + z * z / n)).alias("low"), ((middle + spread) / (1 + z * z / n)).alias("high"))
+    counts = sample.mapInArrow(_labelled_counts, "h long, family long, bad long, n long, all_bad long, every long")
+    stats = counts.groupBy("h").agg(F.min("family").alias("family"), *(F.sum(c).alias(c) for c in ("bad", "n", "all_bad", "every")))
+    low, high = _bounds("bad", "n", z)
+    stats = stats.where("every > 1").select("h", "family", "bad", "n", low.alias("low"), high.alias("high"), _bounds("all_bad", "every", z)[1].alias("copied_high"))
     stats = written(stats, "terms")
-    best = stats.where(F.col("low") >= purity).orderBy(F.desc("bad"), "h").limit(positives).collect()
-    plain = stats.where(F.col("high") < purity).orderBy(F.desc("n"), "h").limit(negatives).collect()
+    best = stats.where((F.col("n") > 1) & (F.col("low") >= purity)).select("h", "family").collect()  # of a bounded sample
+    plain = stats.where((F.col("n") > 1) & (F.col("high") < purity)).orderBy(F.desc("n"), "h").limit(negatives).select("h").collect()
     if not best:
         return Lexicon()
-    positive, negative = (np.array([r["h"] for r in rows], np.int64).view(U64) for rows in (best, plain))
-    near = written(own.mapInArrow(_company(positive, passage), "h long, n long").groupBy("h").agg(F.sum("n").alias("m")), "company")
-    hot = near.where("h = 0").first()
-    least = max(5.0, least_share * (hot["m"] if hot else 0))
-    rows = near.where((F.col("h") != 0) & (F.col("m") >= least)).join(stats.where(F.col("high") < purity), "h", "left_anti").select("h").collect()
-    nodes = np.unique(np.concatenate([positive, negative, np.array([r["h"] for r in rows], np.int64).view(U64)]))
-    pairs = written(own.mapInArrow(_pairs(nodes, passage), "x long, y long, n long, term string").groupBy("x", "y").agg(F.sum("n").alias("n"), F.min("term").alias("term")), "graph")
+    positive, negative, root = (np.array(x, np.int64).view(U64) for x in ([r["h"] for r in best], [r["h"] for r in plain], [r["family"] for r in best]))
+    near = own.mapInArrow(_company(positive, root, passage), "h long, n long, m long, kinds long").groupBy("h").agg(F.sum("n").alias("n"), F.sum("m").alias("m"), F.bit_or("kinds").alias("kinds"))
+    near = written(near.where((F.col("h") == 0) | (F.col("m") >= least)), "company")
+    every = near.where("h = 0").first()
+    base = every["m"] / every["n"] if every else 0.0
+    odds = _bounds("m", "n", node_z)[0]
+    kept = near.where((F.col("h") != 0) & (F.bit_count("kinds") >= families) & (odds * (1 - base) >= shift * base * (1 - odds)))
+    rows = kept.join(stats.where(F.least("high", "copied_high") < purity), "h", "left_anti").select("h").collect()
+    core = np.unique(np.concatenate([positive, negative]))
+    nodes = np.concatenate([core, np.setdiff1d(np.array([r["h"] for r in rows], np.int64).view(U64), core)])
+    place = {int(h): i for i, h in enumerate(nodes)}
+    positive, negative = (np.array([place[int(h)] for h in seeds], np.int64) for seeds in (positive, negative))
+    pairs = written(own.mapInArrow(_pairs(nodes, len(core), passage), "x long, y long, n long, term string").groupBy("x", "y").agg(F.sum("n").alias("n"), F.min("term").alias("term")), "graph")
     single = pairs.where("x = y").toPandas()  # a row for each node, and one of all passages
     total = int(single["n"][single["x"] < 0].sum())
     single = single[single["x"] >= 0]
@@ -299,12 +345,16 @@ def induce(
     own_n = pairs.where("x = y and x >= 0")
     ends = pairs.where("x < y and n > 2").join(own_n.select("x", F.col("n").alias("nx")), "x").join(own_n.select("y", F.col("n").alias("ny")), "y")
     edges = ends.withColumn("w", F.log(F.col("n") * float(total) / F.col("nx") / F.col("ny") / shift)).where("w > 0").select("x", "y", "w").toPandas()
-    share = polarity(len(nodes), edges["x"].to_numpy(), edges["y"].to_numpy(), edges["w"].to_numpy(), np.searchsorted(nodes, positive), np.searchsorted(nodes, negative))
-    share[np.searchsorted(nodes, negative)] = 0  # labels outweigh the walk
+    share = polarity(len(nodes), edges["x"].to_numpy(), edges["y"].to_numpy(), edges["w"].to_numpy(), positive, negative)
+    # labels outweigh the walk
+    share[negative] = 0
+    share[positive] = np.maximum(share[positive], least_polarity)
     use = np.flatnonzero((share >= least_polarity) & (alone > 0))
     lex = Lexicon(nodes[use], 2 * share[use] - 1, [names[i] for i in use])
-    held = scored(sample.select("id", "t"), lex).join(sample.select(F.col("id").alias("doc_id"), F.col("toxic").alias("label")), "doc_id").select("score", "label").toPandas()
+    held = scored(one.select("id", "t"), lex).join(one.select(F.col("id").alias("doc_id"), F.col("toxic").alias("label")), "doc_id").select("score", "label").toPandas()
     lex.threshold = best_threshold(held["score"].to_numpy(), held["label"].to_numpy() > 0)
+    for table in (sample, stats, near, pairs):
+        drop_written(table)
     return lex
 
 
