@@ -16,13 +16,16 @@ ROOT = str(Path(__file__).resolve().parents[2])
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``, else the
-    context's checkpoint directory, else (as in tests) a folder of our own."""
+    context's checkpoint directory, else (in local mode alone, as in tests) a
+    folder of our own: a cluster's executors couldn't see it."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get().rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
     made = tempfile.mkdtemp(prefix="meshwright-")
     atexit.register(shutil.rmtree, made, ignore_errors=True)
     spark.sparkContext.setCheckpointDir(f"file://{made}")
@@ -70,7 +73,7 @@ def workers_import(spark: SparkSession) -> None:
 
     On a cluster without a common file system, ship it with ``--py-files``.
     """
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+    if "spark.sql.execution.arrow.maxRecordsPerBatch" not in spark.conf.getAll:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     env = spark.sparkContext.environment
     have = env.get("PYTHONPATH", os.environ.get("PYTHONPATH", ""))

@@ -54,6 +54,7 @@ class Graph:
             edges = edges.withColumn("weight", F.lit(1.0))
         self.edges = edges.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"), "weight")
         self.views, self.ids, self.gaps, self._own = views, ids, gaps, vertices
+        self._size: Row | None = None
 
     @classmethod
     def from_edges(cls, edges: DataFrame, *, directed: bool = True, keep_self_loops: bool = True, keep_duplicates: bool = True, **options) -> Graph:
@@ -89,7 +90,12 @@ class Graph:
         return self._own
 
     def size(self) -> Row:
-        """max_vid, num_vertices, num_edges; an empty graph has no vertices."""
+        """max_vid, num_vertices, num_edges; an empty graph has no vertices.  Counted once."""
+        if self._size is None:
+            self._size = self._counted()
+        return self._size
+
+    def _counted(self) -> Row:
         row = self.edges.agg(F.max(F.greatest("src", "dst")).alias("max_vid"), F.count("*").alias("num_edges")).first()
         if self._own is not None or not self.gaps:
             n = self.vertices.count()

@@ -101,8 +101,8 @@ def row_normalised(edges: DataFrame, least: float = 1e-10) -> DataFrame:
 
 def symmetrised(edges: DataFrame, vertices: DataFrame | None = None) -> DataFrame:
     """Edges, their reverses and, with ``vertices``, a loop each of weight 1; equal ones add up."""
-    e = edges.select("src", "dst", F.col("weight").cast("double").alias("weight"))
-    all_ = e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
+    way = lambda a, b: F.struct(F.col(a).alias("src"), F.col(b).alias("dst"))
+    all_ = edges.select(F.explode(F.array(way("src", "dst"), way("dst", "src"))).alias("e"), F.col("weight").cast("double").alias("weight")).select("e.src", "e.dst", "weight")
     if vertices is not None:
         all_ = all_.unionByName(vertices.select(F.col("vid").alias("src"), F.col("vid").alias("dst"), F.lit(1.0).alias("weight")))
     return all_.groupBy("src", "dst").agg(F.sum("weight").alias("weight"))

@@ -48,9 +48,12 @@ def inclusive_scan(df: DataFrame, value: str, name: str, *order: str | Column, r
 
 
 def lower_bound(values: DataFrame, queries: DataFrame, value: str, query: str, name: str = "position") -> DataFrame:
-    """For every row of ``queries``, how many values are less: one shared sort."""
-    both = queries.select(F.struct("*").alias("__q"), F.col(query).alias("__v"), F.lit(0).alias("__n")).unionByName(
-        values.select(F.lit(None).cast(queries.select(F.struct("*")).schema[0].dataType).alias("__q"), F.col(value).alias("__v"), F.lit(1).alias("__n"))
+    """For every row of ``queries``, how many values are less: one shared sort.
+
+    Equal values are counted beforehand, so repeated ones cost nothing in the sort.
+    """
+    both = queries.select(F.struct("*").alias("__q"), F.col(query).alias("__v"), F.lit(0).cast("long").alias("__n")).unionByName(
+        values.groupBy(F.col(value).alias("__v")).agg(F.count("*").alias("__n")).select(F.lit(None).cast(queries.select(F.struct("*")).schema[0].dataType).alias("__q"), "__v", "__n")
     )
     return inclusive_scan(both, "__n", name, "__v", "__n").where(F.col("__q").isNotNull()).select("__q.*", F.col(name).cast("long").alias(name))
 

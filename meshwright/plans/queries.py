@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import json
+import tempfile
 import uuid
 from collections.abc import Callable
+from pathlib import Path
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -11,13 +14,16 @@ from pyspark.sql import functions as F
 
 from ..functions import semiring as S
 from ..functions import tensor
-from ..functions.session import shared_dir
-from ..gnn.gcn import GraphConvolution, full_gcn, propagation
-from ..graph import Graph
+from ..functions.session import shared_dir, written
+from ..gnn.engine import GnnProgram, engine_forward
+from ..gnn.gcn import GCN, GraphConvolution, full_gcn, module_forward, propagation
+from ..gnn.module import build_module
+from ..graph import ADVANCE_VIEWS, ALL_VIEWS, BLAS_VIEWS, Graph, Views
 from ..operators import linalg as L
 from ..operators import primitives as P
-from ..operators.engine import advance, frontier_degree_sum
-from ..sources.loader import deduplicated, encounter_ids, load_edges, load_vector, load_vertices, mirrored, numbers, rejected
+from ..operators.engine import AdvanceProgram, activated, advance, advance_step, frontier_degree_sum
+from ..sources.loader import check_extension, deduplicated, encounter_ids, load_citations, load_edges, load_vector, load_vertices, mirrored, numbers, rejected, renamed
+from ..sources.onnx import load_initializers
 from ..sources.options import LoadOptions
 from ..sources.sinks import text_lines
 from .pagerank import pagerank
@@ -61,7 +67,8 @@ def edges_mirror(spark, sf_dir):
 
 @query(f"WITH {_STEPS} SELECT src, dst, weight FROM st WHERE src <> dst")
 def drop_self_loops(spark, sf_dir):
-    return event_steps(spark, sf_dir).where("src <> dst").select("src", "dst", "weight")
+    path = _as_text(event_steps(spark, sf_dir), "concat(src, ' ', dst, ' ', weight)", "edges-loops")
+    return load_edges(spark, path, LoadOptions(directed=True, keep_duplicates=True))[0].withColumn("weight", F.col("weight").cast("long"))
 
 
 @query(f"""WITH {_STEPS}, ends AS (SELECT src AS id, ts, event_id, 0 AS s FROM st WHERE src <> dst UNION ALL SELECT dst, ts, event_id, 1 FROM st WHERE src <> dst),
@@ -70,9 +77,9 @@ def densify_ids(spark, sf_dir):
     return encounter_ids(event_steps(spark, sf_dir).where("src <> dst"))
 
 
-@query(f"WITH {_EDGES} SELECT max(greatest(src, dst)) AS max_vid, count(*) AS num_edges FROM e")
+@query(f"WITH {_EDGES} SELECT max(greatest(src, dst)) AS max_vid, max(greatest(src, dst)) + 1 AS num_vertices, count(*) AS num_edges FROM e")
 def graph_size(spark, sf_dir):
-    return transition(spark, sf_dir).agg(F.max(F.greatest("src", "dst")).alias("max_vid"), F.count("*").alias("num_edges"))
+    return spark.createDataFrame([transition_graph(spark, sf_dir).size()], "max_vid long, num_vertices long, num_edges long")
 
 
 @query(f"WITH {_VERTICES} SELECT v.vid, count(e.src) AS out_degree FROM v LEFT JOIN e ON e.src = v.vid GROUP BY v.vid")
@@ -170,6 +177,108 @@ def load_rejects(spark, sf_dir):
     return spark.createDataFrame([(rejected(spark, path),)], "rejected long")
 
 
+@query(f"WITH {_EDGES} SELECT src - 1 AS src, dst - 1 AS dst, CAST(weight AS DOUBLE) AS weight FROM e WHERE src <> 0 AND dst <> 0")
+def load_base_1(spark, sf_dir):
+    path = _as_text(transition(spark, sf_dir), "concat(src, ' ', dst, ' ', weight)", "edges-one-based")
+    return load_edges(spark, path, LoadOptions(directed=True, base_1=True))[0]
+
+
+@query("SELECT * FROM (VALUES ('', true), ('.adj', true), ('.txt', false)) t(ext, accepted)")
+def extension_guard(spark, sf_dir):
+    path = f"{_as_text(transition(spark, sf_dir), 'concat(src, dst)', 'edges')}.adj"
+    return spark.createDataFrame([(ext, not _fails(ValueError, check_extension, path, ext)) for ext in ("", ".adj", ".txt")], "ext string, accepted boolean")
+
+
+def _fails(kind: type[Exception] | tuple[type[Exception], ...], f: Callable, *args, **options) -> bool:
+    try:
+        f(*args, **options)
+    except kind:
+        return True
+    return False
+
+
+@query(f"WITH {_EDGES} SELECT src AS vid, concat(CAST(sum(weight) AS BIGINT), '  ', count(*)) AS rest FROM e GROUP BY src")
+def load_raw_vertices(spark, sf_dir):
+    rows = transition(spark, sf_dir).groupBy("src").agg(F.sum("weight").alias("w"), F.count("*").alias("n"))
+    path = _as_text(rows, "concat(src, '\t', w, '  ', n)", "raw")
+    return load_vertices(spark, path, lambda rest: {"rest": rest}, raw=True)
+
+
+_SEEN = f"{_STEPS}, ends AS (SELECT src AS id, ts, event_id, 0 AS s FROM st WHERE src <> dst UNION ALL SELECT dst, ts, event_id, 1 FROM st WHERE src <> dst), f AS (SELECT id, min((ts, event_id, s)) AS seen FROM ends GROUP BY id)"
+
+
+@query(f"WITH {_SEEN} SELECT id AS orig_id, vid FROM (SELECT id, row_number() OVER (ORDER BY seen) - 1 AS vid FROM f) WHERE id % 40 = 7 UNION ALL SELECT -5, NULL")
+def id_lookup(spark, sf_dir):
+    steps = event_steps(spark, sf_dir).where("src <> dst")
+    ids = written(encounter_ids(steps), "ids")
+    g = Graph(renamed(steps.select("src", "dst", "weight"), ids), ids.select("vid"), ids=ids)
+    wanted = [r["orig_id"] for r in ids.where("orig_id % 40 = 7").select("orig_id").collect()]
+    return spark.createDataFrame([(i, g.find(i)) for i in wanted] + [(-5, None if _fails(KeyError, g.find, -5) else 0)], "orig_id long, vid long")
+
+
+@query(f"WITH {_STEPS}, both_ AS (SELECT src, dst, weight, (ts, event_id, 0) AS place FROM st WHERE src <> dst UNION ALL SELECT dst, src, weight, (ts, event_id, 1) FROM st WHERE src <> dst) SELECT src, dst, arg_min(weight, place) AS weight FROM both_ GROUP BY src, dst")
+def graph_from_edges(spark, sf_dir):
+    return Graph.from_edges(event_steps(spark, sf_dir), directed=False, keep_self_loops=False, keep_duplicates=False).edges
+
+
+@query("SELECT * FROM (VALUES ('CSR|NORMAL', true, true, 'CSR'), ('CSR|TRANSPOSE', false, true, 'CSR'), ('COO', false, false, 'COO'), ('CSR|NORMAL|TRANSPOSE', true, true, 'CSR')) t(views, expands, has_either, layout)")
+def view_algebra(spark, sf_dir):
+    rows = [(n, v.has_all(ADVANCE_VIEWS), v.has_some(Views.NORMAL | Views.TRANSPOSE), v.first().name) for n, v in (("CSR|NORMAL", ADVANCE_VIEWS), ("CSR|TRANSPOSE", BLAS_VIEWS), ("COO", Views.COO), ("CSR|NORMAL|TRANSPOSE", ALL_VIEWS))]
+    return spark.createDataFrame(rows, "views string, expands boolean, has_either boolean, layout string")
+
+
+@query(f"WITH {_EDGES}, r AS (SELECT * FROM (VALUES ('normal only', true, false), ('transpose only', false, true), ('both', true, true)) t(views, out_ok, in_ok)) SELECT views, CASE WHEN out_ok THEN (SELECT count(*) FROM e) END AS by_source, CASE WHEN in_ok THEN (SELECT count(*) FROM e) END AS by_target FROM r")
+def declared_views(spark, sf_dir):
+    e, rows = transition(spark, sf_dir), []
+    for name, views in (("normal only", ADVANCE_VIEWS), ("transpose only", BLAS_VIEWS), ("both", ALL_VIEWS)):
+        g = Graph(e, views=views)
+        rows.append((name, *(None if _fails(ValueError, f) else f().count() for f in (g.by_source, g.by_target))))
+    return spark.createDataFrame(rows, "views string, by_source long, by_target long")
+
+
+_PAPERS = "p AS (SELECT vec_id, label, list_sum([CASE WHEN v > 0 THEN 1 ELSE 0 END FOR v IN embedding]) AS n FROM embeddings)"
+
+
+def _citations(spark, sf_dir):
+    """A citation set of the embeddings and the transitions, as text, in the order of the ids."""
+    words = "array_join(transform(features, v -> if(v > 0, '1', '0')), ' ')"
+    content = _as_text(features(spark, sf_dir).coalesce(1).sortWithinPartitions("vid"), f"concat('p', vid, '\t', {words}, '\t', 'class', label)", "content")
+    cites = _as_text(transition(spark, sf_dir), "concat('p', dst * 3, '\t', 'p', src * 3)", "cites")
+    return load_citations(spark, content, cites)
+
+
+@query(f"WITH {_PAPERS}, c AS (SELECT label, row_number() OVER (ORDER BY min(vec_id)) - 1 AS place FROM p GROUP BY label) SELECT row_number() OVER (ORDER BY vec_id) - 1 AS vid, CAST(place AS INTEGER) AS label, CAST(n AS BIGINT) AS n_words FROM p JOIN c USING (label)")
+def load_citation_features(spark, sf_dir):
+    x, _, _ = _citations(spark, sf_dir)
+    return x.select("vid", "label", F.aggregate("features", F.lit(0.0), lambda a, v: a + v).cast("long").alias("n_words"))
+
+
+@query(f"WITH {_EDGES}, i AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS vid FROM embeddings) SELECT a.vid AS src, b.vid AS dst, 1.0::DOUBLE AS weight FROM e JOIN i a ON a.vec_id = src * 3 JOIN i b ON b.vec_id = dst * 3")
+def load_citation_edges(spark, sf_dir):
+    return _citations(spark, sf_dir)[1]
+
+
+def _onnx(parameters: dict[str, np.ndarray]) -> bytes:
+    """A model that has nothing but these parameters, in the wire format."""
+
+    def field(number: int, data: bytes) -> bytes:
+        return bytes([number << 3 | 2]) + _varint(len(data)) + data
+
+    def _varint(n: int) -> bytes:
+        return bytes([n & 127 | 128]) + _varint(n >> 7) if n > 127 else bytes([n])
+
+    tensors = [b"".join(b"\x08" + _varint(d) for d in a.shape) + b"\x10\x01" + field(8, name.encode()) + field(9, a.astype("<f4").tobytes()) for name, a in parameters.items()]
+    return field(7, b"".join(field(5, t) for t in tensors))
+
+
+@query("SELECT 'gc.weight' AS name, i AS row, j AS col, CAST(((i * 7 + j * 3) % 11 - 5) / 10.0 AS FLOAT)::DOUBLE AS val FROM range(64) a(i), range(8) b(j) UNION ALL SELECT 'gc.bias', 0, j, CAST(((j * 3 + 4) % 11 - 5) / 10.0 AS FLOAT)::DOUBLE FROM range(8) b(j)")
+def load_onnx(spark, sf_dir):
+    with tempfile.TemporaryDirectory() as folder:  # read again at once, by the driver
+        Path(folder, "model.onnx").write_bytes(_onnx({"gc.weight": np.array(_weights(64, 8, 0)), "gc.bias": np.array(_weights(1, 8, 4)[0])}))
+        found = load_initializers(f"{folder}/model.onnx")
+    return spark.createDataFrame([(n, i, j, float(v)) for n, a in found.items() for (i, j), v in np.ndenumerate(a)], "name string, row long, col long, val double")
+
+
 @query(f"WITH {_X} SELECT vid, round(sum(val), 4) AS total, max(k) + 1 AS width FROM (SELECT vid, k, CAST(round(val * 1000) AS BIGINT) / 1000.0::DOUBLE AS val FROM x) GROUP BY vid")
 def load_features(spark, sf_dir):
     line = "concat(vid, ' ', array_join(transform(features, x -> cast(cast(round(x * 1000) as bigint) / 1000.0 as string)), '\t'))"
@@ -202,9 +311,24 @@ def advance_one(spark, sf_dir):
 @query(f"WITH {_EDGES} SELECT dst AS vid, min(weight) AS nearest FROM e WHERE src IN (1, 2, 3) GROUP BY dst HAVING dst NOT IN (1, 2, 3)")
 def filter_visited(spark, sf_dir):
     g = transition_graph(spark, sf_dir)
-    seen = g.vertices.where("vid in (1, 2, 3)")
-    found = advance(g.edges, seen).groupBy(F.col("dst").alias("vid")).agg(F.min("weight").alias("nearest"))
-    return found.join(seen, "vid", "left_anti")
+    return _stepped(g).where("active").select("vid", "nearest")
+
+
+def _stepped(g: Graph) -> DataFrame:
+    """One expansion of three vertices, which drops what was seen before."""
+    seen = F.col("vid").isin(1, 2, 3)
+    program = AdvanceProgram(message=lambda: F.col("weight"), reduce=F.min, update=lambda: {"nearest": F.col("message")}, activate=lambda: F.lit(True), drop=lambda: seen)
+    return advance_step(g.edges, g.vertices.select("vid", F.lit(None).cast("long").alias("nearest"), seen.alias("active")), program)
+
+
+@query(f"WITH {_VERTICES}, m AS (SELECT dst, min(weight) AS nearest FROM e WHERE src IN (1, 2, 3) GROUP BY dst) SELECT vid, nearest, nearest IS NOT NULL AND vid NOT IN (1, 2, 3) AS active FROM v LEFT JOIN m ON dst = vid")
+def advance_filter(spark, sf_dir):
+    return _stepped(transition_graph(spark, sf_dir))
+
+
+@query(f"WITH {_EDGES} SELECT count(DISTINCT dst) AS n_active FROM e WHERE src IN (1, 2, 3) AND dst NOT IN (1, 2, 3)")
+def activated_count(spark, sf_dir):
+    return activated(_stepped(transition_graph(spark, sf_dir)))
 
 
 @query(f"WITH {_EDGES} SELECT count(*) AS size FROM e WHERE src < 20")
@@ -345,8 +469,22 @@ def transform_reduce(spark, sf_dir):
     return P.transform_reduce(transition(spark, sf_dir), F.col("weight") * F.col("weight"), F.sum)
 
 
+@query(f"WITH {_VERTICES}, w AS (SELECT src, count(*) AS n FROM e GROUP BY src) SELECT vid, coalesce(n, 0) AS n, 7 AS seven, row_number() OVER (ORDER BY coalesce(n, 0), vid) - 1 AS place FROM v LEFT JOIN w ON src = vid")
+def sort_by_key(spark, sf_dir):
+    degrees = P.fill(transition_graph(spark, sf_dir).out_degree().withColumnRenamed("out_degree", "n"), "seven", 7)
+    ordered = P.sort_by_key(degrees, "n", "vid")
+    return P.with_index(ordered, "place", "n", "vid")
+
+
 # --- algorithms
 
+
+
+def _kept(spark, sf_dir) -> Graph:
+    """Edges that many passes read, written once."""
+    return Graph(written(transition(spark, sf_dir), "edges"))
+
+
 _ROUNDS = 60
 _SSSP = f"""WITH RECURSIVE {_VERTICES}, l AS (SELECT src, dst, weight FROM e UNION ALL SELECT vid, vid, 0 FROM v),
 d(vid, dist, it) AS (SELECT CAST(0 AS BIGINT), CAST(0 AS BIGINT), 0 UNION ALL SELECT l.dst, CAST(min(d.dist + l.weight) AS BIGINT), d.it + 1 FROM d JOIN l ON l.src = d.vid WHERE d.it < {_ROUNDS} GROUP BY l.dst, d.it)
@@ -354,11 +492,32 @@ SELECT v.vid, d.dist FROM v LEFT JOIN d ON d.vid = v.vid AND d.it = {_ROUNDS}"""
 for _f in (sssp_advance, sssp_blas_sparse, sssp_blas_dense):
 
     def _paths(spark, sf_dir, f=_f):
-        return f(transition_graph(spark, sf_dir), 0)
+        return f(_kept(spark, sf_dir), 0)
 
     _paths.__name__ = _f.__name__
     query(_SSSP)(_paths)
 
+#: Odd ids are in no edge, and some vertices are never reached or lead nowhere.
+_GAPS = f"{_STEPS}, e AS (SELECT src * 2 AS src, dst * 2 AS dst, min(weight) AS weight FROM st WHERE src <> dst AND dst % 4 <> 1 AND src % 5 <> 2 GROUP BY 1, 2), v AS (SELECT unnest(range((SELECT max(greatest(src, dst)) + 1 FROM e))) AS vid)"
+
+
+def _gaps(spark, sf_dir):
+    e = transition(spark, sf_dir).where("dst % 4 <> 1 and src % 5 <> 2")
+    return Graph(written(e.select((F.col("src") * 2).alias("src"), (F.col("dst") * 2).alias("dst"), "weight"), "edges"))
+
+
+@query(_SSSP.replace(_VERTICES, _GAPS))
+def sssp_gaps(spark, sf_dir):
+    return sssp_advance(_gaps(spark, sf_dir), 0)
+
+
+@query(f"""WITH RECURSIVE l AS (SELECT i AS src, i + 1 AS dst FROM range(40) r(i)), d(vid, dist) AS (SELECT CAST(0 AS BIGINT), CAST(0 AS BIGINT) UNION ALL SELECT l.dst, d.dist + l.dst % 3 + 1 FROM d JOIN l ON l.src = d.vid) SELECT vid, dist FROM d""")
+def sssp_long_path(spark, sf_dir):
+    """A path of forty edges: as many rounds, with one active vertex each."""
+    e = spark.range(40).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"), ((F.col("id") + 1) % 3 + 1).alias("weight"))
+    return sssp_advance(Graph(e), 0)
+
+
 _PASSES = 10
 
 
@@ -371,18 +530,23 @@ SELECT vid, round(rank, 9) AS rank FROM r WHERE it = {passes}"""
 
 @query(_pagerank_sql(_PASSES))
 def pagerank_fixed(spark, sf_dir):
-    return pagerank(transition_graph(spark, sf_dir), iterations=_PASSES).withColumn("rank", F.round("rank", 9))
+    return pagerank(_kept(spark, sf_dir), iterations=_PASSES).withColumn("rank", F.round("rank", 9))
 
 
 @query(_pagerank_sql(_PASSES - 1))
 def pagerank_previous(spark, sf_dir):
-    return pagerank(transition_graph(spark, sf_dir), iterations=_PASSES, result="previous").withColumn("rank", F.round("rank", 9))
+    return pagerank(_kept(spark, sf_dir), iterations=_PASSES, result="previous").withColumn("rank", F.round("rank", 9))
 
 
-@query(_pagerank_sql(60).replace("round(rank, 9)", "round(rank, 4)"))
+@query(_pagerank_sql(60))
 def pagerank_converged(spark, sf_dir):
-    """To four places, at which the converged ranks and those of sixty passes agree."""
-    return pagerank(transition_graph(spark, sf_dir), eps=1e-9).withColumn("rank", F.round("rank", 4))
+    """Converged so far that nine places agree with those of sixty passes."""
+    return pagerank(_kept(spark, sf_dir), eps=1e-13).withColumn("rank", F.round("rank", 9))
+
+
+@query(_pagerank_sql(_PASSES).replace(_VERTICES, _GAPS))
+def pagerank_gaps(spark, sf_dir):
+    return pagerank(_gaps(spark, sf_dir), iterations=_PASSES).withColumn("rank", F.round("rank", 9))
 
 
 # --- graph convolution
@@ -426,6 +590,78 @@ def gcn_forward(spark, sf_dir):
     return _unpacked(model.forward(propagation(edges, x), x))
 
 
+@query(f"""WITH {_EDGES}, {_X}, {_w('w1', 64, 16, 1)}, {_w('w2', 16, 4, 2)},
+xw AS (SELECT vid, j, sum(val * w) AS val FROM x JOIN w1 USING (k) GROUP BY 1, 2), every AS (SELECT vec_id AS vid, j FROM embeddings, range(16) t(j)),
+h AS (SELECT every.vid, every.j AS k, coalesce(g.val, 0) AS val FROM every LEFT JOIN (SELECT dst AS vid, j, sum(val) AS val FROM e JOIN xw ON xw.vid = e.src GROUP BY 1, 2) g USING (vid, j)),
+hw AS (SELECT vid, j, sum(val * w) AS val FROM h JOIN w2 USING (k) GROUP BY 1, 2),
+o AS (SELECT dst AS vid, j, sum(val) AS val FROM e JOIN hw ON hw.vid = e.src GROUP BY 1, 2)
+SELECT a.vid, a.j AS col, round(coalesce(o.val, 0), 6) + 0.0 AS val FROM (SELECT vid, j FROM every WHERE j < 4) a LEFT JOIN o USING (vid, j)""")
+def gcn_plain(spark, sf_dir):
+    model = build_module(GCN, {"nfeat": 64, "nhid": 16, "nclass": 4, "drop": 0.5})
+    model.load_state_dict({"gc1.weight": np.array(_weights(64, 16, 1)), "gc2.weight": np.array(_weights(16, 4, 2))})
+    return _unpacked(module_forward(model, transition(spark, sf_dir).withColumn("weight", F.lit(1.0)), features(spark, sf_dir)))
+
+
+@query(f"""WITH {_EDGES}, {_X}, y AS (SELECT vid, k, val * 2 AS val FROM x WHERE k < 8),
+d AS (SELECT src, dst, any_value(weight) / 100.0::DOUBLE * sum(l.val * r.val) AS w FROM e JOIN y l ON l.vid = src JOIN y r ON r.vid = dst AND r.k = l.k GROUP BY 1, 2),
+g AS (SELECT dst AS vid, k, sum(w * val) AS val FROM d JOIN y ON y.vid = d.src GROUP BY 1, 2)
+SELECT y.vid, y.k AS col, round(y.val + 0.1::DOUBLE * coalesce(g.val, 0), 6) + 0.0 AS val FROM y LEFT JOIN g USING (vid, k)""")
+def gnn_program(spark, sf_dir):
+    """Edges weighed by the likeness of their ends."""
+    program = GnnProgram(construct=lambda x: F.transform(F.slice(x, 1, 8), lambda v: v * 2), apply=lambda own, got: F.zip_with(own, got, lambda a, b: a + b * 0.1), width=8, weigh=True)
+    return _unpacked(engine_forward([program], transition(spark, sf_dir).withColumn("weight", F.col("weight") / 100.0), features(spark, sf_dir)))
+
+
+@query("SELECT * FROM (VALUES ('', false), ('a.b', false), ('gc1', false), ('none', true), ('scale', true)) t(name, accepted)")
+def module_names(spark, sf_dir):
+    model = GCN(4, 3, 2)
+    model.register_parameter("none", None)
+    rows = [(n, not _fails(ValueError, model.register_parameter, n, np.ones((1, 1)))) for n in ("", "a.b", "gc1", "scale")]
+    return spark.createDataFrame([*rows, ("none", "none" not in dict(model.named_parameters()) and model.parameter("none") is None)], "name string, accepted boolean")
+
+
+@query("SELECT * FROM (VALUES ('dict', 'gc1.weight', 64, 16), ('dict', 'gc2.weight', 16, 4), ('file', 'gc1.weight', 64, 16), ('file', 'gc2.weight', 16, 4), ('tuple', 'gc1.weight', 64, 16), ('tuple', 'gc2.weight', 16, 4), ('lacking', 'KeyError', 0, 0)) t(source, name, n_rows, n_cols)")
+def module_parameters(spark, sf_dir):
+    config = {"nfeat": 64, "nhid": 16, "nclass": 4, "drop": 0.5}
+    with tempfile.TemporaryDirectory() as folder:  # read again at once, by the driver
+        Path(folder, "gcn.json").write_text(json.dumps(config))
+        models = {"dict": build_module(GCN, config), "file": build_module(GCN, f"{folder}/gcn.json"), "tuple": build_module(GCN, (64, 16, 4))}
+    rows = [(source, n, *a.shape) for source, m in models.items() for n, a in m.named_parameters()]
+    if _fails(KeyError, build_module, GCN, {"nfeat": 64}):
+        rows.append(("lacking", "KeyError", 0, 0))
+    return spark.createDataFrame(rows, "source string, name string, n_rows int, n_cols int")
+
+
+@query("SELECT * FROM (VALUES ('missing', 'gc2.weight'), ('unexpected', 'other'), ('strict', 'KeyError'), ('shape', 'ValueError')) t(what, name)")
+def load_state(spark, sf_dir):
+    state = {"gc1.weight": np.ones((64, 16)), "other": np.ones((1, 1))}
+    missing, unexpected = GCN(64, 16, 4).load_state_dict(state, strict=False)
+    rows = [("missing", n) for n in missing] + [("unexpected", n) for n in unexpected]
+    rows += [("strict", "KeyError")] if _fails(KeyError, GCN(64, 16, 4).load_state_dict, state) else []
+    rows += [("shape", "ValueError")] if _fails(ValueError, GCN(64, 16, 4).load_state_dict, {"gc1.weight": np.ones((2, 2))}, strict=False) else []
+    return spark.createDataFrame(rows, "what string, name string")
+
+
+@query(f"WITH {_VERTICES} SELECT 'one for each' AS rows, true AS accepted UNION ALL SELECT 'some lacking', count(vec_id) = count(*) FROM v LEFT JOIN embeddings ON vec_id = vid AND vec_id > 5")
+def property_rows(spark, sf_dir):
+    g = transition_graph(spark, sf_dir)
+    own = g.vertices.select("vid", F.lit(1).alias("one"))
+    rows = [("one for each", not _fails(ValueError, g.with_properties, own)), ("some lacking", not _fails(ValueError, g.with_properties, features(spark, sf_dir).where("vid > 5")))]
+    return spark.createDataFrame(rows, "rows string, accepted boolean")
+
+
+@query("WITH c AS (SELECT max(label) + 1 AS n FROM embeddings) SELECT vec_id AS vid, k AS col, CASE WHEN k = label THEN 1.0::DOUBLE ELSE 0.0 END AS val FROM embeddings, (SELECT unnest(range(n)) AS k FROM c)")
+def one_hot(spark, sf_dir):
+    x = features(spark, sf_dir)
+    classes = x.agg(F.max("label")).first()[0] + 1
+    return _unpacked(x.select("vid", tensor.one_hot(F.col("label"), int(classes)).alias("features")))
+
+
+@query(f"WITH {_X} SELECT vid, CAST(min(k) AS INTEGER) AS place FROM (SELECT *, max(val) OVER (PARTITION BY vid) AS m FROM x) WHERE val = m GROUP BY vid")
+def argmax(spark, sf_dir):
+    return features(spark, sf_dir).select("vid", tensor.argmax(F.col("features")).alias("place"))
+
+
 def _columns(f):
     return lambda spark, sf_dir: _unpacked(features(spark, sf_dir).select("vid", f(F.col("features")).alias("features")))
 

@@ -15,6 +15,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.session import written
 from ..operators.primitives import with_index
 from .options import LoadOptions, VertexOptions
 
@@ -83,9 +84,10 @@ def mirrored(edges: DataFrame) -> DataFrame:
     """Every edge and its reverse; loops once.  Reverses come right after their edge."""
     extra = [c for c in edges.columns if c not in ("src", "dst", "weight", "pos")]
     place = F.col("pos") if "pos" in edges.columns else F.lit(0)
-    own = edges.select("src", "dst", "weight", F.struct(place.alias("p"), F.lit(0).alias("side")).alias("pos"), *extra)
-    back = edges.where("src <> dst").select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight", F.struct(place.alias("p"), F.lit(1).alias("side")).alias("pos"), *extra)
-    return own.unionByName(back)
+    way = lambda a, b, side: F.struct(F.col(a).alias("src"), F.col(b).alias("dst"), F.lit(side).alias("side"))
+    both = F.when(F.col("src") == F.col("dst"), F.array(way("src", "dst", 0))).otherwise(F.array(way("src", "dst", 0), way("dst", "src", 1)))
+    each = edges.select(F.explode(both).alias("__e"), "weight", place.alias("__p"), *extra)
+    return each.select("__e.src", "__e.dst", "weight", F.struct(F.col("__p").alias("p"), F.col("__e.side").alias("side")).alias("pos"), *extra)
 
 
 def deduplicated(edges: DataFrame) -> DataFrame:
@@ -111,7 +113,7 @@ def load_edges(spark: SparkSession, path: str, options: LoadOptions = LoadOption
     """(edges, id map or None): read, drop loops, renumber, mirror, deduplicate."""
     e, ids = read_edges(spark, path, options), None
     if options.reorder or options.string_ids:
-        ids = encounter_ids(e).cache()
+        ids = written(encounter_ids(e), "ids")
         e = renamed(e, ids)
     if not options.directed:
         e = mirrored(e)
@@ -180,12 +182,14 @@ def load_citations(spark: SparkSession, content: str, cites: str) -> tuple[DataF
     ``content`` has a paper's id, binary words and class; classes are numbered by
     first appearance.  Citations of unknown papers go; equal ones add up.
     """
-    parts = lines(spark, content, "").select(F.split("line", r"\s+").alias("p"), "pos").cache()
-    ids = with_index(parts.select(F.get("p", F.lit(0)).alias("orig_id"), "pos"), "vid", "pos").select("orig_id", F.col("vid").cast("long").alias("vid")).cache()
+    parts = lines(spark, content, "").select(F.split("line", r"\s+").alias("p"), "pos")
+    parts = written(parts, "papers")
+    ids = with_index(parts.select(F.get("p", F.lit(0)).alias("orig_id"), "pos"), "vid", "pos").select("orig_id", F.col("vid").cast("long").alias("vid"))
+    ids = written(ids, "ids")
     label = F.element_at("p", -1)
     classes = with_index(parts.groupBy(label.alias("class")).agg(F.min("pos").alias("at")), "label", "at").select("class", F.col("label").cast("int").alias("label"))
     rows = parts.select(F.get("p", F.lit(0)).alias("orig_id"), F.expr("transform(slice(p, 2, size(p) - 2), x -> cast(x as double))").alias("features"), label.alias("class"))
-    features = rows.join(ids, "orig_id").join(F.broadcast(classes), "class").select("vid", "features", "label")
+    features = rows.join(ids, "orig_id").join(classes, "class").select("vid", "features", "label")
     raw = lines(spark, cites, "").select(F.split("line", r"\s+").alias("p")).select(F.get("p", F.lit(1)).alias("src"), F.get("p", F.lit(0)).alias("dst"), F.lit(1.0).alias("weight"))
     edges = renamed(raw, ids).groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
     return features, edges, ids
