@@ -15,6 +15,7 @@ from meshwright.llm.pii import pii
 from meshwright.llm.queries import VOCABULARY
 from meshwright.llm.secrets import secrets
 from meshwright.llm.substrings import repeated_passages
+from meshwright.llm import tokenstore as T
 from meshwright.llm.tokenstore import store
 from meshwright.llm.toxicity import toxicity
 
@@ -43,7 +44,7 @@ def test_odd_rows(documents, odd_rows, name):
     rows = sorted(plain.collect(), key=str)
     clash = OPERATORS[name](documents(odd_rows, clash=True))
     assert clash.columns == plain.columns
-    if name not in ("mixing", "tokenstore"):  # whose draws and shards follow the partitions
+    if name != "tokenstore":  # whose shards follow the partitions
         assert sorted(clash.collect(), key=str) == rows
     ids = [r["doc_id"] for r in rows] if "doc_id" in plain.columns else []
     if name in ("toxicity", "fingerprints"):
@@ -54,6 +55,46 @@ def test_odd_rows(documents, odd_rows, name):
         assert set(ids) == {None, *range(1, 13)}
 
 
+LONG = " ".join(f"word{i % 977} x{i}" for i in range(30_000))
+
+
+def test_values_on_odd_rows(documents, odd_rows):
+    """What each operator makes of null, empty, wordless and very long texts and of repeated rows."""
+    docs = documents(odd_rows)
+    count = lambda t: len((t or "").split())
+    # no secrets and no personal data among them, in whole texts
+    assert secrets(docs).count() == 0
+    assert {(r["doc_id"], r["kind"]) for r in pii(docs).collect()} == set()
+    marked = [(d, t if t != LONG else t + " write to ann@mail.example.com or call (212) 555-0100 now") for d, t, *_ in odd_rows] + [(None, "mail bob@mail.example.com today")] * 2
+    got = sorted(((r["doc_id"], r["kind"], r["start"]) for r in pii(documents(marked)).collect()), key=str)
+    assert got == sorted([(8, "email", len(LONG) + 10), (8, "phone", len(LONG) + 39), (None, "email", 5), (None, "email", 5)], key=str)
+    # nothing of fifty words recurs, as rows of a doc_id count once; the long text does if another document quotes its end
+    assert repeated_passages(docs).count() == 0
+    quoted = LONG.split()[-70:]
+    got = {tuple(r) for r in repeated_passages(documents([*odd_rows, (8, LONG), (30, " ".join(quoted))])).collect()}
+    assert got == {(8, 59_930, 60_000), (30, 0, 70)}
+    # every token of every row is in one piece
+    pieces = [(p["doc_id"], p["start"], p["n_tokens"]) for r in packs(docs).collect() for p in r["pieces"]]
+    want = [(d, a, min(2048, count(t) - a)) for d, t, *_ in odd_rows for a in range(0, count(t), 2048)]
+    assert sorted(pieces, key=str) == sorted(want, key=str)
+    # texts come back as they are, null as null
+    back = T.documents(store(docs, VOCABULARY), VOCABULARY).collect()
+    assert sorted(((r["doc_id"], r["text"]) for r in back), key=str) == sorted(((d, t) for d, t, *_ in odd_rows), key=str)
+    # a document is a doc_id
+    mix = {r["doc_id"]: r for r in mixed(docs).collect()}
+    assert mix.keys() == set(range(1, 13)) and [mix[d]["n_tokens"] for d in (1, 2, 3, 4, 8)] == [0, 0, 0, 3, 60_000]
+
+
+def test_ties(documents):
+    """Equal lengths, texts and scores: results are those of any order of the rows."""
+    rows = [(i, "six words of one same text") for i in range(40)] + [(100 + i, f"six other words number {i} here") for i in range(40)]
+    for name, operator in OPERATORS.items():
+        if name == "tokenstore":
+            continue
+        one, two = (sorted(map(str, operator(documents(r)).collect())) for r in (rows, rows[::-1]))
+        assert one == two, name
+
+
 @pytest.mark.parametrize("name", OPERATORS)
 def test_empty_table(documents, name):
     got = OPERATORS[name](documents([])).collect()
@@ -84,6 +125,19 @@ def test_stage_results(spark, documents, odd_rows, tmp_path):
     assert sum(r["text"] == "key [SECRET] end" for r in masked if r["doc_id"] and r["doc_id"] >= 20) >= 28
 
 
+def test_stage_results_of_the_others(spark, documents, odd_rows, tmp_path):
+    _labels(spark).write.parquet(str(tmp_path / "labels.parquet"))
+    key = lambda rows: sorted((str(tuple(r)) for r in rows))
+    docs = documents(odd_rows)
+    # three labelled documents teach nothing, so nothing goes; every row stays as it is
+    assert key(corpus_pipeline.toxicity(spark, docs, str(tmp_path)).collect()) == key(docs.collect())
+    # what the operator selects stays with all its rows; rows without a doc_id take no part
+    chosen = {r["doc_id"] for r in mixed(docs).where("selected").collect()}
+    assert key(corpus_pipeline.source_mix(spark, docs, str(tmp_path)).collect()) == key(r for r in docs.collect() if r["doc_id"] in chosen)
+    packed = corpus_pipeline.packing(spark, docs, str(tmp_path)).collect()
+    assert sum(r["n_tokens"] for r in packed) == sum(len((t or "").split()) for _, t, *_ in odd_rows)
+
+
 def _hex(n):
     import random
 
