@@ -190,7 +190,7 @@ class Cell:
     """Exact comparison of the pairs of one cell; those that others have joined already need none."""
 
     def __init__(self, least: float):
-        self.least, self.sets, self.parent = least, {}, {}
+        self.least, self.sets, self.parent, self.passing = least, {}, {}, None
 
     def root(self, x: int) -> int:
         while (up := self.parent.setdefault(x, x)) != x:
@@ -198,7 +198,11 @@ class Cell:
             x = up
         return x
 
-    def add(self, doc: int, own: np.ndarray) -> None:
+    def add(self, doc: int, own: np.ndarray, keep: bool = True) -> None:
+        """A document's set; without ``keep`` it goes when the next document comes."""
+        if self.passing is not None and self.passing != doc:
+            del self.sets[self.passing]
+        self.passing = None if keep else doc
         several = self.sets.setdefault(doc, [])
         if not any(np.array_equal(own, x) for x in several):
             several.append(own)
@@ -217,12 +221,16 @@ class Cell:
 
 
 def _compare(k: int, least: float):
-    """Rows arrive sorted by cell: the texts of its documents first, then its pairs."""
+    """Rows arrive sorted by cell and document: its text, then its pairs with earlier documents.
+
+    Texts are held while later documents have pairs with them, so where one
+    document meets many, it alone is.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, cell = None, Cell(least)
         for batch in batches:
-            cells, a, b = (id_column(batch, c).to_pylist() for c in ("cell", "a", "b"))
+            cells, a, b, keep = (id_column(batch, c).to_pylist() for c in ("cell", "a", "b", "keep"))
             raw, offsets = string_buffers(id_column(batch, "t"))
             found: list[tuple[int, int]] = []
             for i, j in chunks(offsets):
@@ -231,7 +239,7 @@ def _compare(k: int, least: float):
                     if cells[d] != now:
                         now, cell = cells[d], Cell(least)
                     if b[d] is None:
-                        cell.add(a[d], sets[d - i])
+                        cell.add(a[d], sets[d - i], keep[d])
                     elif cell.joins(a[d], b[d]):
                         found.append((a[d], b[d]))
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
@@ -244,11 +252,12 @@ def _verified(texts: DataFrame, pairs: DataFrame, k: int, threshold: float) -> D
 
     A text goes once to each cell that has a pair of it.
     """
-    seats = pairs.select("cell", F.explode(F.array("a", "b")).alias("id")).distinct()
+    end = lambda c, first: F.struct(F.col(c).alias("id"), F.lit(first).alias("first"))
+    seats = pairs.select("cell", F.explode(F.array(end("a", True), end("b", False))).alias("e")).groupBy("cell", F.col("e.id").alias("id")).agg(F.max("e.first").alias("keep"))
     # always a shuffled join: the texts of candidates grow with the corpus
-    members = texts.join(seats.hint("merge"), "id").select("cell", F.col("id").alias("a"), F.lit(None).cast("long").alias("b"), "t")
-    rows = members.union(pairs.select("cell", "a", "b", F.lit(None).cast("string").alias("t")))
-    return rows.repartition("cell").sortWithinPartitions("cell", F.col("b").isNotNull(), "a", "b").mapInArrow(_compare(k, threshold), "a long, b long")
+    members = texts.join(seats.hint("merge"), "id").select("cell", F.col("id").alias("a"), F.lit(None).cast("long").alias("b"), "keep", "t")
+    rows = members.union(pairs.select("cell", "a", "b", F.lit(False), F.lit(None).cast("string").alias("t")))
+    return rows.repartition("cell").sortWithinPartitions("cell", F.coalesce("b", "a"), F.col("b").isNotNull(), "a").mapInArrow(_compare(k, threshold), "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
