@@ -16,6 +16,10 @@ from ..functions.semiring import PLUS_TIMES, Semiring
 from .primitives import inclusive_scan, lower_bound
 
 
+#: Places of an array that one aggregation sums.
+SEGMENT = 64
+
+
 def spmv(edges: DataFrame, x: DataFrame, semiring: Semiring = PLUS_TIMES, *, vertices: DataFrame | None = None, value: str = "val", name: str = "val") -> DataFrame:
     """y[dst] = reduce over edges of combine(weight, x[src]), as (vid, name).
 
@@ -39,10 +43,19 @@ def spmm_arrays(edges: DataFrame, features: DataFrame, width: int, column: str =
     """A X with an array a vertex: (vid, column); vertices without edges have none.
 
     One aggregate for every place of the array keeps the partial sums map-side.
+    Wide arrays are summed in segments of SEGMENT places, as Spark generates no
+    code for aggregates of more than a hundred columns.
     """
     met = edges.select("src", "dst", "weight").join(features.select(F.col("vid").alias("src"), F.col(column).alias("__x")), "src")
-    sums = [F.sum(F.col("weight") * F.col("__x")[i]).alias(f"__{i}") for i in range(width)]
-    return met.groupBy(F.col("dst").alias("vid")).agg(*sums).select("vid", F.array(*[f"__{i}" for i in range(width)]).alias(column))
+    if width <= SEGMENT:
+        sums = [F.sum(F.col("weight") * F.col("__x")[i]).alias(f"__{i}") for i in range(width)]
+        return met.groupBy(F.col("dst").alias("vid")).agg(*sums).select("vid", F.array(*[f"__{i}" for i in range(width)]).alias(column))
+    cut = lambda i: F.struct(F.lit(i).alias("at"), F.slice("__x", i + 1, min(SEGMENT, width - i)).alias("x"))
+    each = met.select(F.col("dst").alias("vid"), "weight", F.explode(F.array(*[cut(i) for i in range(0, width, SEGMENT)])).alias("__s"))
+    sums = [F.sum(F.col("weight") * F.get("__s.x", F.lit(i))).alias(f"__{i}") for i in range(SEGMENT)]
+    parts = each.groupBy("vid", F.col("__s.at").alias("__at")).agg(*sums).select("vid", F.struct("__at", F.array(*[f"__{i}" for i in range(SEGMENT)]).alias("x")).alias("__s"))
+    whole = F.flatten(F.transform(F.array_sort(F.collect_list("__s")), lambda s: s["x"]))
+    return parts.groupBy("vid").agg(whole.alias(column)).select("vid", F.slice(column, 1, width).alias(column))
 
 
 def gemm(a: DataFrame, b: DataFrame, semiring: Semiring = PLUS_TIMES, *, a_col_major: bool = False, b_col_major: bool = False) -> DataFrame:

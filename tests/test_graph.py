@@ -236,3 +236,16 @@ def test_scans(spark, n):
     values, queries = df, spark.createDataFrame([(q,) for q in range(-7, 8)], "q long")
     assert dict(rows(P.lower_bound(values, queries, "x", "q"), "q")) == {q: sum(x < q for _, x in data) for q in range(-7, 8)}
     assert [r["k"] for r in P.with_index(df, "k", F.desc("i")).orderBy(F.desc("i")).collect()] == list(range(n))
+
+
+def test_wide_arrays_are_summed_in_segments(spark):
+    rng, width = random.Random(3), 2 * L.SEGMENT + 3
+    edges = [(rng.randrange(12), rng.randrange(9), float(rng.randrange(1, 5))) for _ in range(60)]
+    x = {v: [float(rng.randrange(-9, 9)) for _ in range(width)] for v in range(12)}
+    want = {}
+    for s, d, w in edges:
+        want[d] = [a + w * b for a, b in zip(want.get(d, [0.0] * width), x[s])]
+    for n in (width, L.SEGMENT, 1):
+        features = spark.createDataFrame([(v, a[:n]) for v, a in x.items()], "vid long, features array<double>")
+        got = L.spmm_arrays(spark.createDataFrame(edges, "src long, dst long, weight double"), features, n).collect()
+        assert {r["vid"]: r["features"] for r in got} == {d: a[:n] for d, a in want.items()}
