@@ -81,6 +81,32 @@ def test_dictionary_sees_more_as_the_corpus_grows(spark, documents, monkeypatch)
     assert sorted((r["doc_id"], r["text"]) for r in T.documents(shards, VOCABULARY).collect()) == sorted(rows)
 
 
+@pytest.mark.parametrize("group", [20, 10_000])
+def test_all_documents_train(spark, documents, monkeypatch, group):
+    """Passages of documents beyond the 1,000 of least hash, and of those without a doc_id, are in the dictionary, by levels or at once."""
+    monkeypatch.setattr(T, "GROUP", group)
+    rng = random.Random(5)
+    n = 4000
+    late = {r["id"] for r in spark.range(n).where(f"pmod(xxhash64(id), {1 << 40}) >= {int(1000 / n * (1 << 40))}").collect()}
+    closing = {k: " ".join(str(rng.randrange(10**6)) for _ in range(30)) for k in ("early", "late", "none")}
+    rows = [(i, prose(rng, 30) + " " + closing["late" if i in late else "early"]) for i in range(n)]
+    rows += [(None, prose(rng, 30) + " " + closing["none"]) for _ in range(n // 4)]
+    got = next(s for s in T.store(documents(rows), VOCABULARY, dictionary_bytes=4096).collect() if s["shard"] == "dictionary")["payload"]
+    with open(VOCABULARY, "rb") as f:
+        encode = T.Encoder(f.read(), T.PATTERN)
+    for k, text in closing.items():
+        ids = encode(" " + text)
+        assert any(bytes(ids[i : i + 40]) in bytes(got) for i in range(0, len(ids) - 40, 2)), k
+
+
+def test_few_large_arrays_train_as_well():
+    """The trainer refuses fewer than five arrays, as of dictionaries of a few groups; the last one isn't taken in place of all."""
+    rng = random.Random(6)
+    said = [rng.randbytes(60) for _ in range(3)]
+    got = T.train([b"".join(rng.randbytes(40) + x for _ in range(60)) for x in said], 4096)
+    assert all(x[:40] in got or x[20:] in got for x in said)
+
+
 def test_training_saves_space():
     rng = random.Random(0)
     arrays = [np.array([rng.randrange(300) for _ in range(80)] + list(range(1000, 1060)), "<u2").tobytes() for _ in range(400)]
