@@ -166,6 +166,14 @@ class Graph:
             return orig_id
         raise KeyError(orig_id)
 
+    def lookup(self, wanted: DataFrame) -> DataFrame:
+        """``wanted``'s rows of ``orig_id`` with their vertex ``vid``, null where it's unknown: one join for all."""
+        if self.ids is not None:
+            known = self.ids.select("orig_id", "vid")
+        else:
+            known = self.vertices.select(F.col("vid").alias("orig_id"), "vid")
+        return wanted.select("orig_id").join(known, "orig_id", "left")
+
     def original(self, result: DataFrame) -> DataFrame:
         """A result with original ids in place of dense ones."""
         if self.ids is None:

@@ -212,8 +212,8 @@ def id_lookup(spark, sf_dir):
     steps = event_steps(spark, sf_dir).where("src <> dst")
     ids = written(encounter_ids(steps), "ids")
     g = Graph(renamed(steps.select("src", "dst", "weight"), ids), ids.select("vid"), ids=ids)
-    wanted = [r["orig_id"] for r in ids.where("orig_id % 40 = 7").select("orig_id").collect()]
-    return spark.createDataFrame([(i, g.find(i)) for i in wanted] + [(-5, None if _fails(KeyError, g.find, -5) else 0)], "orig_id long, vid long")
+    wanted = ids.where("orig_id % 40 = 7").select("orig_id").unionByName(spark.range(1).select(F.lit(-5).cast("long").alias("orig_id")))
+    return g.lookup(wanted)
 
 
 @query(f"WITH {_STEPS}, both_ AS (SELECT src, dst, weight, (ts, event_id, 0) AS place FROM st WHERE src <> dst UNION ALL SELECT dst, src, weight, (ts, event_id, 1) FROM st WHERE src <> dst) SELECT src, dst, arg_min(weight, place) AS weight FROM both_ GROUP BY src, dst")

@@ -127,6 +127,33 @@ def test_reorder_reports_original_ids(spark, tmp_path):
     assert rows(sssp_advance(g, 0, original=False), "vid") == [(0, 0.0), (1, 2.0), (2, 5.0)]
 
 
+def test_many_ids_take_no_job_each(spark):
+    ids = spark.range(5000).select((F.col("id") * 3).alias("orig_id"), F.col("id").alias("vid"))
+    g = Graph(spark.createDataFrame([(0, 1)], "src long, dst long"), ids.select("vid"), ids=ids)
+    wanted = spark.createDataFrame([(9,), (9,), (-5,), (4,), (14997,), (None,)], "orig_id long")
+    assert sorted(map(tuple, g.lookup(wanted).collect()), key=str) == sorted([(9, 3), (9, 3), (-5, None), (4, None), (14997, 4999), (None, None)], key=str)
+    assert rows(Graph(g.edges).lookup(wanted.where("orig_id is not null")).where("vid is not null")) == []
+    assert all((r["vid"] is None) == (r["orig_id"] == -5) for r in g.lookup(wanted.where("orig_id in (9, -5)")).collect())
+    assert g.find(9) == 3 and pytest.raises(KeyError, g.find, -5)
+
+
+def test_id_lookup_jobs_dont_grow_with_its_ids(spark, tmp_path):
+    from meshwright.plans.queries import id_lookup
+
+    def jobs(n):
+        at = F.timestamp_seconds(F.col("id") * 3600)
+        spark.range(n).select(F.col("id").alias("event_id"), at.alias("ts"), F.col("id").alias("user_id"), F.lit(1.0).alias("value")).write.parquet(f"{tmp_path}/{n}/events.parquet")
+        spark.sparkContext.setJobGroup(f"lookup {n}", "")
+        try:
+            found = {r["orig_id"]: r["vid"] for r in id_lookup(spark, f"{tmp_path}/{n}").collect()}
+        finally:
+            spark.sparkContext._jsc.clearJobGroup()
+        assert found == {i: i for i in range(7, n, 40)} | {-5: None}
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"lookup {n}"))
+
+    assert jobs(1200) <= jobs(80) + 3  # the adaptive planner's stages may differ
+
+
 def test_views(spark):
     assert Views(10).first() is Views.CSR and (Views.NORMAL | Views.TRANSPOSE).first() is Views.TRANSPOSE
     assert ADVANCE_VIEWS.has_all(Views.NORMAL) and not ADVANCE_VIEWS.has_some(Views.TRANSPOSE) and BLAS_VIEWS.has_some(Views.TRANSPOSE | Views.COO)
