@@ -82,6 +82,44 @@ def test_salts_dont_matter(spark):
     assert [r[1] for r in rows(pagerank(g, iterations=3, salts=4), "vid")] == pytest.approx([r[1] for r in rows(pagerank(g, iterations=3), "vid")])
 
 
+@pytest.mark.parametrize("kind", ["int", "long", "float", "double"])
+def test_blocks_dont_matter(spark, kind):
+    g, edges = random_graph(spark, 11, n=60, m=220)
+    g = Graph(g.edges.withColumn("weight", F.col("weight").cast(kind)))
+    want = bellman_ford(edges, 3, 60)
+    for size in (1, 17, 60, None):
+        assert {r["vid"]: r["dist"] for r in sssp_blas_dense(g, 3, block_edges=size).collect() if r["dist"] is not None} == want
+
+
+def test_long_paths_take_a_round_a_block(spark):
+    n = 400
+    e = spark.range(n).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"), (F.col("id") % 3 + 1).alias("weight"))
+    want = [(v, sum(i % 3 + 1 for i in range(v))) for v in range(n + 1)]
+    for f in ALL:
+        assert rows(f(Graph(e), 0, max_iterations=3), "vid") == want
+        assert rows(f(Graph(e), 0, max_iterations=6, block_edges=100), "vid") == want
+
+
+def test_hubs_and_odd_weights_go_without_blocks(spark):
+    hub = spark.range(1, 40).select(F.lit(0).cast("long").alias("src"), F.col("id").alias("dst"), F.lit(2).cast("long").alias("weight"))
+    tail = spark.range(40, 50).select((F.col("id") - 1).alias("src"), F.col("id").alias("dst"), F.lit(1).cast("long").alias("weight"))
+    got = rows(sssp_advance(Graph(hub.union(tail)), 0, block_edges=8), "vid")
+    assert got == [(0, 0)] + [(v, 2) for v in range(1, 40)] + [(v, v - 37) for v in range(40, 50)]
+    odd = spark.createDataFrame([(0, 1, float("inf")), (0, 2, 1.0), (2, 3, None), (2, 4, 2.0)], "src long, dst long, weight double")
+    assert rows(sssp_advance(Graph(odd), 0), "vid") == [(0, 0.0), (1, float("inf")), (2, 1.0), (3, None), (4, 3.0)]
+    null = odd.where("dst <> 1")
+    assert rows(sssp_advance(Graph(null), 0), "vid") == [(0, 0.0), (1, None), (2, 1.0), (3, None), (4, 3.0)]
+
+
+def test_negative_weights_in_blocks(spark):
+    e = [(0, 1, 5), (0, 2, 2), (2, 1, -4), (1, 3, 1), (3, 4, 2), (4, 2, 3)]
+    g = Graph(spark.createDataFrame(e, "src long, dst long, weight long"))
+    for size in (2, None):
+        assert rows(sssp_blas_sparse(g, 0, block_edges=size), "vid") == [(0, 0), (1, -2), (2, 2), (3, -1), (4, 1)]
+        with pytest.raises(DivergedError):
+            sssp_blas_dense(Graph(g.edges.withColumn("weight", F.when(F.col("src") == 4, -3).otherwise(F.col("weight")))), 0, block_edges=size)
+
+
 def test_superseded_states_go(spark):
     import pathlib
 
